@@ -34,45 +34,47 @@ def fresh_entries(store: DataFrame, now: Column, ttl_ms: int = K.STORE_TTL_MS) -
 def retain(store: DataFrame, max_items: int = K.STORE_MAX_ITEMS) -> DataFrame:
     """The ``max_items`` most recently used entries (ties by key).
 
-    A small bound is a distributed top-k.  A large one never gathers: the hour
-    in which the bound falls is found from counts per hour, newer hours are
-    kept whole, and that hour is cut by counts per key range.
+    A small bound is a distributed top-k.  A large one never gathers rows: the
+    cut is narrowed by counts per hour, second, microsecond and key prefix, and
+    whatever lies before each cut is kept as it is.
     """
-    order = [F.col("last_access").desc(), F.col("cache_key")]
     if max_items <= SMALL_TOP:
-        return store.orderBy(*order).limit(max_items)
+        return store.orderBy(F.col("last_access").desc(), F.col("cache_key")).limit(max_items)
     return _retain_large(store, max_items)
 
 
-def _cut(counts: list, wanted: int) -> tuple[object, int]:
-    """Bucket in which ``wanted`` is reached and what is left to take from it."""
-    seen = 0
-    for bucket, n in counts:
-        if seen + n >= wanted:
-            return bucket, wanted - seen
-        seen += n
-    return None, 0
-
-
 def _retain_large(store: DataFrame, max_items: int) -> DataFrame:
-    hour = F.date_trunc("hour", F.col("last_access"))
-    stamp = F.unix_micros("last_access")
-    # one row per hour of history reaches the driver
-    hours = [(r[0], r[1]) for r in store.groupBy(hour.alias("h")).count().orderBy(F.desc("h")).collect()]
-    edge, left = _cut(hours, max_items)
-    if edge is None:
-        return store
-    newer = store.where(hour > F.lit(edge))
-    inside = store.where(hour == F.lit(edge))
-    # narrow the hour to one second, then rank only within that second's key buckets
-    second = F.floor(stamp / 1_000_000)
-    seconds = [
-        (r[0], r[1]) for r in inside.groupBy(second.alias("s")).count().orderBy(F.desc("s")).collect()
+    micros = F.unix_micros("last_access")
+    # each bucket refines the one before, so at most a few thousand counts
+    # reach the driver per step (hours: one per hour of history)
+    buckets = [
+        -F.floor(micros / 3_600_000_000),
+        -F.floor(micros / 1_000_000),
+        -F.floor(micros / 1_000),
+        -micros,
+        *[F.substring("cache_key", 1, n) for n in (3, 6, 9)],
     ]
-    edge_second, left = _cut(seconds, left)
-    newer = newer.unionByName(inside.where(second > edge_second))
-    tied = inside.where(second == edge_second)
-    return newer.unionByName(tied.orderBy(F.col("last_access").desc(), F.col("cache_key")).limit(left))
+    kept, inside, left = [], store, max_items
+    for bucket in buckets:
+        counts = inside.groupBy(bucket.alias("b")).count().orderBy("b").collect()
+        edge = None
+        for value, n in counts:
+            if n >= left:
+                edge = value
+                break
+            left -= n
+        if edge is None:
+            kept.append(inside)
+            inside = None
+            break
+        kept.append(inside.where(bucket < F.lit(edge)))
+        inside = inside.where(bucket == F.lit(edge))
+    result = kept[0]
+    for part in kept[1:]:
+        result = result.unionByName(part)
+    if inside is not None:
+        result = result.unionByName(inside.orderBy("cache_key").limit(left))
+    return result
 
 
 def store_rows(extracted: DataFrame, formats: list[str], only_main: bool, now: Column) -> DataFrame:
