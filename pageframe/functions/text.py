@@ -66,37 +66,52 @@ def markup_only(html: Column) -> Column:
     return let(bare, quote_gt)
 
 
-def _numeric_entities(text: Column) -> Column:
-    ref = r"^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});"
-
-    def char(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, ref, 1)
-        number = F.when(
-            F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)
-        ).otherwise(digits).try_cast("bigint")
-        usable = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        letter = F.when(
-            usable, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        ).otherwise("�")
+# what may follow "&" in a character reference
+REFERENCE = r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]{2,8});"
+
+
+def _code_point(digits: Column) -> Column:
+    """``#65`` or ``#x41`` to its character."""
+    number = (
+        F.when(digits.rlike("^#[xX]"), F.conv(F.substr(digits, F.lit(3)), 16, 10))
+        .otherwise(F.substr(digits, F.lit(2)))
+        .try_cast("bigint")
+    )
+
+    def letter(n: Column) -> Column:
+        usable = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
         return F.when(
-            piece.rlike(ref), F.concat(letter, F.regexp_replace(piece, ref, ""))
-        ).otherwise(F.concat(F.lit("&#"), piece))
+            usable, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        ).otherwise("\ufffd")
 
-    pieces = F.split(text, "&#")
-    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), char)
-    return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+    return let(number, letter)
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references to text; ``&amp;`` last."""
+    """Named and numeric character references to text, in one pass.
 
-    def decode(t: Column) -> Column:
-        for name, char in K.NAMED_ENTITIES:
-            t = F.replace(t, F.lit(name), F.lit(char))
-        t = let(t, lambda u: F.when(u.contains("&#"), _numeric_entities(u)).otherwise(u))
-        return F.replace(t, F.lit("&amp;"), F.lit("&"))
-
-    return F.when(text.contains("&"), decode(text)).otherwise(text)
+    Unknown names stay as they are.
+    """
+    named = F.create_map(
+        *[F.lit(x) for name, char in [*K.NAMED_ENTITIES, ("&amp;", "&")] for x in (name[1:-1], char)]
+    )
+
+    def piece(p: Column) -> Column:
+        def write(ref: Column) -> Column:
+            char = F.when(ref.startswith("#"), _code_point(ref)).otherwise(
+                F.try_element_at(named, ref)
+            )
+            return F.coalesce(
+                F.concat(char, F.substr(p, F.length(ref) + 2)), F.concat(F.lit("&"), p)
+            )
+
+        return let(F.regexp_extract(p, REFERENCE, 1), write)
+
+    def decode(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
+    return F.when(text.contains("&"), let(F.split(text, "&"), decode)).otherwise(text)
 
 
 def md_escape(text: Column) -> Column:
