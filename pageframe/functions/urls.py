@@ -259,7 +259,10 @@ def extraction_key(url: Column, formats: Column, only_main: Column) -> Column:
 
 
 def csv_list(text: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    parts = F.transform(
+        F.split(F.coalesce(text, F.lit("")), ","),
+        lambda x: F.regexp_replace(x, r"^[\s\x{a0}]+|[\s\x{a0}]+$", ""),
+    )
     return F.filter(parts, lambda x: x != "")
 
 

@@ -280,9 +280,10 @@ def key_expr(url: str) -> str:
 
 
 ORACLES["cache_key"] = f"SELECT page_id, {key_expr('url')} AS cache_key FROM pages"
+_ITEM = rep("x", r"^[\s\x{a0}]+|[\s\x{a0}]+$")
 ORACLES["csv_list"] = (
-    "SELECT doc_id, coalesce((SELECT string_agg(trim(x), '|' ORDER BY i) FROM (SELECT unnest(string_split(text, ',')) AS x, "
-    "generate_subscripts(string_split(text, ','), 1) AS i) WHERE trim(x) <> ''), '') AS items FROM documents"
+    f"SELECT doc_id, coalesce((SELECT string_agg({_ITEM}, '|' ORDER BY i) FROM (SELECT unnest(string_split(text, ',')) AS x, "
+    f"generate_subscripts(string_split(text, ','), 1) AS i) WHERE {_ITEM} <> ''), '') AS items FROM documents"
 )
 ORACLES["rstrip_slash"] = (
     "SELECT page_id, rtrim(url || repeat('/', page_id % 4), '/') AS url FROM pages"
@@ -501,3 +502,343 @@ ORACLES["main_container_flag"] = chain(
           + f" OR trim({attr_raw('tok', 'role')}, '\"''') = 'main' OR trim({attr_raw('tok', 'id')}, '\"''') = '{K.MAIN_ID}'),"
           " false)) AS has_main FROM tok GROUP BY page_id",
 )
+
+# --- Markdown ----------------------------------------------------------------
+
+
+def chars(text: str) -> str:
+    """SQL for a text that may hold control characters."""
+    parts, run = [], ""
+    for ch in text:
+        if ord(ch) < 32:
+            if run:
+                parts.append(q(run))
+                run = ""
+            parts.append(f"chr({ord(ch)})")
+        else:
+            run += ch
+    if run or not parts:
+        parts.append(q(run))
+    return "(" + " || ".join(parts) + ")"
+
+
+def repc(expr: str, pattern: str, to: str) -> str:
+    """Replacement text with control characters in it."""
+    return f"regexp_replace({expr}, {q(pattern)}, {chars(to)}, 'g')"
+
+
+def collapse(text: str) -> str:
+    return rep(text, r"[ \t\r\n\f]+", " ")
+
+
+def escape(text: str) -> str:
+    inner = rep(text, r"([\\*`\[\]_])", r"\\\1")
+    head = rep(inner, r"^(-|\+ |=+|#{1,6} |~~~|>)", r"\\\1")
+    return rep(head, r"^([0-9]+)\. ", r"\1\\. ")
+
+
+def normalized(text: str) -> str:
+    tight = rep(rep(f"replace({text}, chr(13) || chr(10), chr(10))", r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return rep(tight, r"^[\s\x{a0}]+|[\s\x{a0}]+$")
+
+
+def truncated(text: str, n: int) -> str:
+    return (
+        f"CASE WHEN length({text}) > {n} THEN substr({text}, 1, {n}) || {chars(K.TRUNCATION_MARK)} ELSE {text} END"
+    )
+
+
+def rule_case(side: int) -> str:
+    arms = " ".join(f"WHEN {q(t)} THEN {chars(r[side])}" for t, r in K.INLINE_RULES.items())
+    return f"CASE tag {arms} ELSE '' END"
+
+
+CONTEXT = (
+    "opener quote_depth quote_root list_depth list_root item_pos item_no list_tag in_pre in_pre_code"
+).split()
+
+
+def annotate_ctes(src: str = "hr") -> list[str]:
+    run = "OVER (PARTITION BY page_id ORDER BY pos)"
+    lst = "OVER (PARTITION BY page_id, list_depth ORDER BY pos)"
+    opened, is_tag = "(kind = 'tag' AND NOT cl)", "kind = 'tag'"
+
+    def depth(*tags: str) -> str:
+        return f"sum(CASE WHEN tag IN {names(tags)} AND NOT void THEN CASE WHEN cl THEN -1 ELSE 1 END ELSE 0 END) {run}"
+
+    cell = (
+        f"last_value(CASE WHEN tag IN {names(K.CELL_TAGS)} THEN {opened} WHEN tag IN ('tr', 'table', 'thead', 'tbody', "
+        f"'tfoot') THEN false END IGNORE NULLS) {run}"
+    )
+    row = f"last_value(CASE WHEN tag = 'tr' THEN {opened} WHEN tag = 'table' THEN false END IGNORE NULLS) {run}"
+    md_line = f"coalesce({is_tag} AND tag IN {names(K.MARKDOWN_BLOCK_TAGS)} AND NOT in_cell, false)"
+    line = f"coalesce({is_tag} AND tag IN {names(K.MARKDOWN_BLOCK_TAGS + K.STRUCTURE_TAGS)} AND NOT in_cell, false)"
+    link = (
+        f"CASE WHEN cl THEN {chars(K.LINK_CLOSE)} WHEN href <> '' THEN {chars(K.LINK_OPEN)} || href || "
+        f"{chars(K.LINK_MID)} ELSE '' END"
+    )
+    return [
+        f"an1 AS (SELECT *, CASE WHEN kind = 'text' THEN {rep(decode('tok'), K.CONTROL_CHARS)} END AS raw,"
+        f" coalesce({cell}, false) AS in_cell, coalesce({row}, false) AS in_row, {depth('blockquote')} AS dq,"
+        f" {depth('ul', 'ol')} AS dl, {depth('pre')} AS dp, {depth('code')} AS dc FROM {src})",
+        f"an2 AS (SELECT *, {md_line} AS md_line, {line} AS line, greatest(dl, 0) AS list_depth,"
+        f" greatest(dq, 0) AS quote_depth, dp > 0 AS in_pre, dp > 0 AND dc > 0 AS in_pre_code,"
+        f" CASE WHEN dp > 0 THEN raw ELSE {collapse('raw')} END AS plain FROM an1)",
+        f"an3 AS (SELECT *, 2 * sum(line::INT) {run} - line::INT AS rb, 2 * sum(md_line::INT) {run} - md_line::INT AS mb,"
+        f" last_value(CASE WHEN md_line THEN CASE WHEN cl THEN '' ELSE tag END END IGNORE NULLS) {run} AS opener,"
+        f" sum(CASE WHEN tag = 'blockquote' AND {opened} AND dq = 1 THEN 1 ELSE 0 END) {run} AS quote_root,"
+        f" sum(CASE WHEN tag IN ('ul', 'ol') AND {opened} AND dl = 1 THEN 1 ELSE 0 END) {run} AS list_root,"
+        f" sum(CASE WHEN tag = 'li' AND {opened} THEN 1 ELSE 0 END) {lst} AS li,"
+        f" last_value(CASE WHEN tag = 'li' AND {opened} THEN pos END IGNORE NULLS) {lst} AS item_pos,"
+        f" in_row AND NOT in_cell AND NOT {has('plain', '[^ ]')} AS between_cells FROM an2)",
+        f"an4 AS (SELECT *, last_value(CASE WHEN tag IN ('ul', 'ol') AND {opened} THEN li END IGNORE NULLS) {lst} AS li0,"
+        f" last_value(CASE WHEN tag IN ('ul', 'ol') AND {opened} THEN tag END IGNORE NULLS) {lst} AS list_tag,"
+        f" CASE WHEN kind = 'text' THEN CASE WHEN between_cells THEN '' WHEN dc > 0 THEN plain ELSE {escape('plain')} END"
+        f" WHEN tag = 'hr' THEN {q(K.RULE_TEXT)} WHEN tag = 'a' THEN {link} WHEN dp > 0 AND tag = 'code' THEN ''"
+        f" WHEN {is_tag} AND in_cell AND tag IN {names(K.MARKDOWN_BLOCK_TAGS)} THEN {chars(K.BREAK)}"
+        f" WHEN cl THEN {rule_case(1)} ELSE {rule_case(0)} END AS piece,"
+        f" CASE WHEN kind = 'text' AND NOT between_cells THEN length(trim({collapse('plain')}, ' ')) ELSE 0 END AS txt_len,"
+        " CASE WHEN kind = 'text' THEN length(raw) - length(replace(raw, ',', '')) ELSE 0 END AS commas,"
+        f" CASE WHEN kind = 'text' OR tag IN {names(K.ALLOWED_TAGS)} THEN {STRIPPED} ELSE '' END AS html_piece FROM an3)",
+        "ann AS (SELECT *, li - li0 AS item_no FROM an4)",
+    ]
+
+
+def run_ctes() -> list[str]:
+    box = f"line AND tag IN {names(K.CONTAINER_TAGS)}"
+    keep = ", ".join(f"max({c}) AS {c}" for c in CONTEXT)
+    return [
+        "runs AS (SELECT page_id, rb, max(mb) AS mb, string_agg(piece, '' ORDER BY pos) AS text,"
+        " string_agg(html_piece, '' ORDER BY pos) AS html, sum(txt_len) AS txt_len, sum(commas) AS commas,"
+        f" max(CASE WHEN {box} AND end_pos IS NOT NULL THEN 1 ELSE 0 END) AS up,"
+        f" max(CASE WHEN {box} AND start_pos IS NOT NULL THEN 1 ELSE 0 END) AS down, {keep}"
+        " FROM ann GROUP BY page_id, rb)",
+    ]
+
+
+def main_ctes() -> list[str]:
+    """The winner by joining runs with the containers around them."""
+    weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(K.ANCESTOR_WEIGHTS))
+    return [
+        "mc0 AS (SELECT *, sum(up - down) OVER (PARTITION BY page_id ORDER BY rb) AS deep FROM runs)",
+        "boxes AS (SELECT page_id, rb AS b, deep AS lv, (SELECT min(x.rb) FROM mc0 x WHERE x.page_id = o.page_id AND"
+        " x.rb > o.rb AND x.down = 1 AND x.deep = o.deep - 1) AS e FROM mc0 o WHERE up = 1)",
+        "inside AS (SELECT r.page_id, b, e, deep - lv AS dist, txt_len,"
+        " 1 + commas + least(txt_len // 100, 3) AS pts FROM mc0 r JOIN boxes x ON r.page_id = x.page_id AND"
+        " r.rb > x.b AND (x.e IS NULL OR r.rb < x.e) WHERE txt_len > 0)",
+        f"totals AS (SELECT page_id, b, e, sum(pts * CASE dist {weights} ELSE 0 END) AS score, sum(txt_len) AS n"
+        " FROM inside GROUP BY page_id, b, e)",
+        f"best AS (SELECT page_id, b, e, score FROM totals WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY page_id"
+        f" ORDER BY CASE WHEN n >= {K.FIRST_PASS_CHARS} THEN 2 WHEN n >= {K.SECOND_PASS_CHARS} THEN 1 ELSE 0 END DESC,"
+        " score DESC, b DESC) = 1)",
+        "body AS (SELECT r.*, w.b IS NOT NULL AS found FROM runs r LEFT JOIN best w ON r.page_id = w.page_id"
+        " WHERE w.b IS NULL OR r.rb BETWEEN w.b AND w.e)",
+    ]
+
+
+def inline_sql(text: str) -> str:
+    t = rep(text, r"\x04([^\x04\x05`]*)\x05?", r"`\1`")
+    t = rep(t, r"\x04([^\x04\x05]*)\x05?", r"`` \1 ``")
+    t = rep(t, r"\x05")
+    for o, c, oc, cc, mark in (
+        (r"\x10", r"\x11", K.EM_OPEN, K.EM_CLOSE, "*"),
+        (r"\x0e", r"\x0f", K.STRONG_OPEN, K.STRONG_CLOSE, "**"),
+    ):
+        t = repc(t, f"{o}([^{o}{c}]*)(?:{c}|$)", f"{oc}\\1{cc}")
+        t = repc(t, f"{o}([ \\x03]*){c}", r"\1")
+        t = repc(t, f"{o}([ \\x03]+)", f"\\1{oc}")
+        t = repc(t, f"([ \\x03]+){c}", f"{cc}\\1")
+        t = repc(t, f"{o}([^{o}{c}]*){c}", f"{mark}\\1{mark}")
+        t = rep(t, f"[{o}{c}]")
+    t = rep(t, r"\x12([^\x12\x15]*)\x15([^\x12\x13]*)(?:\x13|$)", r"[\2](\1)")
+    return rep(rep(t, r"\x12[^\x15]*\x15|\x13"), "  +", " ")
+
+
+def row_sql(text: str) -> str:
+    t = rep(text, r"[\n\x03]+", " ")
+    t = repc(t, r"\x01([^\x01\x02]*)\x02?", "\x01\\1\x02")
+    t = repc(t, r"\x01 +", "\x01")
+    t = repc(t, r" +\x02", "\x02")
+    t = f"replace({t}, {chars(K.CELL_OPEN + K.CELL_CLOSE)}, {chars(K.CELL_OPEN + ' ' + K.CELL_CLOSE)})"
+    return f"replace(replace({t}, chr(1), ' '), chr(2), ' |')"
+
+
+def block_ctes(src: str) -> list[str]:
+    keep = ", ".join(f"max({c}) AS {c}" for c in CONTEXT)
+    nl = "chr(10)"
+    listed = "list_depth > 0 AND item_pos IS NOT NULL"
+    page = "PARTITION BY page_id ORDER BY mb"
+    return [
+        f"bl1 AS (SELECT page_id, mb, string_agg(text, '' ORDER BY rb) AS text, string_agg(html, '' ORDER BY rb) AS html,"
+        f" {keep} FROM {src} GROUP BY page_id, mb)",
+        "bl2 AS (SELECT *, CASE WHEN in_pre THEN text ELSE trim("
+        + repc(rep("text", " +", " "), r" *\x03 *", "\x03")
+        + f", ' ') END AS flat FROM bl1 WHERE {has('text', '[^ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n' + chr(92) + 'f' + chr(92) + 'x02-' + chr(92) + 'x11' + chr(92) + 'x13-' + chr(92) + 'x1f]')})",
+        f"bl3 AS (SELECT *, CASE WHEN {has('flat', '[' + chr(92) + 'x04' + chr(92) + 'x05' + chr(92) + 'x0e-' + chr(92) + 'x15]')} THEN {inline_sql('flat')} ELSE flat END AS inl FROM bl2)",
+        f"bl4 AS (SELECT *, CASE WHEN in_pre_code THEN '```' || {nl} || " + rep("inl", r"^\n|\n$")
+        + f" || {nl} || '```' WHEN in_pre THEN " + rep("inl", r"^\n+|\n+$")
+        + f" WHEN contains(inl, chr(1)) THEN {row_sql('inl')} ELSE "
+        + rep("replace(inl, chr(3), '  ' || chr(10))", r"^[ \n]+|[ \n]+$") + " END AS part FROM bl3)",
+        f"bl5 AS (SELECT *, CASE WHEN opener IN {names(K.HEADING_TAGS)} AND part <> '' THEN"
+        " repeat('#', CAST(substr(opener, 2, 1) AS INT)) || ' ' || part ELSE part END AS txt,"
+        f" {listed} AS listed, {listed} AND row_number() OVER (PARTITION BY page_id, item_pos, {listed} ORDER BY mb) = 1 AS fst,"
+        f" lag(mb) OVER ({page}) AS pmb, lag(quote_root) OVER ({page}) AS pqr, lag(quote_depth) OVER ({page}) AS pqd,"
+        f" lag(list_root) OVER ({page}) AS plr, lag(list_depth) OVER ({page}) AS pld FROM bl4)",
+        "bl6 AS (SELECT *, repeat('> ', quote_depth::INT) AS qp,"
+        f" repeat(' ', ({K.LIST_INDENT} * CASE WHEN listed THEN list_depth ELSE 0 END)::INT) AS ind,"
+        f" CASE WHEN fst THEN repeat(' ', ({K.LIST_INDENT} * (list_depth - 1))::INT) || CASE WHEN list_tag = 'ol' THEN"
+        f" CAST(item_no AS VARCHAR) || '.  ' ELSE {q(K.BULLET)} END"
+        f" ELSE repeat(' ', ({K.LIST_INDENT} * CASE WHEN listed THEN list_depth ELSE 0 END)::INT) END AS lead_in FROM bl5)",
+        "blocks AS (SELECT page_id, mb, opener, inl, CASE WHEN pmb IS NULL THEN '' WHEN fst AND plr = list_root AND pld > 0"
+        " THEN chr(10) WHEN pqr = quote_root AND pqd > 0 AND quote_depth > 0 THEN chr(10) ||"
+        " rtrim(repeat('> ', least(pqd, quote_depth)::INT), ' ') || chr(10) ELSE chr(10) || chr(10) END AS gap,"
+        " qp || lead_in || replace(txt, chr(10), chr(10) || qp || ind) AS block FROM bl6)",
+        "joined AS (SELECT page_id, string_agg(gap || block, '' ORDER BY mb) AS md FROM blocks GROUP BY page_id)",
+    ]
+
+
+_TO_RUNS = [*SANITIZED, *href_ctes("fig", "hr"), *annotate_ctes(), *run_ctes()]
+ORACLES["markdown_blocks"] = chain(
+    RICH, *_TO_RUNS, *block_ctes("runs"), final="SELECT page_id, mb::BIGINT AS mb, gap, block FROM blocks"
+)
+ORACLES["table_cells"] = chain(
+    RICH, *_TO_RUNS, *block_ctes("runs"),
+    final="SELECT page_id, mb::BIGINT AS mb, block AS row_text FROM blocks WHERE opener = 'tr'",
+)
+ORACLES["full_page_markdown"] = chain(
+    RICH, *_TO_RUNS, *block_ctes("runs"),
+    final=f"SELECT page_id, coalesce({normalized('md')}, '') AS markdown FROM src LEFT JOIN joined USING (page_id)",
+)
+_NOISY = r"(' ' || chr(10) || replace(text, chr(10), '  ' || chr(13) || chr(10) || chr(10) || chr(10) || chr(9) || chr(10)) || ' ' || chr(10))"
+ORACLES["normalize_md"] = f"SELECT doc_id, {normalized(_NOISY)} AS md FROM documents"
+ORACLES["md_escape"] = f"SELECT doc_id, {escape('text')} AS md FROM documents"
+ORACLES["truncate_md"] = f"SELECT doc_id, {truncated('text', 500)} AS md FROM documents"
+ORACLES["main_content"] = chain(
+    RICH, *_TO_RUNS, *main_ctes(),
+    final="SELECT b.page_id, max(w.b)::BIGINT AS main_start, max(w.score)::BIGINT AS main_score,"
+          " count(CASE WHEN txt_len > 0 THEN 1 END) AS n_runs, sum(txt_len)::BIGINT AS n_chars"
+          " FROM body b JOIN best w ON w.page_id = b.page_id GROUP BY b.page_id",
+)
+_PAGE_MD = [*_TO_RUNS, *main_ctes(), *block_ctes("body")]
+ORACLES["page_markdown"] = chain(
+    RICH, *_PAGE_MD,
+    final=f"SELECT page_id, coalesce({normalized('md')}, '') AS markdown FROM src LEFT JOIN joined USING (page_id)",
+)
+ORACLES["extract_full_pages"] = chain(
+    RICH, *_TO_RUNS, *block_ctes("runs"),
+    final=f"SELECT page_id, {truncated('m', 400)} AS markdown FROM (SELECT page_id, coalesce({normalized('md')}, '') AS m"
+          " FROM src LEFT JOIN joined USING (page_id))",
+)
+
+# --- metadata ----------------------------------------------------------------
+
+
+def tag_ctes(pattern: str, out: str) -> list[str]:
+    return [
+        f"{out}0 AS (SELECT page_id, url, regexp_extract_all(markup, {q(pattern)}) AS ts FROM mk)",
+        f"{out} AS (SELECT page_id, url, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM {out}0)",
+    ]
+
+
+def link_ctes() -> list[str]:
+    return [
+        *tag_ctes(D.ANCHOR_TAG, "anc"),
+        f"lk0 AS (SELECT page_id, url, i, {unquote(attr_raw('t', 'href'))} AS hv FROM anc WHERE {attr_raw('t', 'href')} <> '')",
+        *resolve_ctes("lk0", "hv", "url", "lk1"),
+        "lk2 AS (SELECT page_id, resolved AS link, min(i) AS i FROM lk1 WHERE regexp_matches(resolved, '^https?:')"
+        " GROUP BY page_id, resolved)",
+        "edges AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS link_pos, link FROM lk2)",
+        "linked AS (SELECT page_id, string_agg(link, '|' ORDER BY link_pos) AS links FROM edges GROUP BY page_id)",
+    ]
+
+
+def meta_ctes() -> list[str]:
+    def attr(name: str) -> str:
+        return unquote(attr_raw("t", name))
+
+    optional = ", ".join(
+        f"max(CASE WHEN key = {q(k)} THEN content END) AS {q(n).replace(chr(39), chr(34))}" for n, k in
+        {**K.OPTIONAL_META, "_ogt": "og:title", "_ogd": "og:description", "_dsc": "description", "_ogl": "og:locale"}.items()
+    )
+    return [
+        *tag_ctes(D.META_TAG, "mt"),
+        f"me0 AS (SELECT page_id, i, {attr('name')} AS a, {attr('property')} AS b, {attr('itemprop')} AS c,"
+        f" {attr('content')} AS content FROM mt)",
+        "me1 AS (SELECT page_id, i, lower(CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END) AS key, content FROM me0)",
+        "meta AS (SELECT page_id, key, max_by(content, i) AS content FROM me1 WHERE key <> '' AND content <> ''"
+        " GROUP BY page_id, key)",
+        f"wide AS (SELECT page_id, {optional} FROM meta GROUP BY page_id)",
+        *tag_ctes(D.LINK_TAG, "lt"),
+        f"le0 AS (SELECT page_id, url, i, lower({attr('rel')}) AS rel, {attr('href')} AS hv FROM lt)",
+        "canon AS (SELECT page_id, nullif(min_by(hv, i), '') AS can FROM le0 WHERE rel = 'canonical' GROUP BY page_id)",
+        f"ic0 AS (SELECT page_id, url, min_by(hv, i) AS hv FROM le0 WHERE rel IN {names(K.ICON_RELS)} GROUP BY page_id, url)",
+        *resolve_ctes("ic0", "hv", "url", "ic1"),
+        "icon AS (SELECT page_id, CASE WHEN hv <> '' THEN coalesce(resolved, hv) END AS ico FROM ic1)",
+        f"hd AS (SELECT *, trim({collapse(decode(ext('markup', D.TITLE_TEXT, 1)))}, ' ') AS ttl,"
+        f" {unquote(attr_raw(ext('markup', D.HTML_TAG), 'lang'))} AS lang FROM mk)",
+        "allmeta AS (SELECT * FROM hd LEFT JOIN wide USING (page_id) LEFT JOIN canon USING (page_id)"
+        " LEFT JOIN icon USING (page_id))",
+    ]
+
+
+_META_COLUMNS = (
+    "coalesce(_ogt, nullif(ttl, ''), '') AS title, coalesce(_ogd, _dsc, {excerpt}'') AS description,"
+    " coalesce(nullif(lang, ''), _ogl, '') AS language, url AS \"sourceURL\","
+    " coalesce(nullif(status_code, 0), 200) AS \"statusCode\", "
+    + ", ".join(f'"{n}"' for n in K.OPTIONAL_META)
+    + ', can AS "canonicalURL", ico AS favicon'
+)
+ORACLES["page_links"] = chain(PLAIN, *markup_ctes(), *link_ctes(), final="SELECT page_id, link_pos, link FROM edges")
+ORACLES["rich_page_links"] = chain(RICH, *markup_ctes(), *link_ctes(), final="SELECT page_id, link_pos, link FROM edges")
+ORACLES["meta_map"] = chain(RICH, *markup_ctes(), *meta_ctes(), final="SELECT page_id, key, content FROM meta")
+ORACLES["page_metadata"] = chain(
+    FETCHED, *markup_ctes(), *meta_ctes(),
+    final=f"SELECT page_id, {_META_COLUMNS.format(excerpt='')} FROM allmeta",
+)
+ORACLES["canonical_favicon"] = chain(
+    RICH, *markup_ctes(), *meta_ctes(), final='SELECT page_id, can AS "canonicalURL", ico AS favicon FROM allmeta'
+)
+_PLAIN_P = rep(
+    rep(
+        rep(rep(rep("inl", r"\[([^\[\]]*)\]\([^)]*\)", r"\1"), r"(^|[^\\])[*`]+", r"\1"), r"[\x01-\x05\x0e-\x15]", " "),
+        r"\\(.)", r"\1",
+    ),
+    " +", " ",
+)
+_EXCERPT = (
+    f"exc AS (SELECT page_id, min_by(trim({_PLAIN_P}, ' '), mb) AS ex FROM blocks WHERE opener = 'p' GROUP BY page_id)"
+)
+_HTML_OUT = "hout AS (SELECT page_id, string_agg(html, '' ORDER BY rb) AS html_out FROM body GROUP BY page_id)"
+ORACLES["extract_pages"] = chain(
+    FETCHED, *_PAGE_MD, *meta_ctes(), *link_ctes(), _EXCERPT, _HTML_OUT,
+    final=f"SELECT page_id, url, coalesce({normalized('md')}, '') AS markdown, coalesce(html_out, '') AS html,"
+          f" html AS \"rawHtml\", coalesce(links, '') AS links, {_META_COLUMNS.format(excerpt='ex, ')}"
+          " FROM allmeta LEFT JOIN joined USING (page_id) LEFT JOIN linked USING (page_id)"
+          " LEFT JOIN exc USING (page_id) LEFT JOIN hout USING (page_id)"
+          " WHERE NOT coalesce(contains(lower(content_type), 'application/pdf'), false)",
+)
+ORACLES["extraction_errors"] = chain(
+    FETCHED,
+    final="SELECT page_id, url, 'Unsupported content-type: application/pdf' AS detail FROM src "
+          "WHERE contains(lower(content_type), 'application/pdf')",
+)
+ORACLES["select_formats"] = chain(
+    PLAIN, *_PAGE_MD, *link_ctes(),
+    final=f"SELECT page_id, coalesce({normalized('md')}, '') AS markdown, CASE WHEN page_id % 2 = 1 THEN html END AS \"rawHtml\","
+          " CASE WHEN page_id % 2 = 0 THEN coalesce(links, '') END AS links FROM src LEFT JOIN joined USING (page_id)"
+          " LEFT JOIN linked USING (page_id)",
+)
+
+
+def json_text(expr: str) -> str:
+    return f"to_json({expr})::VARCHAR"
+
+
+ORACLES["response_json"] = chain(
+    RICH, *markup_ctes(), *meta_ctes(),
+    final="SELECT page_id, '{\"success\":true,\"data\":{\"title\":' || "
+          + json_text("coalesce(_ogt, nullif(ttl, ''), '')")
+          + " || CASE WHEN author IS NULL THEN '' ELSE ',\"author\":' || " + json_text("author")
+          + " END || CASE WHEN can IS NULL THEN '' ELSE ',\"canonicalURL\":' || " + json_text("can")
+          + " END || '}}' AS response FROM allmeta",
+)
