@@ -41,38 +41,30 @@ def is_ip_literal(host: Column) -> Column:
     return U.ipv4_number(h).isNotNull() | U.ipv6_text(h).isNotNull()
 
 
-def _private_v4(number: Column) -> Column:
-    ranges = [number.between(*v4_bounds(n, b)) for n, b in K.PRIVATE_V4_RANGES]
-    return reduce(or_, ranges) & (number != K.BROADCAST_V4)
-
-
-def _private_v6(v6: Column) -> Column:
-    def group(groups: Column, i: int) -> Column:
-        return F.conv(F.get(groups, F.lit(i)), 16, 10).try_cast("bigint")
+def _private_v4(number: str) -> str:
+    ranges = " OR ".join(
+        "{} BETWEEN {} AND {}".format(number, *v4_bounds(n, b)) for n, b in K.PRIVATE_V4_RANGES
+    )
+    return f"(({ranges}) AND {number} <> {K.BROADCAST_V4})"
 
-    def parse(groups: Column) -> Column:
-        return F.struct(
-            group(groups, 0).alias("first"),
-            (group(groups, 6) * 65536 + group(groups, 7)).alias("last"),
-        )
 
-    def check(g: Column) -> Column:
-        return (
-            v6.rlike(r"^(0{1,4}:){7}0{0,3}1$")
-            | (g["first"].bitwiseAND(0xFFC0) == 0xFE80)
-            | (g["first"].bitwiseAND(0xFE00) == 0xFC00)
-            | (v6.rlike(r"^(0{1,4}:){5}ffff:") & _private_v4(g["last"]))
-        )
+def _private_v6(text: str) -> str:
+    def group(i: int) -> str:
+        return f"CAST(conv(get(split({text}, ':'), {i}), 16, 10) AS BIGINT)"
 
-    return U.let(U.let(F.split(v6, ":"), parse), check)
+    mapped = U.bind(f"{group(6)} * 65536 + {group(7)}", "m4", _private_v4("m4"))
+    return (
+        f"({text} RLIKE '^(0{{1,4}}:){{7}}0{{0,3}}1$' OR ({group(0)} & 65472) = 65152 "
+        f"OR ({group(0)} & 65024) = 64512 OR ({text} RLIKE '^(0{{1,4}}:){{5}}ffff:' AND {mapped}))"
+    )
 
 
 def is_private_ip(ip: Column) -> Column:
     """Private IPv4, or loopback / link-local / unique-local / mapped-private IPv6."""
     h = _bare(ip)
-    verdict = F.when(h.contains(":"), U.let(U.ipv6_text(h), _private_v6)).otherwise(
-        U.let(U.ipv4_number(h), _private_v4)
-    )
+    v6 = U.bind(U.ipv6_sql("v"), "p6", f"CASE WHEN p6 IS NOT NULL THEN {_private_v6('p6')} END")
+    v4 = U.bind(U.ipv4_sql("v"), "p4", _private_v4("p4"))
+    verdict = U.let(h, f"CASE WHEN contains(v, ':') THEN {v6} ELSE {v4} END")
     # names skip the address arithmetic
     return F.coalesce(F.when(h.contains(":") | h.rlike(U.V4_LIKE), verdict), F.lit(False))
 

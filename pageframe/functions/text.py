@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageframe import constants as K
-from pageframe.functions.urls import let
+from pageframe.functions.urls import bind, let, lit
 
 _VALUE = r"""(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
 _SKIP = (
@@ -33,7 +33,7 @@ def attr_raw(tag_text: Column, name: str) -> Column:
 
 
 def unquote(raw: Column) -> Column:
-    return decode_entities(F.regexp_replace(raw, r"""^["']|["']$""", ""))
+    return let(raw, unquote_sql("v"))
 
 
 def attr_value(tag_text: Column, name: str) -> Column:
@@ -57,34 +57,49 @@ def markup_only(html: Column) -> Column:
     blocks, and no bare ``>`` inside quoted attribute values."""
     bare = F.regexp_replace(html, K.NOT_CONTENT, "")
 
-    def quote_gt(text: Column) -> Column:
-        fixed = text
-        for _ in range(3):
-            fixed = F.regexp_replace(fixed, K.QUOTED_GT, "$1&gt;$2")
-        return F.when(text.rlike(K.QUOTED_GT), fixed).otherwise(text)
-
-    return let(bare, quote_gt)
+    pattern = lit(K.QUOTED_GT)
+    fixed = "v"
+    for _ in range(3):
+        fixed = f"regexp_replace({fixed}, {pattern}, '$1&gt;$2')"
+    return let(bare, f"CASE WHEN v RLIKE {pattern} THEN {fixed} ELSE v END")
 
 
 # what may follow "&" in a character reference
 REFERENCE = r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]{2,8});"
 
 
-def _code_point(digits: Column) -> Column:
+def _code_point(ref: str) -> str:
     """``#65`` or ``#x41`` to its character."""
     number = (
-        F.when(digits.rlike("^#[xX]"), F.conv(F.substr(digits, F.lit(3)), 16, 10))
-        .otherwise(F.substr(digits, F.lit(2)))
-        .try_cast("bigint")
+        f"try_cast(CASE WHEN {ref} RLIKE '^#[xX]' THEN conv(substr({ref}, 3), 16, 10) "
+        f"ELSE substr({ref}, 2) END AS BIGINT)"
+    )
+    return bind(
+        number,
+        "cp",
+        "CASE WHEN cp BETWEEN 1 AND 55295 OR cp BETWEEN 57344 AND 1114111 "
+        "THEN decode(unhex(lpad(hex(cp), 8, '0')), 'UTF-32') ELSE '\ufffd' END",
     )
 
-    def letter(n: Column) -> Column:
-        usable = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-        return F.when(
-            usable, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        ).otherwise("\ufffd")
 
-    return let(number, letter)
+def decode_sql(text: str) -> str:
+    """Character references to text, one reference per piece after ``&``."""
+    pairs = [*K.NAMED_ENTITIES, ("&amp;", "&")]
+    named = "map(" + ", ".join(f"{lit(n[1:-1])}, {lit(c)}" for n, c in pairs) + ")"
+    char = (
+        f"CASE WHEN startswith(rf, '#') THEN {_code_point('rf')} ELSE try_element_at({named}, rf) END"
+    )
+    piece = bind(
+        f"regexp_extract(pc, {lit(REFERENCE)}, 1)",
+        "rf",
+        f"coalesce(concat({char}, substr(pc, length(rf) + 2)), concat('&', pc))",
+    )
+    whole = bind(
+        f"split({text}, '&')",
+        "ps",
+        f"concat(get(ps, 0), array_join(transform(slice(ps, 2, size(ps)), pc -> {piece}), ''))",
+    )
+    return f"CASE WHEN contains({text}, '&') THEN {whole} ELSE {text} END"
 
 
 def decode_entities(text: Column) -> Column:
@@ -92,26 +107,17 @@ def decode_entities(text: Column) -> Column:
 
     Unknown names stay as they are.
     """
-    named = F.create_map(
-        *[F.lit(x) for name, char in [*K.NAMED_ENTITIES, ("&amp;", "&")] for x in (name[1:-1], char)]
-    )
+    return let(text, decode_sql("v"))
 
-    def piece(p: Column) -> Column:
-        def write(ref: Column) -> Column:
-            char = F.when(ref.startswith("#"), _code_point(ref)).otherwise(
-                F.try_element_at(named, ref)
-            )
-            return F.coalesce(
-                F.concat(char, F.substr(p, F.length(ref) + 2)), F.concat(F.lit("&"), p)
-            )
 
-        return let(F.regexp_extract(p, REFERENCE, 1), write)
+def attr_sql(tag: str, name: str) -> str:
+    """SQL form of ``attr_value``."""
+    return unquote_sql(f"regexp_extract({tag}, {lit(attr_pattern(name))}, 1)")
 
-    def decode(pieces: Column) -> Column:
-        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece)
-        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
 
-    return F.when(text.contains("&"), let(F.split(text, "&"), decode)).otherwise(text)
+def unquote_sql(raw: str) -> str:
+    quotes = lit(r"""^["']|["']$""")
+    return bind(f"regexp_replace({raw}, {quotes}, '')", "uq", decode_sql("uq"))
 
 
 def md_escape(text: Column) -> Column:

@@ -1,14 +1,12 @@
 """URL expressions.
 
-All of these are plain column expressions, so they stay inside the generated
-code of the surrounding stage.  The one exception is :func:`resolve_all`, which
-works on an array of references per page and therefore needs no shuffle.
+Simple rules are plain columns.  Rules with many intermediate values are written
+as SQL lambdas: ``bind`` names a value once and lets the rest of the expression
+use the name, so no part is computed (or planned) twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,197 +22,175 @@ V4_PART = r"(0x[0-9a-f]*|[0-9]+)"
 V4_LIKE = r"(^|\.)" + V4_PART + r"\.?$"
 V4_SHAPE = r"^" + V4_PART + r"(\." + V4_PART + r"){0,3}\.?$"
 BAD_HOST_CHARS = r"""[\x00-\x20"<>^|%\[\]\\`{}\x7f]"""
+V6_SIDES = r"^([0-9a-f:]*?)::([0-9a-f:]*)$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times inside ``body``.
+def lit(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Without this the expression tree of nested uses grows with their product.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def bind(value: str, name: str, body: str) -> str:
+    """SQL: compute ``value`` once and call it ``name`` inside ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def clean_reference(url: Column) -> Column:
-    """Trim blanks and control characters and remove tabs and line ends."""
 
-    def slash(bare: Column) -> Column:
-        head = F.regexp_extract(bare, r"^[^?#]*", 0)
-        slashed = F.concat(F.translate(head, "\\", "/"), F.substr(bare, F.length(head) + 1))
-        web = bare.contains("\\") & bare.rlike(r"(?i)^(https?:|[/\\])")
-        return F.when(web, slashed).otherwise(bare)
+def let(value: Column, body: str) -> Column:
+    """The SQL expression ``body`` over ``value``, which it calls ``v``."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"v -> {body}")), F.lit(0))
 
-    trimmed = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return let(F.regexp_replace(trimmed, r"[\t\r\n]", ""), slash)
 
+def _replace(text: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({text}, {lit(pattern)}, {lit(to)})"
 
-def _v4_part(part: Column) -> Column:
-    """One dotted part as a number: decimal, octal or hexadecimal."""
-    hexa = F.conv(F.concat(F.lit("0"), F.substr(part, F.lit(3))), 16, 10)
-    return (
-        F.when(part.rlike(r"^0x[0-9a-f]{0,8}$"), hexa)
-        .when(part.rlike(r"^0[0-7]{1,11}$"), F.conv(part, 8, 10))
-        .when(part.rlike(r"^(0|[1-9][0-9]{0,9})$"), part)
-        .try_cast("bigint")
-    )
 
+def _extract(text: str, pattern: str, group: int) -> str:
+    return f"regexp_extract({text}, {lit(pattern)}, {group})"
 
-def ipv4_number(host: Column) -> Column:
-    """IPv4 address as BIGINT in any of its 1-4 part spellings, else null."""
 
-    def read(parts: Column) -> Column:
-        return F.struct(
-            F.size(parts).alias("n"),
-            *[_v4_part(F.get(parts, F.lit(i))).alias(f"v{i}") for i in range(4)],
-        )
-
-    def join(s: Column) -> Column:
-        n, v0, v1, v2, v3 = s["n"], s["v0"], s["v1"], s["v2"], s["v3"]
-        return (
-            F.when((n == 1) & (v0 < 2**32), v0)
-            .when((n == 2) & (v0 < 256) & (v1 < 2**24), v0 * 2**24 + v1)
-            .when(
-                (n == 3) & (v0 < 256) & (v1 < 256) & (v2 < 2**16),
-                v0 * 2**24 + v1 * 2**16 + v2,
-            )
-            .when(
-                (n == 4) & (v0 < 256) & (v1 < 256) & (v2 < 256) & (v3 < 256),
-                v0 * 2**24 + v1 * 2**16 + v2 * 2**8 + v3,
-            )
-        )
-
-    def parse(low: Column) -> Column:
-        parts = F.split(F.regexp_replace(low, r"\.$", ""), r"\.")
-        return F.when(low.rlike(V4_SHAPE), let(let(parts, read), join))
-
-    return let(F.lower(host), parse)
-
-
-def dotted(number: Column) -> Column:
-    """BIGINT to ``a.b.c.d``."""
-    return F.concat_ws(
-        ".",
-        *[F.shiftright(number, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)],
+def clean_sql(url: str) -> str:
+    """Trim blanks and control characters, remove tabs and line ends, and read
+    backslashes before the query of a web reference as slashes."""
+    bare = _replace(_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$"), r"[\t\r\n]")
+    first = _extract("cl", r"^[^?#]*", 0)
+    slash = lit("\\")
+    return bind(
+        bare,
+        "cl",
+        f"CASE WHEN contains(cl, {slash}) AND cl RLIKE {lit(r'(?i)^(https?:|[/' + chr(92) * 2 + '])')} "
+        f"THEN concat(translate({first}, {slash}, '/'), substr(cl, length({first}) + 1)) ELSE cl END",
     )
 
 
-def ipv6_text(host: Column) -> Column:
-    """IPv6 address as eight groups joined by ``:`` (brackets dropped), else null."""
-
-    def hex_tail(bare: Column) -> Column:
-        tail = F.regexp_extract(bare, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+def _v4_part(part: str) -> str:
+    """One dotted part as a number: decimal, octal or hexadecimal."""
+    return (
+        f"try_cast(CASE WHEN {part} RLIKE '^0x[0-9a-f]{{0,8}}$' THEN conv(concat('0', substr({part}, 3)), 16, 10) "
+        f"WHEN {part} RLIKE '^0[0-7]{{1,11}}$' THEN conv({part}, 8, 10) "
+        f"WHEN {part} RLIKE '^(0|[1-9][0-9]{{0,9}})$' THEN {part} END AS BIGINT)"
+    )
 
-        def rewrite(s: Column) -> Column:
-            return F.concat(
-                F.substr(bare, F.lit(1), F.length(bare) - F.length(s["tail"])),
-                F.lower(F.hex(F.shiftright(s["num"], 16))),
-                F.lit(":"),
-                F.lower(F.hex(s["num"].bitwiseAND(65535))),
-            )
 
-        pair = F.struct(tail.alias("tail"), ipv4_number(tail).alias("num"))
-        return F.when(bare.contains("."), let(pair, rewrite)).otherwise(bare)
+def ipv4_sql(host: str) -> str:
+    """IPv4 address as BIGINT in any of its 1-4 part spellings, else null."""
+    read = ", ".join(f"'v{i}', {_v4_part(f'get(pp, {i})')}" for i in range(4))
+    join = (
+        "CASE WHEN n4.n = 1 AND n4.v0 < 4294967296 THEN n4.v0 "
+        "WHEN n4.n = 2 AND n4.v0 < 256 AND n4.v1 < 16777216 THEN n4.v0 * 16777216 + n4.v1 "
+        "WHEN n4.n = 3 AND n4.v0 < 256 AND n4.v1 < 256 AND n4.v2 < 65536 "
+        "THEN n4.v0 * 16777216 + n4.v1 * 65536 + n4.v2 "
+        "WHEN n4.n = 4 AND n4.v0 < 256 AND n4.v1 < 256 AND n4.v2 < 256 AND n4.v3 < 256 "
+        "THEN n4.v0 * 16777216 + n4.v1 * 65536 + n4.v2 * 256 + n4.v3 END"
+    )
+    parts = f"split({_replace('h4', '[.]$')}, '[.]')"
+    numbers = bind(parts, "pp", f"named_struct('n', size(pp), {read})")
+    return bind(
+        f"lower({host})", "h4", f"CASE WHEN h4 RLIKE {lit(V4_SHAPE)} THEN {bind(numbers, 'n4', join)} END"
+    )
 
-    def groups(side: Column) -> Column:
-        return F.when(side == "", 0).otherwise(
-            F.length(side) - F.length(F.replace(side, F.lit(":"), F.lit(""))) + 1
-        )
 
-    def fill(s: Column) -> Column:
-        left, right = s["left"], s["right"]
-        missing = F.lit(8) - groups(left) - groups(right)
-        lead = F.when(left == "", F.lit("")).otherwise(F.concat(left, F.lit(":")))
-        filled = F.concat(lead, F.repeat(F.lit("0:"), missing), right)
-        return F.when(missing >= 1, F.regexp_replace(filled, ":$", ""))
+def dotted_sql(number: str) -> str:
+    """BIGINT to ``a.b.c.d``."""
+    return "concat_ws('.', " + ", ".join(
+        f"CAST(shiftright({number}, {s}) & 255 AS STRING)" for s in (24, 16, 8, 0)
+    ) + ")"
 
-    def expand(text: Column) -> Column:
-        sides = F.struct(
-            F.regexp_extract(text, r"^([0-9a-f:]*?)::([0-9a-f:]*)$", 1).alias("left"),
-            F.regexp_extract(text, r"^([0-9a-f:]*?)::([0-9a-f:]*)$", 2).alias("right"),
-        )
-        return F.when(text.contains("::"), let(sides, fill)).otherwise(text)
 
-    def check(full: Column) -> Column:
-        return F.when(full.rlike(r"^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"), full)
+def ipv6_sql(host: str) -> str:
+    """IPv6 address as eight groups joined by ``:`` (brackets dropped), else null."""
+    tail = _extract("b6", r":([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)$", 1)
+    hexed = bind(
+        f"named_struct('t', {tail}, 'n', {ipv4_sql(tail)})",
+        "t6",
+        "concat(substr(b6, 1, length(b6) - length(t6.t)), lower(hex(shiftright(t6.n, 16))), ':', "
+        "lower(hex(t6.n & 65535)))",
+    )
 
-    def parse(bare: Column) -> Column:
-        return F.when(bare.contains(":"), let(let(let(bare, hex_tail), expand), check))
+    def groups(side: str) -> str:
+        return f"CASE WHEN {side} = '' THEN 0 ELSE size(split({side}, ':')) END"
 
-    return let(F.lower(F.regexp_replace(host, r"^\[|\]$", "")), parse)
+    missing = f"(8 - {groups('s6.l')} - {groups('s6.r')})"
+    lead = "CASE WHEN s6.l = '' THEN '' ELSE concat(s6.l, ':') END"
+    filled = _replace(f"concat({lead}, repeat('0:', {missing}), s6.r)", ":$")
+    sides = (
+        f"named_struct('l', {_extract('x6', V6_SIDES, 1)}, 'r', {_extract('x6', V6_SIDES, 2)})"
+    )
+    expanded = (
+        "CASE WHEN contains(x6, '::') THEN "
+        + bind(sides, "s6", f"CASE WHEN {missing} >= 1 THEN {filled} END")
+        + " ELSE x6 END"
+    )
+    text = f"CASE WHEN contains(b6, '.') THEN {hexed} ELSE b6 END"
+    checked = bind(
+        bind(text, "x6", expanded),
+        "f6",
+        "CASE WHEN f6 RLIKE '^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$' THEN f6 END",
+    )
+    bare = f"lower({_replace(host, r'^' + chr(92) + '[|' + chr(92) + ']$')})"
+    return bind(bare, "b6", f"CASE WHEN contains(b6, ':') THEN {checked} END")
 
 
-def canonical_host(raw: Column) -> Column:
+def host_sql(raw: str) -> str:
     """Lower-cased http host with numeric spellings turned into ``a.b.c.d``;
     null when the host is not allowed in a URL."""
+    number = bind(ipv4_sql("lh"), "n5", f"CASE WHEN n5 IS NOT NULL THEN {dotted_sql('n5')} END")
+    return bind(
+        f"lower({raw})",
+        "lh",
+        f"CASE WHEN startswith(lh, '[') THEN CASE WHEN {ipv6_sql('lh')} IS NOT NULL THEN lh END "
+        f"WHEN lh = '' OR lh RLIKE {lit(BAD_HOST_CHARS)} THEN NULL "
+        f"WHEN lh RLIKE {lit(V4_LIKE)} THEN {number} ELSE lh END",
+    )
 
-    def check(low: Column) -> Column:
-        number = let(ipv4_number(low), lambda v: F.when(v.isNotNull(), dotted(v)))
-        return (
-            F.when(low.startswith("["), F.when(ipv6_text(low).isNotNull(), low))
-            .when((low == "") | low.rlike(BAD_HOST_CHARS), F.lit(None).cast("string"))
-            .when(low.rlike(V4_LIKE), number)
-            .otherwise(low)
-        )
 
-    return let(F.lower(raw), check)
+def parts_sql(url: str) -> str:
+    """``struct<scheme,host,port,path,query,fragment>``, null when not a URL."""
+    fields = ["scheme", "authority", "host", "port", "path", "query", "fragment"]
+    raw = "named_struct(" + ", ".join(
+        f"'{f}', {_extract('u1', URL, i + 1)}" for i, f in enumerate(fields)
+    ) + ")"
+    web = "lower(u2.scheme) IN ('http', 'https')"
+    checked = (
+        f"named_struct('scheme', lower(u2.scheme), 'web', {web}, 'host', CASE WHEN {web} THEN {host_sql('u2.host')} "
+        "ELSE lower(u2.host) END, 'port', try_cast(u2.port AS INT), 'path', u2.path, 'query', u2.query, "
+        "'fragment', u2.fragment)"
+    )
+    usual = "(u3.scheme = 'http' AND u3.port = 80) OR (u3.scheme = 'https' AND u3.port = 443)"
+    result = (
+        "CASE WHEN u3.scheme <> '' AND (NOT u3.web OR (u3.host IS NOT NULL AND u3.path RLIKE '^(/|$)')) "
+        "AND coalesce(u3.port <= 65535, true) THEN named_struct('scheme', u3.scheme, 'host', u3.host, "
+        f"'port', CASE WHEN {usual} THEN NULL ELSE u3.port END, "
+        "'path', CASE WHEN u3.web AND u3.path = '' THEN '/' ELSE u3.path END, "
+        "'query', u3.query, 'fragment', u3.fragment) END"
+    )
+    return bind(bind(bind(clean_sql(url), "u1", raw), "u2", checked), "u3", result)
 
 
-def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(clean_reference(url), URL, 1))
+def clean_reference(url: Column) -> Column:
+    return let(url, clean_sql("v"))
 
 
-def _raw_parts(text: Column) -> Column:
-    """The URL pattern applied once; numbers and host not checked yet."""
-    fields = ["scheme", "authority", "host", "port", "path", "query", "fragment"]
-    return F.struct(
-        *[F.regexp_extract(text, URL, i + 1).alias(f) for i, f in enumerate(fields)]
-    )
+def ipv4_number(host: Column) -> Column:
+    return let(host, ipv4_sql("v"))
 
 
-def _checked_parts(raw: Column) -> Column:
-    scheme = F.lower(raw["scheme"])
-    web = scheme.isin("http", "https")
-    return F.struct(
-        scheme.alias("scheme"),
-        web.alias("web"),
-        F.when(web, canonical_host(raw["host"])).otherwise(F.lower(raw["host"])).alias("host"),
-        raw["port"].try_cast("int").alias("port"),
-        raw["path"].alias("path"),
-        raw["query"].alias("query"),
-        raw["fragment"].alias("fragment"),
-    )
+def ipv6_text(host: Column) -> Column:
+    return let(host, ipv6_sql("v"))
 
 
 def url_parts(url: Column) -> Column:
     """``struct<scheme,host,port,path,query,fragment>``, null when not a URL."""
-
-    def result(p: Column) -> Column:
-        scheme, port, path = p["scheme"], p["port"], p["path"]
-        usual = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
-        valid = (
-            (scheme != "")
-            & (~p["web"] | (p["host"].isNotNull() & path.rlike("^(/|$)")))
-            & F.coalesce(port <= 65535, F.lit(True))
-        )
-        return F.when(
-            valid,
-            F.struct(
-                scheme.alias("scheme"),
-                p["host"].alias("host"),
-                F.when(~F.coalesce(usual, F.lit(False)), port).alias("port"),
-                F.when(p["web"] & (path == ""), F.lit("/")).otherwise(path).alias("path"),
-                p["query"].alias("query"),
-                p["fragment"].alias("fragment"),
-            ),
-        )
-
-    return let(let(let(clean_reference(url), _raw_parts), _checked_parts), result)
+    return let(url, parts_sql("v"))
 
 
 def url_host(url: Column) -> Column:
     """Canonical host of an http(s) URL, else null."""
-    return let(
-        url_parts(url), lambda p: F.when(p["scheme"].isin("http", "https"), p["host"])
-    )
+    pick = "CASE WHEN wh.scheme IN ('http', 'https') THEN wh.host END"
+    return let(url, bind(parts_sql("v"), "wh", pick))
+
+
+def url_scheme(url: Column) -> Column:
+    return F.lower(F.regexp_extract(clean_reference(url), URL, 1))
 
 
 def is_http(url: Column) -> Column:
@@ -274,148 +250,86 @@ def rstrip_slash(text: Column) -> Column:
 
 PATH_ENCODE = r"""[^\x21-\x7e]|["<>`{}]"""
 TAIL_ENCODE = r"""[^\x21-\x7e]|["<>]"""
+# references that are already in their final form: an absolute path, no dot
+# segments, nothing to encode
+PLAIN_PATH = r"^/([A-Za-z0-9_~!$&()*+,;=:@%?#-][A-Za-z0-9_~!$&()*+,;=:@%?#/.-]*)?$"
 
 
-def _percent_encode(text: Column, pattern: str) -> Column:
+def _encode_sql(text: str, pattern: str) -> str:
     """Percent-encode the UTF-8 bytes of characters that match ``pattern``."""
-    encoded = F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda c: F.when(
-                c.rlike(pattern),
-                F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", r"%$1"),
-            ).otherwise(c),
-        ),
-        "",
+    encoded = _replace("hex(encode(ch, 'UTF-8'))", "(..)", "%$1")
+    each = f"CASE WHEN ch RLIKE {lit(pattern)} THEN {encoded} ELSE ch END"
+    return (
+        f"CASE WHEN {text} RLIKE {lit(pattern)} THEN "
+        f"array_join(transform(split({text}, ''), ch -> {each}), '') ELSE {text} END"
     )
-    return F.when(text.rlike(pattern), encoded).otherwise(text)
 
 
-def _squeeze_dots(path: Column) -> Column:
+def _squeeze_sql(path: str) -> str:
     """Remove ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(F.substr(path, F.lit(2)), "/")
-    folded = F.aggregate(
-        segments,
-        F.lit(""),
-        lambda acc, s: F.when(s == "..", F.regexp_replace(acc, "/[^/]*$", ""))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.lit("/"), s)),
+    fold = (
+        f"aggregate(split(substr({path}, 2), '/'), '', (acc, sg) -> CASE WHEN sg = '..' "
+        f"THEN {_replace('acc', '/[^/]*$')} WHEN sg = '.' THEN acc ELSE concat(acc, '/', sg) END)"
     )
-    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(folded, F.lit("/"))).otherwise(folded)
-    return F.when(path.contains("/."), closed).otherwise(path)
+    close = f"CASE WHEN {path} RLIKE '/[.][.]?$' THEN '/' ELSE '' END"
+    return f"CASE WHEN contains({path}, '/.') THEN concat({fold}, {close}) ELSE {path} END"
 
 
 def base_parts(url: Column) -> Column:
     """The pieces of a page URL that references are resolved against."""
-
-    def pieces(p: Column) -> Column:
-        port = F.coalesce(F.concat(F.lit(":"), p["port"].cast("string")), F.lit(""))
-        return F.when(
-            p["scheme"].isin("http", "https"),
-            F.struct(
-                p["scheme"].alias("scheme"),
-                F.concat(p["host"], port).alias("site"),
-                p["path"].alias("path"),
-                p["query"].alias("query"),
-            ),
-        )
-
-    return let(url_parts(url), pieces)
-
-
-def resolve_all(hrefs: Column, base: Column) -> Column:
-    """Resolve an array of references against ``base`` (see :func:`base_parts`).
-
-    Gives an array of the same length, null where a reference is not a URL.
-    Each stage binds its results in a struct, so nothing is computed twice.
-    """
-
-    def split_ref(h: Column) -> Column:
-        ref = clean_reference(h)
-        return F.struct(
-            ref.alias("ref"),
-            F.lower(F.regexp_extract(ref, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)).alias("scheme"),
-        )
-
-    def locate(r: Column) -> Column:
-        ref, scheme = r["ref"], r["scheme"]
-        absolute = scheme.isin("http", "https") | ((scheme == "") & ref.startswith("//"))
-        full = F.when(scheme == "", F.concat(base["scheme"], F.lit(":"), ref)).otherwise(ref)
-        rel = F.struct(
-            F.regexp_extract(ref, r"^[^?#]*", 0).alias("path"),
-            F.regexp_extract(ref, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
-            F.regexp_extract(ref, r"(#[\s\S]*)$", 1).alias("frag"),
-        )
-
-        def outside(p: Column) -> Column:
-            port = F.coalesce(F.concat(F.lit(":"), p["port"].cast("string")), F.lit(""))
-            return F.struct(
-                F.lit(None).cast("string").alias("opaque"),
-                p["scheme"].alias("scheme"),
-                F.concat(p["host"], port).alias("site"),
-                p["path"].alias("path"),
-                F.concat(p["query"], p["fragment"]).alias("tail"),
-            )
-
-        def inside(p: Column) -> Column:
-            folder = F.regexp_replace(base["path"], "[^/]*$", "")
-            stay = (p["path"] == "") & (p["query"] == "")
-            return F.struct(
-                F.lit(None).cast("string").alias("opaque"),
-                base["scheme"].alias("scheme"),
-                base["site"].alias("site"),
-                F.when(p["path"].startswith("/"), p["path"])
-                .when(p["path"] == "", base["path"])
-                .otherwise(F.concat(folder, p["path"]))
-                .alias("path"),
-                F.concat(F.when(stay, base["query"]).otherwise(p["query"]), p["frag"]).alias(
-                    "tail"
-                ),
-            )
-
-        nothing = F.lit(None).cast("string")
-        return (
-            F.when(
-                (scheme != "") & ~scheme.isin("http", "https"),
-                F.struct(
-                    ref.alias("opaque"),
-                    nothing.alias("scheme"),
-                    nothing.alias("site"),
-                    nothing.alias("path"),
-                    nothing.alias("tail"),
-                ),
-            )
-            .when(absolute, let(url_parts(full), outside))
-            .otherwise(let(rel, inside))
-        )
-
-    def write(u: Column) -> Column:
-        return F.when(u["opaque"].isNotNull(), u["opaque"]).otherwise(
-            F.concat(
-                u["scheme"],
-                F.lit("://"),
-                u["site"],
-                _percent_encode(_squeeze_dots(u["path"]), PATH_ENCODE),
-                _percent_encode(u["tail"], TAIL_ENCODE),
-            )
-        )
-
-    return F.transform(F.transform(F.transform(hrefs, split_ref), locate), write)
+    pieces = (
+        "CASE WHEN bp.scheme IN ('http', 'https') THEN named_struct('scheme', bp.scheme, 'site', "
+        "concat(bp.host, coalesce(concat(':', bp.port), '')), 'path', bp.path, 'query', bp.query) END"
+    )
+    return let(url, bind(parts_sql("v"), "bp", pieces))
 
 
-# references that are already in their final form: an absolute path, no dot
-# segments, nothing to encode
-PLAIN_PATH = r"^/([A-Za-z0-9_~!$&()*+,;=:@%?#-][A-Za-z0-9_~!$&()*+,;=:@%?#/.-]*)?$"
+def resolve_sql(href: str, base: str) -> str:
+    """A reference against base parts; null when it is not a URL."""
+    nothing = "CAST(NULL AS STRING)"
+    outside = bind(
+        parts_sql(f"CASE WHEN r1.scheme = '' THEN concat({base}.scheme, ':', r1.ref) ELSE r1.ref END"),
+        "o1",
+        f"named_struct('opaque', {nothing}, 'scheme', o1.scheme, 'site', concat(o1.host, "
+        "coalesce(concat(':', o1.port), '')), 'path', o1.path, 'tail', concat(o1.query, o1.fragment))",
+    )
+    relative = (
+        f"named_struct('path', {_extract('r1.ref', r'^[^?#]*', 0)}, "
+        f"'query', {_extract('r1.ref', r'^[^?#]*([?][^#]*)', 1)}, "
+        f"'frag', {_extract('r1.ref', r'(#[' + chr(92) + 's' + chr(92) + 'S]*)$', 1)})"
+    )
+    inside = bind(
+        relative,
+        "i1",
+        f"named_struct('opaque', {nothing}, 'scheme', {base}.scheme, 'site', {base}.site, "
+        f"'path', CASE WHEN startswith(i1.path, '/') THEN i1.path WHEN i1.path = '' THEN {base}.path "
+        f"ELSE concat({_replace(base + '.path', '[^/]*$')}, i1.path) END, "
+        f"'tail', concat(CASE WHEN i1.path = '' AND i1.query = '' THEN {base}.query ELSE i1.query END, i1.frag))",
+    )
+    located = (
+        "CASE WHEN r1.scheme <> '' AND r1.scheme NOT IN ('http', 'https') THEN named_struct('opaque', r1.ref, "
+        f"'scheme', {nothing}, 'site', {nothing}, 'path', {nothing}, 'tail', {nothing}) "
+        f"WHEN r1.scheme <> '' OR startswith(r1.ref, '//') THEN {outside} ELSE {inside} END"
+    )
+    written = (
+        "CASE WHEN w1.opaque IS NOT NULL THEN w1.opaque ELSE concat(w1.scheme, '://', w1.site, "
+        f"{bind(_squeeze_sql('w1.path'), 'sq', _encode_sql('sq', PATH_ENCODE))}, "
+        f"{_encode_sql('w1.tail', TAIL_ENCODE)}) END"
+    )
+    scheme = f"lower({_extract('r0', r'^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)})"
+    split = bind(clean_sql(href), "r0", f"named_struct('ref', r0, 'scheme', {scheme})")
+    slow = bind(bind(split, "r1", located), "w1", written)
+    return (
+        f"CASE WHEN {href} RLIKE {lit(PLAIN_PATH)} AND NOT contains({href}, '/.') "
+        f"THEN concat({base}.scheme, '://', {base}.site, {href}) ELSE {slow} END"
+    )
 
 
 def resolve_against(href: Column, base: Column) -> Column:
     """One reference against base parts; null when it is not a URL."""
-    plain = href.rlike(PLAIN_PATH) & ~href.contains("/.")
-    return F.when(
-        plain, F.concat(base["scheme"], F.lit("://"), base["site"], href)
-    ).otherwise(F.get(resolve_all(F.array(href), base), F.lit(0)))
+    return let(F.struct(href.alias("h"), base.alias("b")), resolve_sql("v.h", "v.b"))
 
 
 def resolve_url(href: Column, base_url: Column) -> Column:
     """One reference against one page URL; null when it is not a URL."""
-    return let(base_parts(base_url), lambda base: resolve_against(href, base))
+    return resolve_against(href, base_parts(base_url))

@@ -23,21 +23,11 @@ def tags(markup: Column, pattern: str) -> Column:
 def meta_entries(markup: Column) -> Column:
     """``array<struct<key,content>>`` of usable meta tags, in page order."""
 
-    def read(tag: Column) -> Column:
-        return F.struct(
-            *[T.attr_value(tag, a).alias(a) for a in ("name", "property", "itemprop", "content")]
-        )
-
-    def entry(m: Column) -> Column:
-        key = (
-            F.when(m["name"] != "", m["name"])
-            .when(m["property"] != "", m["property"])
-            .otherwise(m["itemprop"])
-        )
-        return F.struct(F.lower(key).alias("key"), m["content"].alias("content"))
-
-    entries = F.transform(F.transform(tags(markup, META_TAG), read), entry)
-    return F.filter(entries, lambda e: (e["key"] != "") & (e["content"] != ""))
+    fields = ", ".join(f"'{a}', {T.attr_sql('tg', a)}" for a in ("name", "property", "itemprop", "content"))
+    key = "CASE WHEN m.name <> '' THEN m.name WHEN m.property <> '' THEN m.property ELSE m.itemprop END"
+    read = f"transform(v, tg -> named_struct({fields}))"
+    keyed = f"transform({read}, m -> named_struct('key', lower({key}), 'content', m.content))"
+    return U.let(tags(markup, META_TAG), f"filter({keyed}, e -> e.key <> '' AND e.content <> '')")
 
 
 def meta_map(entries: Column) -> Column:
@@ -51,12 +41,8 @@ def meta_map(entries: Column) -> Column:
 
 
 def _link_entries(markup: Column) -> Column:
-    return F.transform(
-        tags(markup, LINK_TAG),
-        lambda t: F.struct(
-            F.lower(T.attr_value(t, "rel")).alias("rel"), T.attr_value(t, "href").alias("href")
-        ),
-    )
+    entry = f"named_struct('rel', lower({T.attr_sql('tg', 'rel')}), 'href', {T.attr_sql('tg', 'href')})"
+    return U.let(tags(markup, LINK_TAG), f"transform(v, tg -> {entry})")
 
 
 def _first_link(links: Column, rels: list[str]) -> Column:
@@ -66,12 +52,12 @@ def _first_link(links: Column, rels: list[str]) -> Column:
 
 def page_links(markup: Column, base: Column) -> Column:
     """Absolute http(s) targets of a page, unique, in first-seen order."""
-    raw = F.transform(tags(markup, ANCHOR_TAG), lambda t: T.attr_raw(t, "href"))
-    present = F.filter(raw, lambda r: r != "")
-    resolved = F.transform(present, lambda r: U.resolve_against(T.unquote(r), base))
-    return F.array_distinct(
-        F.filter(resolved, lambda u: u.isNotNull() & u.rlike("^https?:"))
-    )
+    raw = f"regexp_extract(tg, {U.lit(T.attr_pattern('href'))}, 1)"
+    present = f"filter(transform(v.tags, tg -> {raw}), rw -> rw <> '')"
+    target = U.bind(T.unquote_sql("rw"), "hv", U.resolve_sql("hv", "v.base"))
+    resolved = f"transform({present}, rw -> {target})"
+    kept = f"array_distinct(filter({resolved}, lk -> lk RLIKE '^https?:'))"
+    return U.let(F.struct(tags(markup, ANCHOR_TAG).alias("tags"), base.alias("base")), kept)
 
 
 def with_markup(pages: DataFrame, html: str = "html") -> DataFrame:

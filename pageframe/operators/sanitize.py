@@ -137,12 +137,13 @@ def link_target() -> Column:
     """Absolute href of an ``<a>`` open tag; the raw text when it does not
     resolve, ``''`` when there is none."""
     anchor = is_open_tag() & (F.col("tag") == "a") & F.col("tok").contains("=")
-
-    def pick(href: Column) -> Column:
-        target = F.coalesce(U.resolve_against(href, F.col("base")), href)
-        return F.when(href != "", target).otherwise("")
-
-    return F.when(anchor, U.let(T.attr_value(F.col("tok"), "href"), pick)).otherwise("")
+    target = U.bind(
+        T.attr_sql("v.t", "href"),
+        "hv",
+        f"CASE WHEN hv <> '' THEN coalesce({U.resolve_sql('hv', 'v.b')}, hv) ELSE '' END",
+    )
+    pair = F.struct(F.col("tok").alias("t"), F.col("base").alias("b"))
+    return F.when(anchor, U.let(pair, target)).otherwise("")
 
 
 def absolutise_hrefs(tokens: DataFrame) -> DataFrame:

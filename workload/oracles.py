@@ -842,3 +842,248 @@ ORACLES["response_json"] = chain(
           + " END || CASE WHEN can IS NULL THEN '' ELSE ',\"canonicalURL\":' || " + json_text("can")
           + " END || '}}' AS response FROM allmeta",
 )
+
+# --- search ------------------------------------------------------------------
+
+QUERIES = f"queries AS ({I.duck(I.QUERIES)})"
+_RESPONSE_HITS = [
+    PLAIN, *markup_ctes(), *link_ctes(),
+    "rh AS (SELECT page_id AS query_id, link_pos AS src_pos, CASE WHEN link_pos % 3 > 0 THEN 'link ' || link_pos END AS title,"
+    " link AS url, 'google' AS engine, CASE WHEN link_pos % 2 = 0 THEN 'brave|arxiv' END AS engines,"
+    " CASE WHEN link_pos <> 1 THEN link_pos / 2.0::DOUBLE END AS score FROM edges WHERE page_id % 5 <> 0)",
+]
+ORACLES["read_hits"] = chain(
+    *_RESPONSE_HITS,
+    final="SELECT query_id, src_pos, title, url, engine, engines, score::DOUBLE AS score FROM rh",
+)
+ORACLES["read_requests"] = (
+    "SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'html|links' ELSE 'markdown' END AS formats, "
+    "page_id % 4 <> 0 AS only_main FROM pages"
+)
+ORACLES["read_search_requests"] = chain(
+    QUERIES,
+    final="SELECT query_id, query, limit_raw, array_to_string(sources, '|') AS sources, '' AS formats, "
+          "true AS only_main FROM queries",
+)
+ORACLES["validate_query"] = chain(
+    QUERIES,
+    final="SELECT query_id, CASE WHEN coalesce(query, '') = '' THEN 400 WHEN trim(query) = '' THEN 500 ELSE 200 END "
+          "AS code FROM queries",
+)
+_LIMIT = (
+    "CASE WHEN TRY_CAST(nullif(trim(limit_raw), '') AS DOUBLE) > 0 THEN "
+    "CAST(least(floor(TRY_CAST(limit_raw AS DOUBLE)), 20) AS INTEGER) ELSE 10 END"
+)
+ORACLES["coerce_limit"] = chain(QUERIES, final=f"SELECT query_id, {_LIMIT} AS result_limit FROM queries")
+ORACLES["requested_engines"] = chain(
+    QUERIES,
+    final="SELECT query_id, coalesce(array_to_string(list_filter(sources, lambda s: s <> 'web'), '|'), '') AS engines "
+          "FROM queries",
+)
+ORACLES["effective_query"] = chain(
+    QUERIES,
+    final="SELECT query_id, CASE WHEN len(domains) > 0 THEN query || ' (' || array_to_string("
+          "list_transform(domains, lambda d: 'site:' || d), ' OR ') || ')' ELSE query END AS effective FROM queries",
+)
+NORMAL = [
+    HITS,
+    "nh AS (SELECT query_id, src_pos, coalesce(title, '') AS title, coalesce(url, '') AS url,"
+    " coalesce(content, '') AS snippet,"
+    " CASE WHEN engines IS NOT NULL THEN array_to_string(engines, '|') ELSE coalesce(engine, '') END AS engines,"
+    " coalesce(score, 0) AS score, \"publishedDate\","
+    " CASE WHEN coalesce(category, '') = '' THEN 'general' ELSE category END AS category FROM hits)",
+]
+SHOWN = "query_id, src_pos, url, score"
+ORACLES["normalize_hits"] = chain(*NORMAL, final="SELECT * FROM nh")
+_ENABLED = [n for n, off, _ in K.ENGINE_SETTINGS if not off]
+ORACLES["engine_filter"] = chain(
+    *NORMAL,
+    final=f"SELECT {SHOWN} FROM nh WHERE len(list_filter(string_split(engines, '|'), lambda e: e IN {names(_ENABLED)})) > 0",
+)
+ORACLES["hit_filter"] = chain(
+    *NORMAL,
+    final=f"SELECT {SHOWN} FROM nh WHERE len(list_filter(string_split(engines, '|'), lambda e: e IN ('google', 'brave'))) > 0 "
+          "AND category = 'general' AND \"publishedDate\" >= '2024-01-10'",
+)
+_NH_HOST = [*NORMAL, *with_host("nh", "w")]
+
+
+def domain_test(domains: str) -> str:
+    return (
+        f"EXISTS (SELECT 1 FROM ({I.duck(domains)}) d WHERE whost = lower(d.domain) "
+        "OR ends_with(whost, '.' || lower(d.domain)))"
+    )
+
+
+ORACLES["include_domains"] = chain(
+    *_NH_HOST, final=f"SELECT {SHOWN} FROM w WHERE {domain_test(I.DOMAINS_INCLUDED)}"
+)
+ORACLES["exclude_domains"] = chain(
+    *_NH_HOST, final=f"SELECT {SHOWN} FROM w WHERE NOT {domain_test(I.DOMAINS_EXCLUDED)}"
+)
+
+
+def dedup_cte(src: str, out: str) -> str:
+    return (
+        f"{out} AS (SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY query_id, "
+        "lower(regexp_replace(url, '/$', '')) ORDER BY src_pos) = 1)"
+    )
+
+
+ORACLES["dedup_hits"] = chain(*NORMAL, dedup_cte("nh", "dd"), final=f"SELECT {SHOWN} FROM dd")
+ORACLES["hit_paging"] = chain(
+    *NORMAL,
+    final=f"SELECT {SHOWN} FROM nh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY src_pos) BETWEEN 11 AND 20",
+)
+_RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src_pos) AS INTEGER)"
+TOP = [
+    *_NH_HOST,
+    f"kept AS (SELECT * FROM w WHERE NOT {domain_test(I.DOMAINS_EXCLUDED)})",
+    dedup_cte("kept", "dd"),
+    f"top AS (SELECT * FROM (SELECT *, {_RANK} AS rnk FROM dd) WHERE rnk <= 10)",
+]
+ORACLES["top_hits"] = chain(*TOP, final="SELECT query_id, rnk AS position, src_pos, url, score FROM top")
+ORACLES["top_hits_per_limit"] = chain(
+    *NORMAL, QUERIES, dedup_cte("nh", "dd"), f"lim AS (SELECT query_id, {_LIMIT} AS n FROM queries)",
+    final=f"SELECT query_id, rnk AS position, src_pos, url, score FROM (SELECT *, {_RANK} AS rnk FROM dd JOIN lim "
+          "USING (query_id)) WHERE rnk <= n",
+)
+WEB = [*TOP, "web AS (SELECT query_id, rnk AS position, url, title, snippet AS description, 'web' AS category FROM top)"]
+ORACLES["web_results"] = chain(*WEB, final="SELECT * FROM web")
+ORACLES["search_meta"] = chain(
+    *_RESPONSE_HITS, dedup_cte("rh", "dd"),
+    "cnt AS (SELECT query_id, least(count(*), 3) AS n FROM dd GROUP BY query_id)",
+    final="SELECT page_id AS query_id, 'q' || page_id AS query, 'q' || page_id AS effective_query, "
+          "CAST(coalesce(CASE WHEN page_id % 3 = 0 THEN page_id * 10 END, n, 0) AS BIGINT) AS total_results, "
+          "CASE WHEN page_id % 2 = 0 THEN 'more|less' ELSE '' END AS suggestions, '' AS answers, 0 AS n_unresponsive "
+          "FROM pages LEFT JOIN cnt ON query_id = page_id",
+)
+# pages are read as the source of the extraction part, hits as the other
+_EXTRACTED = [
+    PLAIN, *_PAGE_MD, *link_ctes(),
+    f"ext AS (SELECT page_id, url AS page_url, coalesce({normalized('md')}, '') AS markdown, coalesce(links, '') AS links"
+    " FROM src LEFT JOIN joined USING (page_id) LEFT JOIN linked USING (page_id))",
+]
+_SEARCHED = [
+    *_EXTRACTED, *WEB,
+    "found AS (SELECT web.*, nullif(markdown, '') AS markdown, links FROM web LEFT JOIN ext ON page_url = url)",
+]
+ORACLES["search_and_extract"] = chain(*_SEARCHED, final="SELECT * FROM found")
+_SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+
+def pack_sql(src: str, entry: str, sep: str) -> str:
+    return f"SELECT query_id, string_agg({entry}, {sep} ORDER BY position) AS context FROM {src} GROUP BY query_id"
+
+
+ORACLES["context_pack"] = chain(
+    *_SEARCHED,
+    final=pack_sql(
+        "found",
+        "'**' || title || '** (' || url || ')' || chr(10) || chr(10) || coalesce(markdown, description, '')",
+        _SEP,
+    ),
+)
+ORACLES["context_pack_heading"] = chain(
+    *WEB,
+    final=pack_sql("web", "'# ' || title || chr(10) || url || chr(10) || chr(10) || description", _SEP),
+)
+ORACLES["context_pack_plain"] = chain(
+    *WEB, final=pack_sql("web", "title || chr(10) || description", "chr(10) || chr(10)")
+)
+ORACLES["corpus_hits"] = chain(
+    "dt AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents)",
+    "qt AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM benchmark)",
+    "sc AS (SELECT item_id, doc_id, count(*) AS score FROM dt JOIN qt USING (term) WHERE length(term) >= 8 "
+    "GROUP BY item_id, doc_id)",
+    final="SELECT item_id AS query_id, doc_id, score, substr(text, 1, 160) AS snippet FROM sc JOIN documents USING (doc_id)",
+)
+
+# --- requests and store ------------------------------------------------------
+
+REQUESTS = f"req AS ({I.duck(I.REQUESTS)})"
+ORACLES["scrape_outcome"] = chain(
+    FETCHED, REQUESTS, *with_host("req", "w"),
+    f"r AS (SELECT request_id, url, {REASON} AS reason FROM w)",
+    "f AS (SELECT DISTINCT url AS furl FROM src WHERE contains(lower(content_type), 'application/pdf'))",
+    final="SELECT request_id, url, CASE WHEN coalesce(url, '') = '' THEN 400 WHEN reason IS NOT NULL THEN 422 "
+          "WHEN furl IS NOT NULL THEN 500 ELSE 200 END AS code, CASE WHEN coalesce(url, '') = '' THEN "
+          "'Missing URL in request body.' WHEN reason IS NOT NULL THEN 'blocked_url' WHEN furl IS NOT NULL THEN "
+          "'extraction_failed' END AS error, CASE WHEN coalesce(url, '') = '' THEN NULL WHEN reason IS NOT NULL THEN reason "
+          "WHEN furl IS NOT NULL THEN 'Unsupported content-type: application/pdf' END AS detail "
+          "FROM r LEFT JOIN f ON furl = url",
+)
+STORED = f"st AS (SELECT *, {key_expr('url')} AS cache_key FROM ({I.duck(I.STORE)}))"
+ORACLES["extract_batch"] = chain(
+    *_EXTRACTED, REQUESTS, *with_host("req", "w"), STORED,
+    f"r AS (SELECT request_id, url, {REASON} AS reason FROM w)",
+    "fr AS (SELECT url AS surl, value FROM st WHERE age_minutes <= 60)",
+    final="SELECT request_id, url, reason, CASE WHEN reason IS NOT NULL THEN 'blocked' WHEN surl IS NOT NULL THEN 'store' "
+          "WHEN page_url IS NOT NULL THEN 'extracted' ELSE 'missing' END AS source, CASE WHEN reason IS NULL THEN "
+          "coalesce(value, markdown) END AS content FROM r LEFT JOIN fr ON surl = url LEFT JOIN ext ON page_url = url",
+)
+ORACLES["store_upsert"] = chain(
+    STORED,
+    final="SELECT cache_key, url, CASE WHEN page_id % 2 = 0 THEN value ELSE 'new' || page_id END AS value FROM st",
+)
+ORACLES["store_fresh"] = chain(STORED, final="SELECT cache_key, value FROM st WHERE age_minutes <= 60")
+ORACLES["store_retain"] = chain(
+    STORED, final="SELECT cache_key, value FROM st ORDER BY age_minutes, cache_key LIMIT 100"
+)
+# one step per miss: the next one is the first request after the time to live
+ORACLES["ttl_hits"] = chain(
+    "lg AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t FROM events)",
+    "ms AS (SELECT user_id, min(t) AS t FROM lg GROUP BY user_id UNION ALL "
+    "SELECT m.user_id, (SELECT min(x.t) FROM lg x WHERE x.user_id = m.user_id AND x.t > m.t + 86400000) AS t "
+    "FROM ms m WHERE m.t IS NOT NULL)",
+    "fs AS (SELECT min(event_id) AS event_id FROM lg JOIN ms ON lg.user_id = ms.user_id AND lg.t = ms.t "
+    "GROUP BY lg.user_id, lg.t)",
+    final="SELECT event_id AS request_id, user_id AS cache_key, event_id IN (SELECT event_id FROM fs) AS is_miss FROM lg",
+)
+ORACLES["stream_ttl_exact"] = ORACLES["ttl_hits"]
+
+# --- metrics and streaming ---------------------------------------------------
+
+LOG = f"lg AS ({I.duck(I.REQUEST_LOG)})"
+_BUCKETS = ", ".join(
+    f"count(CASE WHEN duration_s <= {b} THEN 1 END) AS le_{f'{b:g}'.replace('.', '_')}" for b in K.DURATION_BUCKETS
+)
+ORACLES["duration_histogram"] = chain(
+    LOG,
+    final=f"SELECT method, route, code, {_BUCKETS}, round(sum(duration_s), 4) AS duration_sum, "
+          "count(duration_s) AS duration_count FROM lg GROUP BY method, route, code",
+)
+ORACLES["run_summary"] = chain(
+    LOG,
+    final="SELECT count(*) AS total, count(CASE WHEN code = 200 THEN 1 END) AS ok, count(CASE WHEN code <> 200 THEN 1 END) "
+          "AS failed, (max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000)) / 1000.0::DOUBLE AS elapsed_s, "
+          "round(count(*) / ((max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000)) / 1000.0::DOUBLE), 9) AS rate FROM lg",
+)
+ORACLES["health_rollup"] = chain(
+    f"ck AS ({I.duck(I.CHECKS)})",
+    final="SELECT run_id, CASE WHEN bool_and(status = 'ok') THEN 'healthy' ELSE 'degraded' END AS status, "
+          "CASE WHEN bool_and(status = 'ok') THEN 200 ELSE 503 END AS code, count(*) AS checks FROM ck GROUP BY run_id",
+)
+ORACLES["round_robin"] = (
+    "SELECT event_id + 1 AS item, (['alpha', 'beta', 'gamma', 'delta', 'epsilon'])[(event_id + 1) % 5 + 1] AS target FROM events"
+)
+ORACLES["stream_extract"] = chain(
+    PLAIN, *markup_ctes(), *link_ctes(), *meta_ctes(),
+    final="SELECT page_id, url, CASE WHEN length(html) >= 2000 THEN 'fast' ELSE 'render' END AS route, "
+          "coalesce(links, '') AS links, coalesce(_ogt, nullif(ttl, ''), '') AS title, "
+          "coalesce(nullif(lang, ''), _ogl, '') AS language FROM allmeta LEFT JOIN linked USING (page_id)",
+)
+_ENGINE_LIST = "[" + ", ".join(q(n) for n, _, _ in K.ENGINE_SETTINGS) + "]"
+ORACLES["stream_policy"] = chain(
+    *with_host("pages", "w"),
+    f"r AS (SELECT page_id, ({_ENGINE_LIST})[page_id % {len(K.ENGINE_SETTINGS)} + 1] AS engine, {REASON} AS reason FROM w)",
+    final=f"SELECT page_id, engine, reason IS NULL AS ok, reason FROM r WHERE engine IN {names(_ENABLED)}",
+)
+# windows that the watermark has closed: the last event minus one hour decides
+ORACLES["stream_histogram"] = chain(
+    LOG,
+    final="SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, method, route, code, "
+          "count(CASE WHEN duration_s <= 1 THEN 1 END) AS le_1, count(CASE WHEN duration_s <= 10 THEN 1 END) AS le_10, "
+          "count(duration_s) AS duration_count FROM lg GROUP BY ALL HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY "
+          "<= (SELECT max(ts) - INTERVAL 1 HOUR FROM lg)",
+)

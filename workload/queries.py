@@ -593,7 +593,7 @@ def corpus_hits(spark, sf):
     queries = I.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    return Q.corpus_hits(I.table(spark, sf, "documents"), queries, min_chars=10)
+    return Q.corpus_hits(I.table(spark, sf, "documents"), queries, min_chars=8)
 
 
 # --- requests and store ------------------------------------------------------
