@@ -12,19 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageframe import constants as K
-
-_W_RUNS = (
-    Window.partitionBy("page_id")
-    .orderBy("rb")
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-)
-_W_LEVEL = (
-    Window.partitionBy("page_id", "_level")
-    .orderBy("rb")
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-)
-_W_OWNER = Window.partitionBy("page_id", "_owner")
-_W_WHOLE = Window.partitionBy("page_id")
+from pageframe.operators.tokens import running
 
 
 def run_points() -> Column:
@@ -38,13 +26,14 @@ def run_points() -> Column:
 def mark_main(runs: DataFrame) -> DataFrame:
     """Add ``in_main``: does the run lie in the winning container?  Null when
     no container of the page holds text."""
+    along, owner = running("page_id", order="rb"), Window.partitionBy("page_id", "_owner")
     opens, closes = F.col("container_up") == 1, F.col("container_down") == -1
     deep = runs.withColumns(
         {
             "_depth": F.sum(F.col("container_up") * opens.cast("int") + F.col("container_down")).over(
-                _W_RUNS
+                along
             ),
-            "_seen": F.sum("txt_len").over(_W_RUNS),
+            "_seen": F.sum("txt_len").over(along),
         }
     )
     own = F.when(closes, F.col("_depth") + 1).otherwise(F.col("_depth"))
@@ -63,16 +52,16 @@ def mark_main(runs: DataFrame) -> DataFrame:
         "_owner",
         F.when(
             F.col("_level").isNotNull(),
-            F.last(F.when(opens, F.col("rb")), ignorenulls=True).over(_W_LEVEL),
+            F.last(F.when(opens, F.col("rb")), ignorenulls=True).over(running("page_id", "_level", order="rb")),
         ),
     )
     weights = F.array(*[F.lit(w) for w in K.ANCESTOR_WEIGHTS])
     points = F.when(scored, run_points() * F.get(weights, F.col("_up"))).otherwise(0)
     totals = owned.withColumns(
         {
-            "_score": F.sum(points).over(_W_OWNER),
-            "_chars": (F.max("_seen").over(_W_OWNER) - F.min("_seen").over(_W_OWNER)),
-            "_end": F.max(F.when(closes, F.col("rb"))).over(_W_OWNER),
+            "_score": F.sum(points).over(owner),
+            "_chars": (F.max("_seen").over(owner) - F.min("_seen").over(owner)),
+            "_end": F.max(F.when(closes, F.col("rb"))).over(owner),
         }
     )
     tier = (
@@ -89,7 +78,7 @@ def mark_main(runs: DataFrame) -> DataFrame:
             F.col("_end").alias("end"),
         ),
     )
-    won = totals.withColumn("_best", F.max(candidate).over(_W_WHOLE)).where(F.col("_up") == 0)
+    won = totals.withColumn("_best", F.max(candidate).over(Window.partitionBy("page_id"))).where(F.col("_up") == 0)
     return won.withColumn(
         "in_main",
         F.col("rb").between(F.col("_best.start"), F.col("_best.end")),

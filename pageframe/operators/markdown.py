@@ -16,13 +16,7 @@ from pyspark.sql import functions as F
 from pageframe import constants as K
 from pageframe.functions import text as T
 from pageframe.operators.sanitize import stripped_tag
-from pageframe.operators.tokens import W_PAGE, is_open_tag
-
-_W_LIST = (
-    Window.partitionBy("page_id", "_list_depth")
-    .orderBy("pos")
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-)
+from pageframe.operators.tokens import is_open_tag, running
 
 RUN_CONTEXT = (
     "mb", "opener", "quote_depth", "quote_root", "list_depth", "list_root",
@@ -43,11 +37,12 @@ def annotate(tokens: DataFrame, rules: dict[str, tuple[str, str]] | None = None,
              with_html: bool = False) -> DataFrame:
     """Block numbers, nesting context and the text piece of every token."""
     rules = K.INLINE_RULES if rules is None else rules
+    along, in_list = running("page_id"), running("page_id", "_list_depth")
     tag, opened, closed = F.col("tag"), is_open_tag(), F.col("is_close")
     step = F.when(closed, -1).otherwise(1)
 
     def depth(*names: str) -> Column:
-        return F.sum(F.when(tag.isin(*names) & ~F.col("is_void"), step).otherwise(0)).over(W_PAGE)
+        return F.sum(F.when(tag.isin(*names) & ~F.col("is_void"), step).otherwise(0)).over(along)
 
     cell_state = F.when(tag.isin(K.CELL_TAGS), opened).when(
         tag.isin("tr", "table", "thead", "tbody", "tfoot"), F.lit(False)
@@ -62,9 +57,9 @@ def annotate(tokens: DataFrame, rules: dict[str, tuple[str, str]] | None = None,
     )
     stage1 = decoded.withColumns(
         {
-            "_in_cell": F.coalesce(F.last(cell_state, ignorenulls=True).over(W_PAGE), F.lit(False)),
+            "_in_cell": F.coalesce(F.last(cell_state, ignorenulls=True).over(along), F.lit(False)),
             "_row_open": F.coalesce(
-                F.last(F.when(tag == "tr", opened).when(tag == "table", F.lit(False)), True).over(W_PAGE),
+                F.last(F.when(tag == "tr", opened).when(tag == "table", F.lit(False)), True).over(along),
                 F.lit(False),
             ),
             "_quote": depth("blockquote"),
@@ -85,19 +80,19 @@ def annotate(tokens: DataFrame, rules: dict[str, tuple[str, str]] | None = None,
     ).withColumns(
         {
             # a line tag owns an odd number, the content after it the next even one
-            "rb": 2 * F.sum(F.col("_line").cast("int")).over(W_PAGE)
+            "rb": 2 * F.sum(F.col("_line").cast("int")).over(along)
             - F.col("_line").cast("int"),
-            "mb": 2 * F.sum(F.col("_md_line").cast("int")).over(W_PAGE)
+            "mb": 2 * F.sum(F.col("_md_line").cast("int")).over(along)
             - F.col("_md_line").cast("int"),
             "opener": F.last(
                 F.when(F.col("_md_line"), F.when(closed, "").otherwise(tag)), ignorenulls=True
-            ).over(W_PAGE),
+            ).over(along),
             "quote_root": F.sum(
                 F.when((tag == "blockquote") & opened & (F.col("_quote") == 1), 1).otherwise(0)
-            ).over(W_PAGE),
+            ).over(along),
             "list_root": F.sum(
                 F.when(tag.isin("ul", "ol") & opened & (F.col("_list") == 1), 1).otherwise(0)
-            ).over(W_PAGE),
+            ).over(along),
         }
     )
     in_pre, in_code = F.col("_pre") > 0, F.col("_code") > 0
@@ -127,8 +122,8 @@ def annotate(tokens: DataFrame, rules: dict[str, tuple[str, str]] | None = None,
             "commas": F.when(
                 is_text, F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit("")))
             ).otherwise(0),
-            "_li": F.sum(F.when((tag == "li") & opened, 1).otherwise(0)).over(_W_LIST),
-            "item_pos": F.last(F.when((tag == "li") & opened, F.col("pos")), True).over(_W_LIST),
+            "_li": F.sum(F.when((tag == "li") & opened, 1).otherwise(0)).over(in_list),
+            "item_pos": F.last(F.when((tag == "li") & opened, F.col("pos")), True).over(in_list),
             "in_pre": in_pre,
             "in_pre_code": in_pre & in_code,
             "quote_depth": F.greatest(F.col("_quote"), F.lit(0)),
@@ -141,7 +136,7 @@ def annotate(tokens: DataFrame, rules: dict[str, tuple[str, str]] | None = None,
             F.struct(F.col("_li").alias("before"), tag.alias("tag")),
         ),
         ignorenulls=True,
-    ).over(_W_LIST)
+    ).over(in_list)
     numbered = pieces.withColumn("_list_start", started).withColumns(
         {
             "item_no": F.col("_li") - F.col("_list_start.before"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pageframe import constants as K
 from pageframe.functions import text as T
 from pageframe.functions import urls as U
-from pageframe.operators.tokens import W_LEVEL, W_PAGE, is_open_tag, pair_elements
+from pageframe.operators.tokens import is_open_tag, pair_elements, running, same_level
 
 LINE_TAGS = K.MARKDOWN_BLOCK_TAGS + K.CELL_TAGS + K.STRUCTURE_TAGS
 
@@ -46,12 +46,13 @@ def _drop_subtrees(paired: DataFrame, match: Column) -> DataFrame:
     page.  An open tag without a close runs to the end of the page when it is a
     container, otherwise to the next tag that starts a new line.
     """
+    along = running("page_id")
     open_long = F.col("end_pos").isNull() & F.col("tag").isin(K.LONG_TAGS)
     open_short = F.col("end_pos").isNull() & ~F.col("tag").isin(K.LONG_TAGS)
     marked = paired.withColumn("_hit", F.coalesce(match, F.lit(False)))
     marked = marked.withColumn(
         "_closes_hit",
-        F.col("start_pos").isNotNull() & F.coalesce(F.lag("_hit").over(W_LEVEL), F.lit(False)),
+        F.col("start_pos").isNotNull() & F.coalesce(F.lag("_hit").over(same_level()), F.lit(False)),
     )
     has_extent = F.col("end_pos").isNotNull() & ~F.col("is_void")
     delta = (
@@ -62,9 +63,9 @@ def _drop_subtrees(paired: DataFrame, match: Column) -> DataFrame:
     line = (F.col("kind") == "tag") & F.col("tag").isin(LINE_TAGS)
     inside = marked.withColumns(
         {
-            "_depth": F.sum(delta).over(W_PAGE),
-            "_last_open": F.max(F.when(F.col("_hit") & open_short, F.col("pos"))).over(W_PAGE),
-            "_last_line": F.max(F.when(line, F.col("pos"))).over(W_PAGE),
+            "_depth": F.sum(delta).over(along),
+            "_last_open": F.max(F.when(F.col("_hit") & open_short, F.col("pos"))).over(along),
+            "_last_line": F.max(F.when(line, F.col("pos"))).over(along),
         }
     )
     gone = (
@@ -95,19 +96,20 @@ def figures_to_captions(tokens: DataFrame) -> DataFrame:
     matched = F.col("end_pos").isNotNull() | F.col("start_pos").isNotNull()
     fig = (F.col("tag") == "figure") & matched
     cap = (F.col("tag") == "figcaption") & matched
+    along = running("page_id")
     opened = is_open_tag()
     step = F.when(F.col("is_close"), F.lit(-1)).otherwise(F.lit(1))
     counted = tokens.withColumns(
         {
-            "_fig": F.sum(F.when(fig, step).otherwise(0)).over(W_PAGE),
-            "_cap": F.sum(F.when(cap, step).otherwise(0)).over(W_PAGE),
-            "_caps": F.sum(F.when(cap & opened, 1).otherwise(0)).over(W_PAGE),
+            "_fig": F.sum(F.when(fig, step).otherwise(0)).over(along),
+            "_cap": F.sum(F.when(cap, step).otherwise(0)).over(along),
+            "_caps": F.sum(F.when(cap & opened, 1).otherwise(0)).over(along),
         }
     )
     # captions seen when the outermost open figure began
     counted = counted.withColumn(
         "_before",
-        F.max(F.when(fig & opened & (F.col("_fig") == 1), F.col("_caps"))).over(W_PAGE),
+        F.max(F.when(fig & opened & (F.col("_fig") == 1), F.col("_caps"))).over(along),
     )
     first = F.col("_caps") == F.col("_before") + 1
     is_fig = F.coalesce(fig, F.lit(False))

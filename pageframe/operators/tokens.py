@@ -8,24 +8,27 @@ and group below runs without a further exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pageframe import constants as K
 from pageframe.functions import text as T
 from pageframe.functions import urls as U
 
-W_PAGE = (
-    Window.partitionBy("page_id")
-    .orderBy("pos")
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-)
-_W_TAG = (
-    Window.partitionBy("page_id", "tag")
-    .orderBy("pos")
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-)
-W_LEVEL = Window.partitionBy("page_id", "tag", "lvl").orderBy("pos")
+
+
+def running(*keys: str, order: str = "pos") -> WindowSpec:
+    """Rows of a group up to the current one."""
+    return (
+        Window.partitionBy(*keys)
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+
+
+def same_level() -> WindowSpec:
+    """Tags of one name at one nesting level: open and close are neighbours."""
+    return Window.partitionBy("page_id", "tag", "lvl").orderBy("pos")
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -110,21 +113,22 @@ def pair_elements(tokens: DataFrame) -> DataFrame:
     step = F.when(
         (F.col("kind") != "tag") | F.col("is_void"), F.lit(0)
     ).otherwise(F.when(F.col("is_close"), F.lit(-1)).otherwise(F.lit(1)))
-    run = F.sum(step).over(_W_TAG)
+    run = F.sum(step).over(running("page_id", "tag"))
     levelled = tokens.withColumn(
         "lvl", F.when(F.col("is_close"), run + 1).otherwise(run)
     )
+    level = same_level()
     body = (F.col("kind") == "tag") & ~F.col("is_void")
-    next_close = F.lead("is_close").over(W_LEVEL)
-    prev_close = F.lag("is_close").over(W_LEVEL)
+    next_close = F.lead("is_close").over(level)
+    prev_close = F.lag("is_close").over(level)
     return levelled.withColumns(
         {
             "end_pos": F.when(is_open_tag() & F.col("is_void"), F.col("pos")).when(
-                body & ~F.col("is_close") & next_close, F.lead("pos").over(W_LEVEL)
+                body & ~F.col("is_close") & next_close, F.lead("pos").over(level)
             ),
             "start_pos": F.when(
                 body & F.col("is_close") & (prev_close == F.lit(False)),
-                F.lag("pos").over(W_LEVEL),
+                F.lag("pos").over(level),
             ),
         }
     )
