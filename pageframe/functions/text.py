@@ -64,6 +64,11 @@ def markup_only(html: Column) -> Column:
     return let(bare, f"CASE WHEN v RLIKE {pattern} THEN {fixed} ELSE v END")
 
 
+# characters escaped anywhere, and at the start of a text
+ESCAPED = r"([\\*`\[\]_])"
+ESCAPED_FIRST = r"^(-|\+ |=+|#{1,6} |~~~|>)"
+BACKSLASH = chr(92) * 2  # one backslash in a regex replacement
+
 # what may follow "&" in a character reference
 REFERENCE = r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]{2,8});"
 
@@ -120,11 +125,16 @@ def unquote_sql(raw: str) -> str:
     return bind(f"regexp_replace({raw}, {quotes}, '')", "uq", decode_sql("uq"))
 
 
+def escape_sql(text: str) -> str:
+    """SQL form of ``md_escape``."""
+    inner = f"regexp_replace({text}, {lit(ESCAPED)}, {lit(BACKSLASH + '$1')})"
+    head = f"regexp_replace({inner}, {lit(ESCAPED_FIRST)}, {lit(BACKSLASH + '$1')})"
+    return f"regexp_replace({head}, {lit('^([0-9]+)[.] ')}, {lit('$1' + BACKSLASH + '. ')})"
+
+
 def md_escape(text: Column) -> Column:
     """Backslash-escape characters that Markdown would read as markup."""
-    inner = F.regexp_replace(text, r"([\\*`\[\]_])", r"\\$1")
-    head = F.regexp_replace(inner, r"^(-|\+ |=+|#{1,6} |~~~|>)", r"\\$1")
-    return F.regexp_replace(head, r"^([0-9]+)\. ", r"$1\\. ")
+    return let(text, escape_sql("v"))
 
 
 def normalize_md(text: Column) -> Column:

@@ -8,15 +8,14 @@ exchange of ``page_tokens``.
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageframe import constants as K
 from pageframe.functions import text as T
+from pageframe.functions.urls import lit
 from pageframe.operators.sanitize import stripped_tag
-from pageframe.operators.tokens import is_open_tag, running
+from pageframe.operators.tokens import add
 
 RUN_CONTEXT = (
     "mb", "opener", "quote_depth", "quote_root", "list_depth", "list_root",
@@ -24,148 +23,124 @@ RUN_CONTEXT = (
 )
 
 
-def _rule_map(side: int, rules: dict[str, tuple[str, str]]) -> Column:
-    """Inline rules as one literal map column."""
-    return F.create_map(*chain(*[(F.lit(t), F.lit(r[side])) for t, r in rules.items()]))
+def _rule_map(side: int, rules: dict[str, tuple[str, str]]) -> str:
+    """Inline rules as one literal map."""
+    return "map(" + ", ".join(f"{lit(t)}, {lit(r[side])}" for t, r in rules.items()) + ")"
+
 
+def _in(column: str, values: list[str] | tuple[str, ...]) -> str:
+    return f"{column} IN (" + ", ".join(lit(v) for v in values) + ")"
 
-def _collapse(text: Column) -> Column:
-    return F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
 
+def _blank_to_space(text: str) -> str:
+    return f"regexp_replace({text}, {lit('[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n' + chr(92) + 'f]+')}, ' ')"
 
-def annotate(tokens: DataFrame, rules: dict[str, tuple[str, str]] | None = None,
-             with_html: bool = False) -> DataFrame:
+
+def annotate(
+    tokens: DataFrame,
+    rules: dict[str, tuple[str, str]] | None = None,
+    with_html: bool = False,
+) -> DataFrame:
     """Block numbers, nesting context and the text piece of every token."""
     rules = K.INLINE_RULES if rules is None else rules
-    along, in_list = running("page_id"), running("page_id", "_list_depth")
-    tag, opened, closed = F.col("tag"), is_open_tag(), F.col("is_close")
-    step = F.when(closed, -1).otherwise(1)
+    along = "OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    in_list = along.replace("page_id ", "page_id, list_depth ")
+    lists = _in("tag", ("ul", "ol"))
+    opened = "(kind = 'tag' AND NOT is_close)"
+
+    def depth(*names: str) -> str:
+        step = f"CASE WHEN {_in('tag', names)} AND NOT is_void THEN IF(is_close, -1, 1) ELSE 0 END"
+        return f"sum({step}) {along}"
 
-    def depth(*names: str) -> Column:
-        return F.sum(F.when(tag.isin(*names) & ~F.col("is_void"), step).otherwise(0)).over(along)
+    def latest(value: str, window: str = along) -> str:
+        return f"last_value({value}) IGNORE NULLS {window}"
 
-    cell_state = F.when(tag.isin(K.CELL_TAGS), opened).when(
-        tag.isin("tr", "table", "thead", "tbody", "tfoot"), F.lit(False)
+    cell = (
+        f"CASE WHEN {_in('tag', K.CELL_TAGS)} THEN {opened} "
+        f"WHEN {_in('tag', ('tr', 'table', 'thead', 'tbody', 'tfoot'))} THEN false END"
+    )
+    row = f"CASE WHEN tag = 'tr' THEN {opened} WHEN tag = 'table' THEN false END"
+    md_line = f"coalesce(kind = 'tag' AND NOT _in_cell AND {_in('tag', K.MARKDOWN_BLOCK_TAGS)}, false)"
+    any_line = (
+        "coalesce(kind = 'tag' AND NOT _in_cell AND "
+        f"{_in('tag', K.MARKDOWN_BLOCK_TAGS + K.STRUCTURE_TAGS)}, false)"
     )
     # text is decoded once, before the first sort
-    decoded = tokens.withColumn(
-        "_raw",
-        F.when(
-            F.col("kind") == "text",
-            F.regexp_replace(T.decode_entities(F.col("tok")), K.CONTROL_CHARS, ""),
-        ),
+    control = lit(K.CONTROL_CHARS)
+    decoded = add(
+        tokens,
+        _raw=f"CASE WHEN kind = 'text' THEN regexp_replace({T.decode_sql('tok')}, {control}, '') END",
     )
-    stage1 = decoded.withColumns(
-        {
-            "_in_cell": F.coalesce(F.last(cell_state, ignorenulls=True).over(along), F.lit(False)),
-            "_row_open": F.coalesce(
-                F.last(F.when(tag == "tr", opened).when(tag == "table", F.lit(False)), True).over(along),
-                F.lit(False),
-            ),
-            "_quote": depth("blockquote"),
-            "_list": depth("ul", "ol"),
-            "_pre": depth("pre"),
-            "_code": depth("code"),
-        }
+    nested = add(
+        decoded,
+        _in_cell=f"coalesce({latest(cell)}, false)",
+        _in_row=f"coalesce({latest(row)}, false)",
+        _quote=depth("blockquote"),
+        _list=depth("ul", "ol"),
+        _pre=depth("pre"),
+        _code=depth("code"),
     )
-    is_tag = F.col("kind") == "tag"
-    md_line = is_tag & tag.isin(K.MARKDOWN_BLOCK_TAGS) & ~F.col("_in_cell")
-    line = md_line | (is_tag & tag.isin(K.STRUCTURE_TAGS) & ~F.col("_in_cell"))
-    stage2 = stage1.withColumns(
-        {
-            "_line": line,
-            "_list_depth": F.greatest(F.col("_list"), F.lit(0)),
-            "_md_line": md_line,
-        }
-    ).withColumns(
-        {
-            # a line tag owns an odd number, the content after it the next even one
-            "rb": 2 * F.sum(F.col("_line").cast("int")).over(along)
-            - F.col("_line").cast("int"),
-            "mb": 2 * F.sum(F.col("_md_line").cast("int")).over(along)
-            - F.col("_md_line").cast("int"),
-            "opener": F.last(
-                F.when(F.col("_md_line"), F.when(closed, "").otherwise(tag)), ignorenulls=True
-            ).over(along),
-            "quote_root": F.sum(
-                F.when((tag == "blockquote") & opened & (F.col("_quote") == 1), 1).otherwise(0)
-            ).over(along),
-            "list_root": F.sum(
-                F.when(tag.isin("ul", "ol") & opened & (F.col("_list") == 1), 1).otherwise(0)
-            ).over(along),
-        }
+    context = add(
+        nested,
+        _line=any_line,
+        _md_line=md_line,
+        list_depth="greatest(_list, 0)",
+        quote_depth="greatest(_quote, 0)",
+        in_pre="_pre > 0",
+        in_pre_code="_pre > 0 AND _code > 0",
+        _plain=f"IF(_pre > 0, _raw, {_blank_to_space('_raw')})",
     )
-    in_pre, in_code = F.col("_pre") > 0, F.col("_code") > 0
-    raw, plain = F.col("_raw"), F.col("_plain")
-    stage2 = stage2.withColumn("_plain", F.when(in_pre, raw).otherwise(_collapse(raw)))
-    written = F.when(in_code, plain).otherwise(T.md_escape(plain))
-    # blank text between the cells of a row is layout, not content
-    between = F.col("_row_open") & ~F.col("_in_cell") & ~plain.rlike(r"\S")
-    inline = F.when(closed, _rule_map(1, rules)[tag]).otherwise(_rule_map(0, rules)[tag])
-    link = F.when(closed, F.lit(K.LINK_CLOSE)).when(
-        F.col("href") != "", F.concat(F.lit(K.LINK_OPEN), F.col("href"), F.lit(K.LINK_MID))
+    numbered = add(
+        context,
+        # a line tag owns an odd number, the content after it the next even one
+        rb=f"2 * sum(CAST(_line AS INT)) {along} - CAST(_line AS INT)",
+        mb=f"2 * sum(CAST(_md_line AS INT)) {along} - CAST(_md_line AS INT)",
+        opener=latest("CASE WHEN _md_line THEN IF(is_close, '', tag) END"),
+        quote_root=f"sum(IF(tag = 'blockquote' AND {opened} AND _quote = 1, 1, 0)) {along}",
+        list_root=f"sum(IF({lists} AND {opened} AND _list = 1, 1, 0)) {along}",
+        _li=f"sum(IF(tag = 'li' AND {opened}, 1, 0)) {in_list}",
+        item_pos=latest(f"CASE WHEN tag = 'li' AND {opened} THEN pos END", in_list),
+        # blank text between the cells of a row is layout, not content
+        _between="_in_row AND NOT _in_cell AND trim(_plain) = ''",
     )
-    in_fence = in_pre & (tag == "code")
-    piece = (
-        F.when(F.col("kind") == "text", F.when(between, "").otherwise(written))
-        .when(tag == "hr", F.lit(K.RULE_TEXT))
-        .when(tag == "a", F.coalesce(link, F.lit("")))
-        .when(in_fence, F.lit(""))
-        .when(is_tag & F.col("_in_cell") & tag.isin(K.MARKDOWN_BLOCK_TAGS), F.lit(K.BREAK))
-        .otherwise(F.coalesce(inline, F.lit("")))
+    started = latest(f"CASE WHEN {lists} AND {opened} THEN struct(_li AS li, tag) END", in_list)
+    link = (
+        f"CASE WHEN is_close THEN {lit(K.LINK_CLOSE)} "
+        f"WHEN href <> '' THEN concat({lit(K.LINK_OPEN)}, href, {lit(K.LINK_MID)}) ELSE '' END"
     )
-    is_text = F.col("kind") == "text"
-    pieces = stage2.withColumns(
-        {
-            "piece": piece,
-            "txt_len": F.when(is_text & ~between, F.length(F.trim(_collapse(plain)))).otherwise(0),
-            "commas": F.when(
-                is_text, F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit("")))
-            ).otherwise(0),
-            "_li": F.sum(F.when((tag == "li") & opened, 1).otherwise(0)).over(in_list),
-            "item_pos": F.last(F.when((tag == "li") & opened, F.col("pos")), True).over(in_list),
-            "in_pre": in_pre,
-            "in_pre_code": in_pre & in_code,
-            "quote_depth": F.greatest(F.col("_quote"), F.lit(0)),
-            "list_depth": F.col("_list_depth"),
-        }
+    marks = (
+        f"coalesce(IF(is_close, try_element_at({_rule_map(1, rules)}, tag), "
+        f"try_element_at({_rule_map(0, rules)}, tag)), '')"
     )
-    started = F.last(
-        F.when(
-            tag.isin("ul", "ol") & opened,
-            F.struct(F.col("_li").alias("before"), tag.alias("tag")),
-        ),
-        ignorenulls=True,
-    ).over(in_list)
-    numbered = pieces.withColumn("_list_start", started).withColumns(
-        {
-            "item_no": F.col("_li") - F.col("_list_start.before"),
-            "list_tag": F.col("_list_start.tag"),
-        }
+    written = add(
+        numbered,
+        _started=started,
+        _escaped=T.escape_sql("_plain"),
     )
-    keep = [
-        "page_id", "pos", "kind", "tag", "is_close", "start_pos", "end_pos", "rb", "_line",
-        "piece", "txt_len", "commas", *RUN_CONTEXT,
-    ]
-    if "page" in tokens.columns:
-        keep.append("page")
-    kept = numbered.select(
-        *[c for c in keep if c != "mb"],
-        "mb",
-        *(
-            [
-                F.when(
-                    (F.col("kind") == "text") | (is_tag & tag.isin(K.ALLOWED_TAGS)),
-                    stripped_tag(),
-                )
-                .otherwise("")
-                .alias("html_piece")
-            ]
-            if with_html
-            else []
-        ),
+    piece = (
+        "CASE WHEN kind = 'text' THEN CASE WHEN _between THEN '' WHEN _code > 0 THEN _plain ELSE _escaped END "
+        f"WHEN kind <> 'tag' THEN '' WHEN tag = 'hr' THEN {lit(K.RULE_TEXT)} WHEN tag = 'a' THEN {link} "
+        "WHEN _pre > 0 AND tag = 'code' THEN '' "
+        f"WHEN _in_cell AND {_in('tag', K.MARKDOWN_BLOCK_TAGS)} THEN {lit(K.BREAK)} ELSE {marks} END"
     )
-    return kept
+    columns = {
+        "piece": piece,
+        "txt_len": f"IF(kind = 'text' AND NOT _between, length(trim({_blank_to_space('_plain')})), 0)",
+        "commas": "IF(kind = 'text', length(_raw) - length(replace(_raw, ',', '')), 0)",
+        "item_no": "_li - _started.li",
+        "list_tag": "_started.tag",
+    }
+    kept = [
+        "page_id", "pos", "kind", "tag", "is_close", "start_pos", "end_pos", "rb", "_line", "mb",
+        "opener", "quote_depth", "quote_root", "list_depth", "list_root", "item_pos", "in_pre",
+        "in_pre_code", *(["page"] if "page" in tokens.columns else []),
+    ]
+    texts = [f"{sql} AS {name}" for name, sql in columns.items()]
+    result = written.selectExpr(*kept, *texts, *(["href", "tok"] if with_html else []))
+    if not with_html:
+        return result
+    shown = (F.col("kind") == "text") | ((F.col("kind") == "tag") & F.col("tag").isin(K.ALLOWED_TAGS))
+    return result.withColumn("html_piece", F.when(shown, stripped_tag()).otherwise("")).drop("href", "tok")
 
 
 def text_runs(annotated: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ from pageframe.functions import urls as U
 
 
 
+def add(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns given as SQL text."""
+    return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
+
+
 def running(*keys: str, order: str = "pos") -> WindowSpec:
     """Rows of a group up to the current one."""
     return (

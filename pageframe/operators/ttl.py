@@ -69,7 +69,7 @@ def miss_times(
         # each hot key owns more than max_group rows, so the list is short
         cold = stamps.join(F.broadcast(hot), "k", "left_anti")
         big = stamps.join(F.broadcast(hot), "k", "left_semi")
-        out = _fold(cold, seeds, ttl_ms).unionByName(_chunked(big, seeds, ttl_ms))
+        out = _fold(cold, seeds, ttl_ms).unionByName(_chunked(big, seeds, ttl_ms, max_group))
     return out.select(F.col("k").alias(key), F.col("t").alias(ts))
 
 
@@ -143,9 +143,12 @@ def _compose(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
     return _squeeze(np.concatenate(starts), np.concatenate(exits))
 
 
-def _chunked(stamps: DataFrame, seeds: DataFrame | None, ttl_ms: int) -> DataFrame:
-    # a chunk spans one ttl of whole milliseconds, which bounds its row count
-    chunked = stamps.withColumn("c", F.floor(F.col("t") / ttl_ms).cast("bigint"))
+def _chunked(
+    stamps: DataFrame, seeds: DataFrame | None, ttl_ms: int, max_group: int
+) -> DataFrame:
+    # times are distinct milliseconds, so the span of a chunk bounds its row count
+    span = max(ttl_ms, max_group)
+    chunked = stamps.withColumn("c", F.floor(F.col("t") / span).cast("bigint"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["t"].to_numpy(dtype="int64"))
