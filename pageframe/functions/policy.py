@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pageframe import constants as K
 from pageframe.functions import urls as U
+from pageframe.operators.joins import left_join_spread
 
 REASONS = (
     "invalid_url",
@@ -134,7 +135,7 @@ def url_policy(df: DataFrame, url: str = "url", dns: DataFrame | None = None) ->
         staged = staged.withColumn("_asked", asked)
         verdict = resolves_private(staged.select(F.col("_asked").alias("host")), dns)
         staged = (
-            staged.join(verdict, staged["_asked"] == verdict["host"], "left")
+            left_join_spread(staged, verdict.withColumnRenamed("host", "_asked"), "_asked")
             .withColumn(
                 "reason",
                 F.when(
@@ -142,7 +143,7 @@ def url_policy(df: DataFrame, url: str = "url", dns: DataFrame | None = None) ->
                     "blocked_private_resolution",
                 ).otherwise(F.col("reason")),
             )
-            .drop("_asked", "private", verdict["host"])
+            .drop("_asked", "private")
         )
     return staged.withColumn("ok", F.col("reason").isNull()).drop("_scheme", "_host")
 

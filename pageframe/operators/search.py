@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageframe import constants as K
 from pageframe.functions import urls as U
+from pageframe.operators.joins import left_join_spread
 from pageframe.plans import pages as P
 
 HIT_COLUMNS = (
@@ -216,7 +217,8 @@ def search_and_extract(
         return (value if column == "links" else F.when(value != "", value)).alias(column)
 
     wanted = ["markdown", *[f for f in ("html", "rawHtml", "links") if f in formats]]
-    return located.join(extracted.select("page_id", *wanted), "page_id", "left").select(
+    joined = left_join_spread(located, extracted.select("page_id", *wanted), "page_id")
+    return joined.select(
         *web.columns, *[filled(c) for c in wanted]
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageframe.functions import policy as R
 from pageframe.functions import urls as U
 from pageframe.operators import store as ST
+from pageframe.operators.joins import left_join_spread
 from pageframe.plans import pages as P
 
 
@@ -77,8 +78,7 @@ def extract_batch(
     new_rows = ST.store_rows(extracted, list(formats), only_main, now)
     made = new_rows.select("cache_key", F.col("value").alias("_made"))
     answers = (
-        judged.join(fresh, "cache_key", "left")
-        .join(made, "cache_key", "left")
+        left_join_spread(left_join_spread(judged, fresh, "cache_key"), made, "cache_key")
         .select(
             *requests.columns,
             "reason",
