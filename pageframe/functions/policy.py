@@ -89,8 +89,16 @@ def is_blocked_type(resource_type: Column) -> Column:
 
 
 def _with_host(df: DataFrame, url: str) -> DataFrame:
-    """Scheme and host once per row; the rules read these two columns."""
-    return df.withColumns({"_scheme": U.url_scheme(F.col(url)), "_host": U.url_host(F.col(url))})
+    """Scheme and host once per row; the rules read these two columns.
+
+    The one-element ``inline`` keeps it at once: a later filter on the verdict
+    is not pushed below a generator, so it cannot copy the parsing into itself
+    for every mention of the host.
+    """
+    read = F.struct(
+        U.url_scheme(F.col(url)).alias("_scheme"), U.url_host(F.col(url)).alias("_host")
+    )
+    return df.select("*", F.inline(F.array(read)))
 
 
 def _first_reason() -> Column:
