@@ -22,6 +22,9 @@ V4_PART = r"(0x[0-9a-f]*|[0-9]+)"
 V4_LIKE = r"(^|\.)" + V4_PART + r"\.?$"
 V4_SHAPE = r"^" + V4_PART + r"(\." + V4_PART + r"){0,3}\.?$"
 BAD_HOST_CHARS = r"""[\x00-\x20"<>^|%\[\]\\`{}\x7f]"""
+# the common case: lower-case name whose last label starts with a letter, no user,
+# no port, nothing to clean; read by one regex in generated code
+COMMON_URL = r"^(https?)://((?:[a-z0-9_-]+\.)*[a-z][a-z0-9_-]*)(?:[/?#][^\x00-\x20\\]*)?$"
 V6_SIDES = r"^([0-9a-f:]*?)::([0-9a-f:]*)$"
 
 
@@ -186,11 +189,15 @@ def url_parts(url: Column) -> Column:
 def url_host(url: Column) -> Column:
     """Canonical host of an http(s) URL, else null."""
     pick = "CASE WHEN wh.scheme IN ('http', 'https') THEN wh.host END"
-    return let(url, bind(parts_sql("v"), "wh", pick))
+    return F.when(url.rlike(COMMON_URL), F.regexp_extract(url, COMMON_URL, 2)).otherwise(
+        let(url, bind(parts_sql("v"), "wh", pick))
+    )
 
 
 def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(clean_reference(url), URL, 1))
+    return F.when(url.rlike(COMMON_URL), F.regexp_extract(url, COMMON_URL, 1)).otherwise(
+        F.lower(F.regexp_extract(clean_reference(url), URL, 1))
+    )
 
 
 def is_http(url: Column) -> Column:
