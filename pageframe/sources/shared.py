@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only where none is set."""
+    """The folder in ``spark.checkpoint.dir``; a folder of the warehouse where none is set.
+
+    Both are seen by every executor.  No machine-local temporary folder is used.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    root = tempfile.mkdtemp(prefix="pageframe-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to shared storage, so a lost executor costs no long replay."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write and read again, so a lost executor costs no long replay."""
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
