@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import pii, quality_rules
+from pageframe.llm import frames, packing, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+@query
+def op7_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.read(frames.write(documents(spark, sf_dir)), digest=True)
