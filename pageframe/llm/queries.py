@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import frames, packing, pii, quality_rules
+from pageframe.llm import frames, ngram_join, packing, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.read(frames.write(documents(spark, sf_dir)), digest=True)
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_documents(documents(spark, sf_dir)).drop("class_id")
+
+
+ORACLES["op1_ngram_jaccard_join"] = ngram_join.duckdb_sql()
