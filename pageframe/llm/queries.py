@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import decontam, frames, ngram_join, packing, pii, quality_rules
+from pageframe.llm import decontam, frames, ngram_join, packing, pii, pu_quality, quality_rules, toxicity
+from pageframe.llm.common import id_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +75,26 @@ ORACLES["op1_ngram_jaccard_join"] = ngram_join.duckdb_sql()
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("contaminated")
+
+
+@query
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = pu_quality.trained(docs, labels, id_fold(F.col("id"), 4) != 2)
+    return pu_quality.scored(docs, model).select(
+        "doc_id", (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has one toxicity label.  The chain's categories are: low quality at all, toxic
+    (fed with the first), and toxic texts of low quality (fed with both)."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = labels.select(
+        "doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic",
+        ((F.col("toxic") == 1) & (F.col("quality") == 0)).cast("int").alias("toxic_junk"),
+    )
+    chain = toxicity.trained(docs, labels, ["low_quality", "toxic", "toxic_junk"])
+    return toxicity.scored(docs, chain).withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
