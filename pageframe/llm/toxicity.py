@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 SAMPLE, WORDS, FOLDS = 12_000, 1_000, 4
 THRESHOLD = 0.5
+#: Least standardised difference of a word's shares; less is mostly chance.
+TELLING = 4.0
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
@@ -82,7 +84,7 @@ def _telling(rows: list[list[int]], y: np.ndarray, most: int) -> list[int]:
         if a + b >= 3:
             p = (a + b) / (n1 + n0)
             score[w] = abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
-    return sorted(score, key=lambda w: (-score[w], w))[:most]
+    return sorted((w for w in score if score[w] >= TELLING), key=lambda w: (-score[w], w))[:most]
 
 
 def fit_linear(rows: list[list[int]], earlier: np.ndarray, y: np.ndarray, most: int = WORDS, rounds: int = 150) -> LinearModel:
