@@ -128,7 +128,17 @@ def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _measure(n: int, buckets: int):
+def gram_rows(n: int):
+    """Texts to (class keys, sets); an empty set has no class."""
+
+    def run(texts: list[str | None]) -> tuple[list[int | None], list[np.ndarray]]:
+        sets = shingle_sets(texts, n)
+        return [class_key(g) if len(g) else None for g in sets], sets
+
+    return run
+
+
+def _measure(rows_of, buckets: int):
     shift = np.uint64(HASH_BITS - 16)
 
     def flush(classes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +188,7 @@ def _measure(n: int, buckets: int):
         for b in batches:
             docs, texts = b.column(0).to_pylist(), b.column(1)
             for k in range(0, len(docs), 500):
-                grams = shingle_sets(texts[k : k + 500].to_pylist(), n)
-                keys = [class_key(g) if len(g) else None for g in grams]
+                keys, grams = rows_of(texts[k : k + 500].to_pylist())
                 yield _batch(
                     _PART,
                     bucket=[(c or d or 0) % buckets for c, d in zip(keys, docs[k : k + 500])],
@@ -233,10 +242,10 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def incidence(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def incidence(docs: DataFrame, rows_of, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of documents (doc_id, cls, n; gram null) and of shared entries (cls, n, gram)."""
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    parts = source.mapInArrow(_measure(n, 2 * width(docs)), _PART_SQL)
+    parts = source.mapInArrow(_measure(rows_of, 2 * width(docs)), _PART_SQL)
     return stored(parts.groupBy("bucket").applyInArrow(_shared, _OUT_SQL), "incidence")
 
 
@@ -356,7 +365,7 @@ def linked_documents(
     docs: DataFrame, n: int = N, t: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id, class_id)."""
-    found = incidence(docs, n, id_col, text_col)
+    found = incidence(docs, gram_rows(n), id_col, text_col)
     rows = found.where("gram IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cls")
     of_class = components(class_links(found, t), docs.sparkSession)
     # The component's number is the smallest document in any of its classes; documents that

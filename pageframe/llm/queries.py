@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import decontam, frames, ngram_join, packing, pii, pu_quality, quality_rules, toxicity
+from pageframe.llm import decontam, frames, ngram_join, packing, pii, pu_quality, quality_rules, suffix_dedup, toxicity
 from pageframe.llm.common import id_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,8 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chain = toxicity.trained(docs, labels, ["low_quality", "toxic", "toxic_junk"])
     return toxicity.scored(docs, chain).withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, sf_dir))
