@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import decontam, frames, ngram_join, packing, pii, pu_quality, quality_rules, suffix_dedup, toxicity
+from pageframe.llm import decontam, frames, mixing_lm, ngram_join, packing, pii, pu_quality, quality_rules, suffix_dedup, toxicity
 from pageframe.llm.common import id_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,8 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(documents(spark, sf_dir))
+
+
+@query
+def op4_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.scored(documents(spark, sf_dir), id_fold(F.col("doc_id"), 10) == 0)
