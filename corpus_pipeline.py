@@ -1,4 +1,8 @@
-"""Documents to training sequences: each stage works on all that its predecessor kept."""
+"""Documents to training sequences: each stage works on all that its predecessor kept.
+
+Every stage but the last returns the columns of its input.  The last one returns a row per
+packed piece, with the piece's token ids.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageframe.llm import quality_rules
+from pageframe.llm import decontam, ngram_join, packing, pii, quality_rules
 from pageframe.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,9 +21,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_rows(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redacted(docs, pii.fit(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences of a fixed length."""
+    return packing.packed(docs, with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii", personal_data),
+    ("best_fit_packing", pack),
+]
 
-#: A language model tokenizer and a fitted span classifier are no SQL; tests use brute force.
+#: Tokenizer ids and the fitted span classifier are no SQL; the tests use a brute-force version.
 ORACLE_SQL = None
 
 

@@ -397,3 +397,12 @@ l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(id, m) AS (SELECT doc_id, doc_id FROM t UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.m) AS component_id FROM n JOIN r ON r.id = n.doc_id GROUP BY 1, 2"""
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of one document of each group of linked ones, the smallest id; rows of one id
+    stay or go together, rows without id stay."""
+    linked = linked_documents(docs, id_col=id_col, text_col=text_col)
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    gone = stored(gone, "gone")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
