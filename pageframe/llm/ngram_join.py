@@ -14,8 +14,9 @@ that reach a bound, and most cells are never computed:
    n-grams.  Only those are joined, and only if the rest can still reach the bound
    ceil(t (s1 + s2) / (1 + t)).
 4. Candidate pairs are row products, computed on blocks of pairs.  First each class only
-   meets the smallest and the largest number of its n-gram's list, which ties large groups of
-   near copies together without their pairs; then all pairs between different components.
+   meets two others of its n-gram's list, from other components than its own, which in a few
+   rounds ties large groups of near copies together without their pairs; then come all pairs
+   between different components that have enough common n-grams in their first ones.
 
 Hashes have 56 bits.  Nothing of the corpus reaches the driver but counts.  No list of an
 n-gram is ever gathered in one task: lists are joined, and large ones may be split.
@@ -117,7 +118,7 @@ _PART_SQL = "bucket int, doc_id long, cls long, n int, gram long, grams binary,
 _OUT = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("gram", pa.int64())])
 _OUT_SQL = "doc_id long, cls long, n int, gram long"
 #: Entries that a task holds before it sends them on.
-HELD = 6_000_000
+HELD = 3_000_000
 
 
 def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -319,46 +320,80 @@ def verified(pairs: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_overlaps(t), "a long, b long")
 
 
-def class_links(found: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
-    """Edges (a, b) between classes that span all components of the linked classes."""
-    entries = stored(survivors(found, t), "entries")
-    rows = entries.groupBy("cls", "n").agg(F.collect_list("gram").alias("grams"))
-    rows = stored(rows.mapInArrow(_row_blob, "cls long, n int, grams binary"), "rows")
-    first = stored(prefixes(entries, t), "prefixes")
-    spark = first.sparkSession
+def _labelled(first: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Prefix entries with their component so far."""
+    if links is None:
+        return first.withColumn("component", F.col("cls"))
+    found = components(links, first.sparkSession).withColumnRenamed("id", "cls")
+    rows = first.join(found, "cls", "left")
+    return stored(rows.withColumn("component", F.coalesce("component", "cls")), "labelled")
+
+
+_PAIR = (F.least, F.greatest)
 
-    # Each class with two others of its n-gram's list, among sizes that can fit together.
+
+def _pair() -> list[Column]:
+    return [order("cls", "cls2").alias(name) for order, name in zip(_PAIR, "ab")]
+
+
+def _towards_two(rows: DataFrame, t: Fraction) -> DataFrame:
+    """Each class with two others of its n-gram's list, of the list's first and last component,
+    among sizes that can fit together: as many pairs as entries, not their square."""
     scale = F.floor(F.log("n") / F.log(F.lit(1 / float(t)))).cast("int")
-    keyed = first.withColumn("scale", scale)
-    one = F.struct("cls", "n", "pos")
+    keyed = rows.withColumn("scale", scale)
+    one = F.struct("component", F.xxhash64("cls", "gram").alias("h"), "cls", "n", "pos")
     ends = keyed.groupBy("gram", "scale").agg(F.min(one).alias("low"), F.max(one).alias("high"))
-    ends = ends.where("low.cls <> high.cls").withColumn("end", F.explode(F.array("low", "high")))
+    ends = ends.where("low.component <> high.component").withColumn("end", F.explode(F.array("low", "high")))
     ends = ends.select(
-        "gram", "scale", F.col("end.cls").alias("cls2"), F.col("end.n").alias("n2"), F.col("end.pos").alias("pos2")
-    )
-    near = keyed.join(ends, ["gram", "scale"]).where((F.col("cls") != F.col("cls2")) & _reach(t))
-    pair = [F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")]
-    tried = stored(near.select(*pair).distinct(), "tried")
-    links = stored(verified(tried, rows, t), "links")
-
-    # All pairs of different components that share an n-gram there, but those tried.
-    found_so_far = components(links, spark)
-    labelled = first.join(found_so_far.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls")
-    )
-    labelled = stored(labelled, "labelled")
-    mixed_lists = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_lists = labelled.join(mixed_lists.where("lo <> hi").select("gram"), "gram")
-    other = open_lists.select(
+        "gram", "scale", F.col("end.cls").alias("cls2"), F.col("end.n").alias("n2"), F.col("end.pos").alias("pos2"),
+        F.col("end.component").alias("component2"),
+    )
+    near = keyed.join(ends, ["gram", "scale"]).where((F.col("component") != F.col("component2")) & _reach(t))
+    return near.select(*_pair()).distinct()
+
+
+def _all_apart(rows: DataFrame, t: Fraction) -> DataFrame:
+    """All pairs of different components that can still be linked.  Of two linked classes, all
+    common n-grams up to the end of one prefix are in both prefixes, and beyond it that class
+    has only ceil(t n) - 1 more, which bounds the number of common ones from below."""
+    lists = rows.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = rows.join(lists.where("lo <> hi").select("gram"), "gram")
+    other = rows.select(
         "gram", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"),
         F.col("component").alias("component2"),
     )
-    apart = open_lists.join(other, "gram").where(
-        (F.col("component") < F.col("component2")) & _reach(t)
+    bound = _pair_bound(F.col("n"), F.col("n2"), t)
+    apart = rows.join(other, "gram").where(
+        (F.col("component") < F.col("component2")) & (F.least("n", "n2") >= bound)
+    )
+    needed = bound - F.greatest(_least_overlap(F.col("n"), t), _least_overlap(F.col("n2"), t)) + 1
+    counted = apart.groupBy(*_pair()).agg(
+        F.count("*").alias("common"), F.max(needed).alias("needed"), F.bool_or(_reach(t)).alias("reach")
     )
-    rest = apart.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(stored(rest, "rest"), rows, t), "links")
-    return links.union(more)
+    return counted.where("reach AND common >= needed").select("a", "b")
+
+
+#: Rounds towards two others before all open pairs are looked at.
+LINEAR_ROUNDS = 3
+
+
+def class_links(found: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
+    """Edges (a, b) between classes that span all components of the linked classes."""
+    entries = stored(survivors(found, t), "entries")
+    rows = entries.groupBy("cls", "n").agg(F.collect_list("gram").alias("grams"))
+    rows = stored(rows.mapInArrow(_row_blob, "cls long, n int, grams binary"), "rows")
+    first = stored(prefixes(entries, t), "prefixes")
+    links, tried = None, None
+    for k in range(LINEAR_ROUNDS + 1):
+        labelled = _labelled(first, links)
+        pairs = _towards_two(labelled, t) if k < LINEAR_ROUNDS else _all_apart(labelled, t)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        more = stored(verified(pairs, rows, t), "links")
+        links = more if links is None else links.union(more)
+        tried = pairs if tried is None else tried.union(pairs)
+    return links
 
 
 def linked_documents(
