@@ -51,9 +51,9 @@ _TYPED = np.array([0, 11, 12, 13, 0, 0], np.uint64)
 
 
 class _Tokens(dict):
-    """Word to (value hash, kind, ends a sentence), remembered."""
+    """Word to one number: 60 bits of value hash, 3 of kind, 1 if it ends a sentence."""
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
+    def __missing__(self, word: str) -> int:
         core = _EDGE.sub("", word)
         ends = word.rstrip("\"')]»”")[-1:] in ".!?:;"
         if word == "\0":
@@ -69,7 +69,8 @@ class _Tokens(dict):
         else:
             kind = LITERAL
         digest = hashlib.blake2b(core.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        self[word] = out = (int.from_bytes(digest, "little"), kind, int(ends or kind == BREAK))
+        value = int.from_bytes(digest, "little") >> 4 << 4
+        self[word] = out = value | kind << 1 | int(ends or kind == BREAK)
         return out
 
 
@@ -84,9 +85,9 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not words:
         none = np.zeros(0, np.uint64)
         return none, none, np.zeros(0, np.int8)
-    rows = list(map(_TOKENS.__getitem__, words))
-    value, kind, ends = (np.array(x, k) for x, k in zip(zip(*rows), (np.uint64, np.int8, np.int8)))
-    real = kind < BREAK
+    packed = np.fromiter(map(_TOKENS.__getitem__, words), np.uint64, len(words))
+    value, kind = packed >> np.uint64(4), ((packed >> np.uint64(1)) & np.uint64(7)).astype(np.int8)
+    ends, real = (packed & np.uint64(1)).astype(np.int8), kind < BREAK
     # The last real token before each, and whether a sentence ended since.
     at = np.flatnonzero(real)
     ended = np.add.accumulate(ends.astype(np.int64))
@@ -109,13 +110,16 @@ def windows(text: str | None, lengths: list[int]) -> Iterator[tuple[int, np.ndar
         if n < 1:
             continue
         h = np.full(n, w, np.uint64)
-        exact = h.copy()
         for k in range(w):
             h = h * _STEP + frame[k : k + n]
-            exact = exact * _STEP + value[k : k + n]
         plain = np.r_[0, np.cumsum(slot == LITERAL)]
         few = plain[w:] - plain[:-w] < min(LITERALS, (w + 1) // 2)
-        h = mixed(np.where(few, exact * _STEP + np.uint64(1), h))
+        if few.any():
+            exact = np.full(n, w, np.uint64)
+            for k in range(w):
+                exact = exact * _STEP + value[k : k + n]
+            h = np.where(few, exact * _STEP + np.uint64(1), h)
+        h = mixed(h)
         yield w, h.view(np.int64), value.view(np.int64), slot
 
 
