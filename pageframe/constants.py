@@ -55,8 +55,8 @@ SCRIPT_BLOCK = r"(?i)<script[\s\S]*?</script>"
 NOT_CONTENT = (
     r"(?i)<!--[\s\S]*?-->|<script[\s\S]*?</script>|<style[\s\S]*?</style>"
 )
-QUOTED_GT = r"""(="[^"<>]*|='[^'<>]*)>([^"'<=]*["'])"""
-TOKEN = r"<[a-zA-Z/!?][^>]*>|[^<]+|<"
+# a tag ends at the first ">" outside a quoted value; possessive, so it never recurses
+TOKEN = r"""<[a-zA-Z/!?](?:=[ \t\r\n\f]*+(?:"[^"]*+"|'[^']*+')|[^>])*+>|<[a-zA-Z/!?][^>]*+>|[^<]++|<"""
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9:-]*)"
 
 FAST_MIN_CHARS = 2000

@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageframe import constants as K
 from pageframe.functions.urls import bind, let, lit
 
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
-_SKIP = (
-    r"""(?i)^<[a-zA-Z][^ \t\r\n\f/>]*(?:[ \t\r\n\f/]+[^ \t\r\n\f"'>/=]+"""
-    r"(?:[ \t\r\n\f]*=[ \t\r\n\f]*" + _VALUE + r")?)*?[ \t\r\n\f/]+"
-)
+_WS = r"[ \t\r\n\f]"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^ \t\r\n\f"'>]++)"""
 
 
-def attr_pattern(name: str) -> str:
-    """Pattern whose group 1 is the value, quotes included, of attribute ``name``.
+def _others(wanted: str) -> str:
+    """From the tag name over all attributes before the first that ``wanted`` matches.  Each
+    attribute is taken whole or not at all (possessive), so the time is linear, nothing
+    recurses, and text inside another quoted value never counts as an attribute."""
+    name = r"[^ \t\r\n\f>/][^ \t\r\n\f>/=]*+"
+    pair = rf"[ \t\r\n\f/]*+(?!{wanted}){name}(?:{_WS}*+={_WS}*+{_VALUE})?+"
+    return rf"(?i)^<[a-zA-Z][^ \t\r\n\f/>]*+(?:{pair})*+[ \t\r\n\f/]*+"
 
-    It walks the attributes from the tag name on, so text inside another
-    quoted value never counts as an attribute.
-    """
-    return _SKIP + name + r"[ \t\r\n\f]*=[ \t\r\n\f]*(" + _VALUE + ")"
+
+def attr_pattern(name: str) -> str:
+    """Pattern whose group 1 is the value, quotes included, of the first attribute ``name``."""
+    wanted = f"{name}{_WS}*+={_WS}*+"
+    return _others(wanted + _VALUE) + f"{wanted}({_VALUE})"
 
 
 def attr_flag_pattern(name: str) -> str:
-    return _SKIP + name + r"[ \t\r\n\f/=>]"
+    wanted = name + r"(?:[ \t\r\n\f/=>]|$)"
+    return _others(wanted) + wanted
 
 
 def attr_raw(tag_text: Column, name: str) -> Column:
@@ -53,15 +59,8 @@ def clean_html(html: Column) -> Column:
 
 
 def markup_only(html: Column) -> Column:
-    """HTML that is safe to cut at angle brackets: no comments, scripts or style
-    blocks, and no bare ``>`` inside quoted attribute values."""
-    bare = F.regexp_replace(html, K.NOT_CONTENT, "")
-
-    pattern = lit(K.QUOTED_GT)
-    fixed = "v"
-    for _ in range(3):
-        fixed = f"regexp_replace({fixed}, {pattern}, '$1&gt;$2')"
-    return let(bare, f"CASE WHEN v RLIKE {pattern} THEN {fixed} ELSE v END")
+    """HTML without comments, scripts and style blocks; ``constants.TOKEN`` cuts it."""
+    return F.regexp_replace(html, K.NOT_CONTENT, "")
 
 
 # characters escaped anywhere, and at the start of a text
@@ -69,8 +68,16 @@ ESCAPED = r"([\\*`\[\]_])"
 ESCAPED_FIRST = r"^(-|\+ |=+|#{1,6} |~~~|>)"
 BACKSLASH = chr(92) * 2  # one backslash in a regex replacement
 
-# what may follow "&" in a character reference
-REFERENCE = r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]{2,8});"
+# what may follow "&" in a character reference: a number or a name; then a legacy name,
+# which needs no semicolon and may have letters behind it
+REFERENCE = r"^(#[xX]0*[0-9a-fA-F]{1,6}|#0*[0-9]{1,7}|[a-zA-Z][a-zA-Z0-9]*;)"
+LEGACY = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+
+
+def entity_table() -> dict[str, str]:
+    """Names of the HTML standard (as Python ships them), the library's own choices first."""
+    own = {n[1:-1]: c for n, c in [*K.NAMED_ENTITIES, ("&amp;", "&")]}
+    return own | {n.rstrip(";"): c for n, c in html5.items() if n.rstrip(";") not in own}
 
 
 def _code_point(ref: str) -> str:
@@ -89,15 +96,28 @@ def _code_point(ref: str) -> str:
 
 def decode_sql(text: str) -> str:
     """Character references to text, one reference per piece after ``&``."""
-    pairs = [*K.NAMED_ENTITIES, ("&amp;", "&")]
-    named = "map(" + ", ".join(f"{lit(n[1:-1])}, {lit(c)}" for n, c in pairs) + ")"
-    char = (
-        f"CASE WHEN startswith(rf, '#') THEN {_code_point('rf')} ELSE try_element_at({named}, rf) END"
+    own = {n[1:-1] for n, _ in K.NAMED_ENTITIES} | {"amp"}
+    table = entity_table()
+
+    def named(names) -> str:
+        # one constant text, read into a map when the plan is folded
+        return f"str_to_map({lit(chr(1).join(f'{n}{chr(2)}{table[n]}' for n in names))}, '\\u0001', '\\u0002')"
+
+    common, rest = named(sorted(own)), named(sorted(table.keys() - own))
+    known = f"coalesce(try_element_at({common}, regexp_replace(rf, ';$', '')), try_element_at({rest}, regexp_replace(rf, ';$', '')))"
+    char = f"CASE WHEN startswith(rf, '#') THEN {_code_point('rf')} ELSE {known} END"
+    old = bind(
+        f"regexp_extract(pc, {lit(LEGACY)}, 1)",
+        "lg",
+        f"CASE WHEN lg <> '' THEN concat(coalesce(try_element_at({common}, lg), try_element_at({rest}, lg)), "
+        "substr(pc, length(lg) + 1)) END",
     )
+    # the semicolon goes with its reference
+    after = "substr(pc, length(rf) + CASE WHEN startswith(rf, '#') AND substr(pc, length(rf) + 1, 1) = ';' THEN 2 ELSE 1 END)"
     piece = bind(
         f"regexp_extract(pc, {lit(REFERENCE)}, 1)",
         "rf",
-        f"coalesce(concat({char}, substr(pc, length(rf) + 2)), concat('&', pc))",
+        f"coalesce(CASE WHEN rf <> '' THEN concat({char}, {after}) END, {old}, concat('&', pc))",
     )
     whole = bind(
         f"split({text}, '&')",

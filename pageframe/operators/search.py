@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageframe import constants as K
+from pageframe.functions import policy as R
 from pageframe.functions import urls as U
 from pageframe.operators.joins import left_join_spread
 from pageframe.plans import pages as P
@@ -31,9 +32,19 @@ def validate_query(query: Column) -> Column:
 
 
 def coerce_limit(raw: Column) -> Column:
-    """A positive number gives ``min(floor(x), 20)``, anything else 10."""
-    number = F.trim(raw).try_cast("double")
-    usable = (number > 0) & (number < float("inf")) & ~F.isnan(number)
+    """A positive number gives ``min(floor(x), 20)``, anything else 10.
+
+    Numbers are decimal, with or without an exponent, or hexadecimal, octal or binary with a
+    prefix; no other spelling counts.
+    """
+    text = F.trim(raw)
+    number = F.when(
+        text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), text.try_cast("double")
+    )
+    for prefix, digits, base in (("xX", "0-9a-fA-F", 16), ("oO", "0-7", 8), ("bB", "01", 2)):
+        spelled = text.rlike(f"^0[{prefix}][{digits}]{{1,15}}$")
+        number = number.when(spelled, F.conv(F.substring(text, 3, 20), base, 10).try_cast("double"))
+    usable = (number > 0) & (number < float("inf"))
     return F.when(usable, F.least(F.floor(number), F.lit(K.MAX_LIMIT))).otherwise(
         K.DEFAULT_LIMIT
     ).cast("int")
@@ -76,9 +87,13 @@ def include_domains(hits: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def exclude_domains(hits: DataFrame, domains: DataFrame) -> DataFrame:
-    """Drop hits of the domains; hits whose URL does not parse stay."""
+    """Drop hits of the domains; hits whose URL does not parse stay.
+
+    Those get a key of their own ("!" is in no host), so they do not all meet in one task.
+    """
+    host, own = U.url_host(F.col("url")), F.pmod(F.xxhash64("query_id", "src_pos", "url"), F.lit(1024))
     return (
-        hits.withColumn("_host", U.url_host(F.col("url")))
+        hits.withColumn("_host", F.coalesce(host, F.concat(F.lit("!"), own.cast("string"))))
         .join(_matching_hosts(hits, domains), "_host", "left_anti")
         .drop("_host")
     )
@@ -86,10 +101,9 @@ def exclude_domains(hits: DataFrame, domains: DataFrame) -> DataFrame:
 
 def engine_filter(hits: DataFrame, engines: DataFrame) -> DataFrame:
     """Hits that at least one of the engines returned."""
-    names = engines.select(F.collect_set("name").alias("_names"))  # a handful of settings rows
-    listed = [r for r in names.head()["_names"]]
-    wanted = F.array(*[F.lit(n) for n in sorted(listed)]).cast("array<string>")
-    return hits.where(F.arrays_overlap(F.col("engines"), wanted))
+    wanted = engines.agg(F.collect_set("name").alias("_names")).withColumn("_one", F.lit(1))
+    joined = hits.withColumn("_one", F.lit(1)).join(F.broadcast(wanted), "_one")  # one row of settings
+    return joined.where(F.arrays_overlap("engines", "_names")).select(*hits.columns)
 
 
 def hit_filter(
@@ -97,6 +111,8 @@ def hit_filter(
     engines: Sequence[str] = (),
     categories: Sequence[str] = (),
     since: str | None = None,
+    until: str | None = None,
+    language: str | None = None,
 ) -> DataFrame:
     """Backend parameters as filters on the hit table."""
     if engines:
@@ -105,6 +121,10 @@ def hit_filter(
         hits = hits.where(F.col("category").isin(list(categories)))
     if since:
         hits = hits.where(F.col("publishedDate") >= since)
+    if until:
+        hits = hits.where(F.col("publishedDate") <= until)
+    if language:
+        hits = hits.where(F.lower("language") == language.lower())
     return hits
 
 
@@ -154,13 +174,10 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
 def top_hits(hits: DataFrame, n: int | Column = K.DEFAULT_LIMIT) -> DataFrame:
     """Best ``n`` hits per query by score, ties in answer order; adds ``position``.
 
-    ``n`` may be a column of at most 20 (see ``coerce_limit``).
+    ``n`` may be a column.  A number also prunes before the shuffle.
     """
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("src_pos"))
-    ranked = hits.withColumn("position", F.row_number().over(w))
-    if isinstance(n, int):
-        return ranked.where(F.col("position") <= n)
-    return ranked.where(F.col("position") <= K.MAX_LIMIT).where(F.col("position") <= n)
+    return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
 def search_meta(top: DataFrame, queries: DataFrame) -> DataFrame:
@@ -197,18 +214,24 @@ def web_results(top: DataFrame) -> DataFrame:
 
 
 def search_and_extract(
-    web: DataFrame, pages: DataFrame, formats: Sequence[str] = ("markdown",), only_main: bool = True
+    web: DataFrame,
+    pages: DataFrame,
+    formats: Sequence[str] = ("markdown",),
+    only_main: bool = True,
+    dns: DataFrame | None = None,
 ) -> DataFrame:
     """Web results with the content of their pages.
 
-    The slice comes first: only pages that a result names are extracted, once
-    per URL.  Results without a page stay as they are.  No formats, no join.
+    The slice comes first: only pages that a result names and the URL policy allows are
+    extracted, once per URL.  Other results stay as they are.  No formats, no join.
     """
     if not formats:
         return web
     # one page per URL, chosen on the narrow columns
-    chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    located = web.join(chosen, "url", "left")
+    chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).withColumnRenamed("url", "_asked")
+    judged = R.url_policy(web, "url", dns)
+    asked = judged.withColumn("_asked", F.when(F.col("ok") & (F.col("url") != ""), F.col("url")))
+    located = left_join_spread(asked, chosen, "_asked").select(*web.columns, "page_id")
     needed = located.where(F.col("page_id").isNotNull()).select("page_id").distinct()
     extracted = P.extract_pages(pages.join(needed, "page_id", "left_semi"), formats, only_main)
 
@@ -223,41 +246,31 @@ def search_and_extract(
     )
 
 
-def terms_of(text: Column, min_chars: int) -> Column:
-    """Lower-cased words of at least ``min_chars`` letters or digits."""
+def terms_of(text: Column) -> Column:
+    """Lower-cased words: runs of letters or digits, of any length."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(words, lambda w: F.length(w) >= min_chars)
+    return F.filter(words, lambda w: w != "")
 
 
-def corpus_hits(
-    docs: DataFrame, queries: DataFrame, min_chars: int = 3, snippet_chars: int = 160
-) -> DataFrame:
-    """Keyword hits of a document table: score = number of matching words.
+def corpus_hits(docs: DataFrame, queries: DataFrame, k: int = 10, snippet_chars: int = 160) -> DataFrame:
+    """The ``k`` best documents per query, by the number of matching words (ties by id).
 
-    ``docs``: doc_id, text; ``queries``: query_id, query.  Documents shrink to
-    distinct (doc, term, count) within their own row, then meet the query terms
-    by equality; counts combine per (query, document) before the last shuffle.
+    ``docs``: doc_id, text; ``queries``: query_id, query.  Words of documents that no query
+    has go first.  All rows of a document lie together, so counts per (query, document) need no
+    further exchange, and only each task's best ``k`` per query leave it; a word that every
+    document has is spread over all of them.  Texts are read again for the survivors only.
     """
-    counted = docs.select(
-        "doc_id", F.explode(terms_of(F.col("text"), min_chars)).alias("term")
-    )
-    asked = queries.select(
-        "query_id", F.explode(F.array_distinct(terms_of(F.col("query"), min_chars))).alias("term")
-    )
-    relevant = counted.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term"))
+    words = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
+    relevant = words.join(asked.select("term").distinct(), "term", "left_semi").repartition("doc_id")
     postings = relevant.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return (
-        postings.join(asked, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum("n").alias("score"))
-        .join(
-            docs.select(
-                "doc_id", F.substring("text", 1, snippet_chars).alias("snippet")
-            ),
-            "doc_id",
-        )
-        .select("query_id", "doc_id", "score", "snippet")
-    )
+    scored = postings.join(asked, "term").groupBy("doc_id", "query_id").agg(F.sum("n").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
+    top = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).drop("_rank")
+    texts = docs.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    return top.join(
+        texts.select("doc_id", F.substring("text", 1, snippet_chars).alias("snippet")), "doc_id"
+    ).select("query_id", "doc_id", "score", "snippet")
 
 
 def context_pack(results: DataFrame, style: str = "bold") -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from pageframe import constants as K
 from pageframe.functions import urls as U
-
-SMALL_TOP = 100_000
+from pageframe.sources import shared
 
 
 def latest_per_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -32,49 +31,30 @@ def fresh_entries(store: DataFrame, now: Column, ttl_ms: int = K.STORE_TTL_MS) -
 
 
 def retain(store: DataFrame, max_items: int = K.STORE_MAX_ITEMS) -> DataFrame:
-    """The ``max_items`` most recently used entries (ties by key).
+    """The ``max_items`` most recently used entries (ties by key, no time last).
 
-    A small bound is a distributed top-k.  A large one never gathers rows: the
-    cut is narrowed by counts per hour, second, microsecond and key prefix, and
-    whatever lies before each cut is kept as it is.
+    The order is found on the two narrow columns: sorted by range, counted per range, and
+    numbered inside the one range that holds the cut.  The store's values never move; its rows
+    are compared with the one row at the cut.
     """
-    if max_items <= SMALL_TOP:
-        return store.orderBy(F.col("last_access").desc(), F.col("cache_key")).limit(max_items)
-    return _retain_large(store, max_items)
-
-
-def _retain_large(store: DataFrame, max_items: int) -> DataFrame:
-    micros = F.unix_micros("last_access")
-    # each bucket refines the one before, so at most a few thousand counts
-    # reach the driver per step (hours: one per hour of history)
-    buckets = [
-        -F.floor(micros / 3_600_000_000),
-        -F.floor(micros / 1_000_000),
-        -F.floor(micros / 1_000),
-        -micros,
-        *[F.substring("cache_key", 1, n) for n in (3, 6, 9)],
-    ]
-    kept, inside, left = [], store, max_items
-    for bucket in buckets:
-        counts = inside.groupBy(bucket.alias("b")).count().orderBy("b").collect()
-        edge = None
-        for value, n in counts:
-            if n >= left:
-                edge = value
-                break
-            left -= n
-        if edge is None:
-            kept.append(inside)
-            inside = None
-            break
-        kept.append(inside.where(bucket < F.lit(edge)))
-        inside = inside.where(bucket == F.lit(edge))
-    result = kept[0]
-    for part in kept[1:]:
-        result = result.unionByName(part)
-    if inside is not None:
-        result = result.unionByName(inside.orderBy("cache_key").limit(left))
-    return result
+    order = [F.col("last_access").desc_nulls_last(), F.col("cache_key")]
+    width = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = store.select("last_access", "cache_key").repartitionByRange(width, *order)
+    ranged = shared.cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row per range
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
+    holds = counts.withColumn("_before", before).where(
+        (F.col("_before") < max_items) & (F.col("_before") + F.col("_n") >= max_items)
+    )
+    inside = ranged.join(F.broadcast(holds), "_range")  # one row at most
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    cut = inside.withColumn("_place", place).where(F.col("_place") == max_items)
+    cut = cut.select(F.col("last_access").alias("_at"), F.col("cache_key").alias("_key"), F.lit(1).alias("_one"))
+    later = (F.col("_at").isNull() & F.col("last_access").isNotNull()) | (F.col("last_access") > F.col("_at"))
+    same = F.col("last_access").eqNullSafe(F.col("_at")) & (F.col("cache_key") <= F.col("_key"))
+    kept = store.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one", "left")
+    within = F.col("_key").isNull() | F.coalesce(later, F.lit(False)) | same
+    return kept.where(within & F.lit(max_items > 0)).select(*store.columns)
 
 
 def store_rows(extracted: DataFrame, formats: list[str], only_main: bool, now: Column) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.functions import policy as R
-from pageframe.functions import urls as U
 from pageframe.operators import metadata as D
 from pageframe.operators import metrics as X
 from pageframe.operators import tokens as TK
@@ -39,9 +38,14 @@ def stream_policy(requests: DataFrame, engines: DataFrame | None = None) -> Data
     return judged
 
 
-def stream_arrival_dedup(requests: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """First arrival of each key within the watermark delay (not a TTL rule)."""
-    return requests.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def stream_arrival_dedup(requests: DataFrame, key: str, ts: str, width: str, delay: str) -> DataFrame:
+    """One arrival of each key per tumbling ``window`` (not a TTL rule).
+
+    Which keys and windows come out does not depend on how batches are cut; state of a window
+    goes once the watermark has passed it.
+    """
+    timed = requests.withWatermark(ts, delay).withColumn("window", F.window(ts, width))
+    return timed.dropDuplicates([key, "window"])
 
 
 def stream_histogram(log: DataFrame, ts: str = "ts", width: str = "1 hour",
@@ -83,10 +87,3 @@ def ttl_step(
     flagged = L.ttl_hits(batch, ttl_ms, key, ts, order, seed=state)
     misses = flagged.where(F.col("is_miss")).select(key, ts)
     return flagged, L.last_sets(misses, state, key, ts)
-
-
-def request_keys(log: DataFrame) -> DataFrame:
-    return log.withColumn(
-        "cache_key",
-        U.extraction_key(F.col("url"), F.array(F.lit("markdown")), F.lit(True)),
-    )

@@ -63,19 +63,41 @@ def test_store_rules(spark):
     assert sorted(r["cache_key"] for r in ST.retain(store, 2).collect()) == ["a", "c"]
 
 
-def test_large_retention_equals_top_k(spark, monkeypatch):
+def test_retention_is_one_order_with_missing_times_last(spark):
     rng = random.Random(1)
     base = dt.datetime(2024, 1, 1)
     rows = [
-        (f"{rng.getrandbits(96):024x}", base + dt.timedelta(seconds=rng.choice([0, 0, 1, 4000, 9000])))
+        (f"{rng.getrandbits(96):024x}",
+         rng.choice([None, *[base + dt.timedelta(seconds=s) for s in (0, 0, 1, 4000, 9000)]]))
         for _ in range(400)
     ]
     store = spark.createDataFrame(rows, "cache_key string, last_access timestamp")
-    for n in (1, 57, 200, 399, 500):
-        want = {r["cache_key"] for r in ST.retain(store, n).collect()}
-        monkeypatch.setattr(ST, "SMALL_TOP", 0)
-        assert {r["cache_key"] for r in ST.retain(store, n).collect()} == want
-        monkeypatch.undo()
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or base).timestamp(), r[0]))
+    for n in (0, 1, 57, 350, 399, 400, 500):
+        assert {r["cache_key"] for r in ST.retain(store, n).collect()} == {r[0] for r in order[:n]}
+
+
+def test_limit_column_is_not_capped(spark):
+    hits = spark.range(60).selectExpr("1L AS query_id", "CAST(id AS INT) AS src_pos", "1.0D AS score")
+    assert Q.top_hits(hits, F.lit(50)).count() == 50
+
+
+def test_limit_spellings(ask):
+    raw = ["5d", "5f", "0x10", "0b11", "1e1", " 7 ", "NaN", "Infinity", "1_0"]
+    assert ask(Q.coerce_limit, raw) == [10, 10, 16, 3, 10, 7, 10, 10, 10]
+
+
+def test_blocked_results_are_not_extracted(spark):
+    web = spark.createDataFrame(
+        [(1, 1, u, "t", "d", "web") for u in ("http://10.0.0.1/x", "https://ok.com/", "", None)],
+        "query_id long, position int, url string, title string, description string, category string",
+    )
+    pages = spark.createDataFrame(
+        [(1, "http://10.0.0.1/x", "<p>secret text</p>"), (2, "https://ok.com/", "<p>open text</p>")],
+        "page_id long, url string, html string",
+    )
+    got = {r["url"]: r["markdown"] for r in Q.search_and_extract(web, pages).collect()}
+    assert got["http://10.0.0.1/x"] is None and "open text" in got["https://ok.com/"] and len(got) == 4
 
 
 def _brute(rows, ttl, seed=None):

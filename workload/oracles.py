@@ -6,6 +6,8 @@ common table expressions that are put together here by name.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pageframe import constants as K
 from pageframe.functions import policy as R
 from pageframe.functions import text as T
@@ -313,30 +315,53 @@ FETCHED = f"src AS ({I.duck(I.FETCHED_PAGES)})"
 PLAIN = "src AS (SELECT page_id, url, html FROM pages)"
 
 
+# an attribute, and what may stand before it; names up to white space, "/", ">" or "="
+ATTRIBUTE = r"""[ \t\r\n\f/]*[^ \t\r\n\f/>][^ \t\r\n\f/>=]*(?:[ \t\r\n\f]*=[ \t\r\n\f]*(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+))?"""
+VALUED = r"""[ \t\r\n\f]*=[ \t\r\n\f]*((?s).+)$"""
+
+
+def attributes(tok: str, pattern: str) -> str:
+    """Attributes of a tag, as written, that match; the tag's own name comes first."""
+    return (
+        f"list_filter(regexp_extract_all({tok}, {q(ATTRIBUTE)})[2:], "
+        f"lambda a: {has('a', pattern)})"
+    )
+
+
 def attr_raw(tok: str, name: str) -> str:
-    return ext(tok, T.attr_pattern(name), 1)
+    start = r"(?i)^[ \t\r\n\f/]*" + name
+    first = f"{attributes(tok, start + VALUED)}[1]"
+    return f"coalesce(CASE WHEN {has(tok, '^<[a-zA-Z]')} THEN {ext(first, start + VALUED, 1)} END, '')"
+
 
+def attr_flag(tok: str, name: str) -> str:
+    start = r"(?i)^[ \t\r\n\f/]*" + name + r"([ \t\r\n\f]*=|$)"
+    return f"({has(tok, '^<[a-zA-Z]')} AND len({attributes(tok, start)}) > 0)"
 
-ENTITY_MAP = "MAP {" + ", ".join(
-    f"{q(n[1:-1])}: {q(c)}" for n, c in [*K.NAMED_ENTITIES, ("&amp;", "&")]
-) + "}"
+
+ENTITY_MAP = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in T.entity_table().items()) + "}"
+OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 
 
 def decode(text: str) -> str:
     """Character references of a text, one reference per piece after ``&``."""
-    ref = ext("p", T.REFERENCE, 1)
+    ref = ext("p", "^(#[xX]0*[0-9a-fA-F]{1,6}|#0*[0-9]{1,7});?", 1)
+    long, old = ext("p", "^([a-zA-Z][a-zA-Z0-9]*);", 1), ext("p", f"^({OLD_NAMES})", 1)
     code = (
         f"CASE WHEN {has(ref, '^#[xX]')} THEN {base_number(f'lower(substr({ref}, 3))', 16)} "
         f"ELSE TRY_CAST(substr({ref}, 2) AS BIGINT) END"
     )
-    char = (
-        f"CASE WHEN starts_with({ref}, '#') THEN CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 "
-        f"THEN chr(CAST({code} AS INTEGER)) ELSE chr(65533) END ELSE {ENTITY_MAP}[{ref}] END"
+    number = (
+        f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 "
+        f"THEN chr(CAST({code} AS INTEGER)) ELSE chr(65533) END"
     )
-    rest = (
-        f"list_transform(string_split({text}, '&')[2:], lambda p: "
-        f"coalesce({char} || substr(p, length({ref}) + 2), '&' || p))"
+    numeric = "^(#[xX]0*[0-9a-fA-F]{1,6}|#0*[0-9]{1,7});?"
+    piece = (
+        f"CASE WHEN {ref} <> '' THEN {number} || substr(p, length({ext('p', numeric, 0)}) + 1) "
+        f"WHEN {ENTITY_MAP}[{long}] IS NOT NULL THEN {ENTITY_MAP}[{long}] || substr(p, length({long}) + 2) "
+        f"WHEN {old} <> '' THEN {ENTITY_MAP}[{old}] || substr(p, length({old}) + 1) ELSE '&' || p END"
     )
+    rest = f"list_transform(string_split({text}, '&')[2:], lambda p: {piece})"
     return (
         f"CASE WHEN contains({text}, '&') THEN string_split({text}, '&')[1] || array_to_string({rest}, '') "
         f"ELSE {text} END"
@@ -348,19 +373,17 @@ def unquote(raw: str) -> str:
 
 
 def markup_ctes(src: str = "src") -> list[str]:
-    fixed = "m0"
-    for _ in range(3):
-        fixed = rep(fixed, K.QUOTED_GT, r"\1&gt;\2")
-    return [
-        f"mk0 AS (SELECT *, {rep('html', K.NOT_CONTENT)} AS m0 FROM {src})",
-        f"mk AS (SELECT *, {fixed} AS markup FROM mk0)",
-    ]
+    return [f"mk AS (SELECT *, {rep('html', K.NOT_CONTENT)} AS markup FROM {src})"]
+
+
+# a tag, with quoted values taken whole; then one whose quotes never end
+CUT = r"""<[a-zA-Z/!?](?:=[ \t\r\n\f]*(?:"[^"]*"|'[^']*')|[^>])*>|[^<]+|<"""
 
 
 def token_ctes(src: str = "src") -> list[str]:
     return [
         *markup_ctes(src),
-        f"cut AS (SELECT page_id, url, regexp_extract_all(markup, {q(K.TOKEN)}) AS toks FROM mk)",
+        f"cut AS (SELECT page_id, url, regexp_extract_all(markup, {q(CUT)}) AS toks FROM mk)",
         "tok0 AS (SELECT page_id, url, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM cut)",
         f"tok1 AS (SELECT *, CASE WHEN {has('tok', '^</?[a-zA-Z]')} THEN 'tag' WHEN {has('tok', '^<[!?/]')} THEN 'decl'"
         " ELSE 'text' END AS kind FROM tok0)",
@@ -391,7 +414,7 @@ def value_has(name: str, parts: list[str]) -> str:
 
 
 BOILERPLATE = (
-    f"kind = 'tag' AND NOT cl AND (tag IN {names(K.BOILERPLATE_TAGS)} OR {has('tok', T.attr_flag_pattern('aria-live'))} "
+    f"kind = 'tag' AND NOT cl AND (tag IN {names(K.BOILERPLATE_TAGS)} OR {attr_flag('tok', 'aria-live')} "
     f"OR trim({attr_raw('tok', 'role')}, '\"''') IN {names(K.BOILERPLATE_ROLES)} "
     f"OR {value_has('class', K.BOILERPLATE_CLASS_PARTS)} OR {value_has('id', K.BOILERPLATE_ID_PARTS)})"
 )
@@ -966,7 +989,10 @@ _EXTRACTED = [
 ]
 _SEARCHED = [
     *_EXTRACTED, *WEB,
-    "found AS (SELECT web.*, nullif(markdown, '') AS markdown, links FROM web LEFT JOIN ext ON page_url = url)",
+    *with_host("web", "wh"),
+    f"wr AS (SELECT query_id, position, url, title, description, category, {REASON} AS reason FROM wh)",
+    "found AS (SELECT wr.* EXCLUDE (reason), nullif(markdown, '') AS markdown, links FROM wr"
+    " LEFT JOIN ext ON page_url = url AND reason IS NULL)",
 ]
 ORACLES["search_and_extract"] = chain(*_SEARCHED, final="SELECT * FROM found")
 _SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
@@ -994,9 +1020,11 @@ ORACLES["context_pack_plain"] = chain(
 ORACLES["corpus_hits"] = chain(
     "dt AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents)",
     "qt AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM benchmark)",
-    "sc AS (SELECT item_id, doc_id, count(*) AS score FROM dt JOIN qt USING (term) WHERE length(term) >= 8 "
-    "GROUP BY item_id, doc_id)",
-    final="SELECT item_id AS query_id, doc_id, score, substr(text, 1, 160) AS snippet FROM sc JOIN documents USING (doc_id)",
+    "dc AS (SELECT doc_id, term, count(*) AS n FROM dt WHERE term <> '' GROUP BY ALL)",
+    "sc AS (SELECT item_id, doc_id, CAST(sum(n) AS BIGINT) AS score FROM dc JOIN qt USING (term) GROUP BY item_id, doc_id)",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM sc)",
+    final="SELECT item_id AS query_id, doc_id, score, substr(text, 1, 160) AS snippet FROM rk JOIN documents USING (doc_id) "
+          "WHERE r <= 10",
 )
 
 # --- requests and store ------------------------------------------------------
@@ -1030,6 +1058,11 @@ ORACLES["store_fresh"] = chain(STORED, final="SELECT cache_key, value FROM st WH
 ORACLES["store_retain"] = chain(
     STORED, final="SELECT cache_key, value FROM st ORDER BY age_minutes, cache_key LIMIT 100"
 )
+ORACLES["store_retain_half"] = chain(
+    STORED,
+    final="SELECT cache_key FROM st ORDER BY CASE WHEN page_id % 3 > 0 THEN age_minutes END NULLS LAST, cache_key "
+          "LIMIT (SELECT count(*) // 2 FROM pages)",
+)
 # one step per miss: the next one is the first request after the time to live
 ORACLES["ttl_hits"] = chain(
     "lg AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t FROM events)",
@@ -1087,3 +1120,6 @@ ORACLES["stream_histogram"] = chain(
           "count(duration_s) AS duration_count FROM lg GROUP BY ALL HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY "
           "<= (SELECT max(ts) - INTERVAL 1 HOUR FROM lg)",
 )
+ORACLES["stream_arrival_dedup"] = (
+    "SELECT DISTINCT user_id AS cache_key, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day FROM events"
+)

@@ -593,7 +593,7 @@ def corpus_hits(spark, sf):
     queries = I.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    return Q.corpus_hits(I.table(spark, sf, "documents"), queries, min_chars=8)
+    return Q.corpus_hits(I.table(spark, sf, "documents"), queries)
 
 
 # --- requests and store ------------------------------------------------------
@@ -638,6 +638,14 @@ def extract_batch(spark, sf):
     )
 
 
+@query
+def store_retain_half(spark, sf):
+    """Half of the store, where a third of the entries have no time of last use."""
+    store = _store(spark, sf).withColumn("last_access", F.when(F.col("page_id") % 3 > 0, F.col("last_access")))
+    half = I.table(spark, sf, "pages").count() // 2
+    return ST.retain(store, half).select("cache_key")
+
+
 @query
 def store_upsert(spark, sf):
     store = _store(spark, sf)
@@ -722,8 +730,8 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_arrival_dedup(spark, sf):
-    kept = SS.stream_arrival_dedup(_event_stream(spark, sf), "cache_key", "ts", "1 hour")
-    return SS.run_to_files(kept, "dedup").select("cache_key")
+    kept = SS.stream_arrival_dedup(_event_stream(spark, sf), "cache_key", "ts", "1 day", "1 hour")
+    return SS.run_to_files(kept, "dedup").select("cache_key", F.date_format("window.start", "yyyy-MM-dd").alias("day"))
 
 
 @query
