@@ -22,6 +22,15 @@ V4_PART = r"(0x[0-9a-f]*|[0-9]+)"
 V4_LIKE = r"(^|\.)" + V4_PART + r"\.?$"
 V4_SHAPE = r"^" + V4_PART + r"(\." + V4_PART + r"){0,3}\.?$"
 BAD_HOST_CHARS = r"""[\x00-\x20"<>^|%\[\]\\`{}\x7f]"""
+# ideographic and full-width forms of the dot and of ASCII, which hosts may be spelled with
+WIDE = "\u3002\uff61" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+NARROW = ".." + "".join(map(chr, range(0x21, 0x7F)))
+# characters that a host mapping would drop or turn into digits or letters: such hosts are not
+# read at all, so that no other spelling of an address passes the policy
+UNSAFE_HOST_CHARS = (
+    r"[\x{ad}\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}\x{200b}-\x{200d}\x{2060}\x{2070}-\x{209f}\x{2100}-\x{218f}"
+    r"\x{2460}-\x{24ff}\x{3200}-\x{33ff}\x{fe00}-\x{fe0f}\x{feff}\x{ff5f}-\x{ffef}\x{1d400}-\x{1d7ff}]"
+)
 # the common case: lower-case name whose last label starts with a letter, no user,
 # no port, nothing to clean; read by one regex in generated code
 COMMON_URL = r"^(https?)://((?:[a-z0-9_-]+\.)*[a-z][a-z0-9_-]*)(?:[/?#][^\x00-\x20\\]*)?$"
@@ -138,10 +147,10 @@ def host_sql(raw: str) -> str:
     null when the host is not allowed in a URL."""
     number = bind(ipv4_sql("lh"), "n5", f"CASE WHEN n5 IS NOT NULL THEN {dotted_sql('n5')} END")
     return bind(
-        f"lower({raw})",
+        f"lower(translate({raw}, {lit(WIDE)}, {lit(NARROW)}))",
         "lh",
         f"CASE WHEN startswith(lh, '[') THEN CASE WHEN {ipv6_sql('lh')} IS NOT NULL THEN lh END "
-        f"WHEN lh = '' OR lh RLIKE {lit(BAD_HOST_CHARS)} THEN NULL "
+        f"WHEN lh = '' OR lh RLIKE {lit(BAD_HOST_CHARS)} OR lh RLIKE {lit(UNSAFE_HOST_CHARS)} THEN NULL "
         f"WHEN lh RLIKE {lit(V4_LIKE)} THEN {number} ELSE lh END",
     )
 

@@ -111,3 +111,15 @@ def test_small_rules(ask):
     assert ask(U.rstrip_slash, ["http://a///"]) == ["http://a"]
     assert ask(U.host_suffixes, ["a.b.c"]) == [["a.b.c", "b.c", "c"]]
     assert ask(R.is_tracker, ["https://www.Google-Analytics.com/x", "https://a.com"]) == [True, False]
+
+
+def test_other_spellings_of_hosts_do_not_pass(spark):
+    from pyspark.sql import functions as F
+
+    from pageframe.functions import policy as R
+
+    urls = ["http://127\u30020\u30020\u30021/", "http://\uff11\uff12\uff17.0.0.1/", "http://127\uff0e0\uff610.1/",
+            "http://\u2460\u2461\u2466.0.0.1/", "http://127.0.0\u00ad.1/", "http://\uff4c\uff4f\uff43\uff41\uff4c\uff48\uff4f\uff53\uff54/"]
+    df = spark.createDataFrame([(u,) for u in [*urls, "https://m\u00fcnchen.example.com/"]], "url string")
+    got = {r["url"]: r["ok"] for r in R.url_policy(df).collect()}
+    assert not any(got[u] for u in urls) and got["https://m\u00fcnchen.example.com/"]

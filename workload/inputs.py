@@ -84,7 +84,8 @@ _BODY = {
        '<div role="navigation">menu</div><div aria-live="polite">live</div><p>&#8364; &#x41; &nbsp;end</p>',
     7: '<p><a href="https://abs.example.org/a?b=1&amp;c=2">abs</a> <a href="//h.example.org/q">host</a> '
        '<a href="../up">up</a> <a href="mailto:x@y.z">mail</a> <a title="a > b" href=bare>bare</a> '
-       '<a name="n">none</a></p><section><div>m1</div><div>m2</div></section>',
+       '<a name="n">none</a></p><p title="a>b>c>d>e">q &aacute;&frac12; &rarr; &Eacute;x &copy 1 &there4;</p>'
+       '<p onclick="if(a>b)c=1">y</p><p><a "odd" href=/u/v/w t=/x/y>slashes</a></p><section><div>m1</div><div>m2</div></section>',
 }
 
 

@@ -1065,7 +1065,7 @@ ORACLES["store_retain_half"] = chain(
 )
 # one step per miss: the next one is the first request after the time to live
 ORACLES["ttl_hits"] = chain(
-    "lg AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t FROM events)",
+    "lg AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type <> 'error')",
     "ms AS (SELECT user_id, min(t) AS t FROM lg GROUP BY user_id UNION ALL "
     "SELECT m.user_id, (SELECT min(x.t) FROM lg x WHERE x.user_id = m.user_id AND x.t > m.t + 86400000) AS t "
     "FROM ms m WHERE m.t IS NOT NULL)",

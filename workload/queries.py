@@ -673,7 +673,7 @@ def store_retain(spark, sf):
 
 @query
 def ttl_hits(spark, sf):
-    return L.ttl_hits(_log(spark, sf), DAY_MS).select("request_id", "cache_key", "is_miss")
+    return L.ttl_hits(_log(spark, sf).where("code = 200"), DAY_MS).select("request_id", "cache_key", "is_miss")
 
 
 # --- metrics -----------------------------------------------------------------
@@ -747,7 +747,7 @@ def stream_histogram(spark, sf):
 @query
 def stream_ttl_exact(spark, sf):
     """Two runs, split in time: the second continues from the stored state."""
-    log = _log(spark, sf)
+    log = _log(spark, sf).where("code = 200")  # a failed request sets nothing
     split = (
         F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', "
                "timestamp_ntz'2024-01-15 00:00:00')")
