@@ -17,7 +17,7 @@ import numpy as np  # noqa: E402
 
 ODD = re.compile(r"^\s|\s$|\s\s|<\||[\x1c-\x1f\x85]")
 CHUNK = re.compile(r"\s?[^\W_]+|\s?\S+")
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 400_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
