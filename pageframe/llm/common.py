@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,5 +74,12 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def log10(x: float) -> float:
-    return math.log10(x)
+#: Most ids (8 bytes each) that are sent to all tasks; with more, both sides are shuffled.
+MOST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, condition: Column) -> DataFrame:
+    """The rows of ``docs`` that ``condition`` matches with no row of ``gone``, a written table
+    of single ids.  Few ids leave the texts where they are."""
+    few = gone.count() <= MOST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, condition, "left_anti")

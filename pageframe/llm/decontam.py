@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.llm.common import mixed, stored
+from pageframe.llm.common import mixed, stored, without
 
 WINDOW, LITERALS, LEAST_COVERED = 10, 5, 0.5
 MOST_HASHES = 2_000_000
@@ -239,4 +239,4 @@ def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """The rows of documents that hold no item; rows with a null id share one verdict."""
     bad = matches(docs, items, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
     bad = stored(bad, "contaminated")
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_bad_id"]), "left_anti")
+    return without(docs, bad, docs[id_col].cast("long").eqNullSafe(bad["_bad_id"]))

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageframe.llm.common import components, mixed, stored, width
+from pageframe.llm.common import components, mixed, stored, width, without
 
 N, THRESHOLD = 5, Fraction(80, 100)
 HASH_BITS = 56
@@ -440,4 +440,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = linked_documents(docs, id_col=id_col, text_col=text_col)
     gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
     gone = stored(gone, "gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
+    return without(docs, gone, docs[id_col].cast("long") == gone["_gone_id"])
