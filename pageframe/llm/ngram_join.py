@@ -118,7 +118,7 @@ _PART_SQL = "bucket int, doc_id long, cls long, n int, gram long, grams binary,
 _OUT = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("gram", pa.int64())])
 _OUT_SQL = "doc_id long, cls long, n int, gram long"
 #: Entries that a task holds before it sends them on.
-HELD = 3_000_000
+HELD = 1_500_000
 
 
 def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
