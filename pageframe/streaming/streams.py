@@ -45,7 +45,7 @@ def stream_arrival_dedup(requests: DataFrame, key: str, ts: str, width: str, del
     goes once the watermark has passed it.
     """
     timed = requests.withWatermark(ts, delay).withColumn("window", F.window(ts, width))
-    return timed.dropDuplicates([key, "window"])
+    return timed.drop(ts).dropDuplicates([key, "window"])  # the window carries the event time on
 
 
 def stream_histogram(log: DataFrame, ts: str = "ts", width: str = "1 hour",
