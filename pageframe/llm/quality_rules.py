@@ -167,8 +167,13 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with the input's columns."""
-    return measured(df, text).where(~base_failed() & verdict(rules)).select("row.*")
+    """The rows that pass, with the input's columns.
+
+    Written as a generator of one row or none: a filter would be pushed below the metrics,
+    with a copy of their expressions for each use.
+    """
+    good = F.when(~base_failed() & verdict(rules), F.array("row"))
+    return measured(df, text).select(F.explode(good).alias("row")).select("row.*")
 
 
 def duckdb_sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
