@@ -6,8 +6,11 @@ Windows of ``WINDOW`` template tokens of documents and items are joined by hash.
 lie on one diagonal (the same distance between the places in the document and in the item)
 are one occurrence: its slots are consistent if each value of the item always stands for one
 value of the document, and the other way round.  So a question with other numbers or names is
-found, but a text that only has the same frame and mixes its values is not.  A window with
-fewer than ``LITERALS`` plain words is hashed with its values, as placeholders alone say little.
+found, but a text that only has the same frame and mixes its values is not.  A capitalised word
+that begins a sentence may be a name or not, so windows are read both ways, unless it is one of
+``FUNCTION_WORDS``.  Each window is also hashed by its values without regard to case, so verbatim
+copies do not depend on case.  A window with fewer than ``LITERALS`` plain words is only hashed
+with its values, as placeholders alone say little.
 Items with fewer tokens than a window are one window of their own length.
 
 The items' window hashes go to all tasks if they are few enough (``MOST_HASHES``, counted
@@ -42,12 +45,21 @@ UNITS = frozenset(
     "inch inches foot feet gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres dollar "
     "dollars cent cents euro euros percent degree degrees mph kph kmh hz khz mhz ghz w kw v a b kb mb gb tb".split()
 )
+# Capitalised at the start of a sentence, these are no names.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those i you he she it we they my your his her its our their me him us them there here who whom "
+    "whose what which when where why how if then so and or but nor yet as at by for from in into of off on onto out over to "
+    "under up with without after before during until while since because although though however also each every all any "
+    "some no not none both either neither one two three is are was were be been do does did has have had can could may might "
+    "must shall should will would let find given suppose calculate once now today yesterday tomorrow more most less many much "
+    "only even still just than about between through per please".split()
+)
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$")
 _NUMBER = re.compile(r"^[$€£]?[+-]?\d[\d.,:/]*(%|[a-zA-Z]{1,3})?$")
 _NAME = re.compile(r"^[^\W\d_]")
-LITERAL, NUMBER, UNIT, NAME, BREAK, NOTHING = range(6)
+LITERAL, NUMBER, UNIT, NAME, BREAK, NOTHING, STARTER = range(7)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_TYPED = np.array([0, 11, 12, 13, 0, 0], np.uint64)
+_TYPED = np.array([0, 11, 12, 13, 0, 0, 0], np.uint64)
 
 
 class _Tokens(dict):
@@ -65,7 +77,7 @@ class _Tokens(dict):
         elif core.lower() in UNITS:
             kind = UNIT
         elif _NAME.match(core) and core[0].isupper() and not core.isupper():
-            kind = NAME
+            kind = STARTER if core.lower() in FUNCTION_WORDS else NAME
         else:
             kind = LITERAL
         digest = hashlib.blake2b(core.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest()
@@ -79,15 +91,25 @@ _TOKENS = _Tokens()
 
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hashes, value hashes, slot kind or 0) of the tokens of a text."""
+    value, slot, _ = _slots(text)
+    return _frame(value, slot), value, slot
+
+
+def _frame(value: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return np.where(slot == LITERAL, value, _TYPED[slot])
+
+
+def _slots(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value hashes, slot kinds, slot kinds with names at the start of sentences)."""
     if len(_TOKENS) > 300_000:
         _TOKENS.clear()
     words = (text or "").replace("\0", " ").replace("\n", " \0 ").split()
     if not words:
         none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.int8)
+        return none, np.zeros(0, np.int8), np.zeros(0, np.int8)
     packed = np.fromiter(map(_TOKENS.__getitem__, words), np.uint64, len(words))
     value, kind = packed >> np.uint64(4), ((packed >> np.uint64(1)) & np.uint64(7)).astype(np.int8)
-    ends, real = (packed & np.uint64(1)).astype(np.int8), kind < BREAK
+    ends, real = (packed & np.uint64(1)).astype(np.int8), (kind < BREAK) | (kind == STARTER)
     # The last real token before each, and whether a sentence ended since.
     at = np.flatnonzero(real)
     ended = np.add.accumulate(ends.astype(np.int64))
@@ -95,32 +117,41 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.r_[0, ended[at[1:] - 1]] if len(at) else np.zeros(0, np.int64)
     earlier = np.r_[0, ended[at[:-1]] - ends[at[:-1]]] if len(at) else before
     starts = np.r_[True, (before > earlier)[1:]] if len(at) else np.zeros(0, bool)
-    slot = kind.copy()
-    slot[(kind == NAME) & starts] = LITERAL
+    # Inside a sentence a capitalised word is a name, whatever word it is.
+    slot = np.where(kind == STARTER, NAME, kind)
+    begins = (slot == NAME) & starts
+    slot[begins] = LITERAL
     after_number = np.r_[False, slot[:-1] == NUMBER] if len(at) else np.zeros(0, bool)
     slot[(kind == UNIT) & ~after_number] = LITERAL
-    return np.where(slot == LITERAL, value, _TYPED[slot]), value, slot
+    return value, slot, np.where(begins & (kind == NAME), NAME, slot)
 
 
-def windows(text: str | None, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, hash of each window, value hashes, slot kinds) for each length that fits."""
-    frame, value, slot = template(text)
-    for w in lengths:
-        n = len(frame) - w + 1
-        if n < 1:
-            continue
+def windows(text: str | None, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, places of windows, their hashes, value hashes, slot kinds) for each length that
+    fits and each reading: by value (no slots), by template, with names that begin a sentence."""
+    value, slot, other = _slots(text)
+
+    def hashed(row: np.ndarray, w: int) -> np.ndarray:
+        n = len(row) - w + 1
         h = np.full(n, w, np.uint64)
         for k in range(w):
-            h = h * _STEP + frame[k : k + n]
-        plain = np.r_[0, np.cumsum(slot == LITERAL)]
-        few = plain[w:] - plain[:-w] < min(LITERALS, (w + 1) // 2)
-        if few.any():
-            exact = np.full(n, w, np.uint64)
-            for k in range(w):
-                exact = exact * _STEP + value[k : k + n]
-            h = np.where(few, exact * _STEP + np.uint64(1), h)
-        h = mixed(h)
-        yield w, h.view(np.int64), value.view(np.int64), slot
+            h = h * _STEP + row[k : k + n]
+        return h
+
+    def held(marks: np.ndarray, w: int) -> np.ndarray:
+        sums = np.r_[0, np.cumsum(marks)]
+        return sums[w:] - sums[:-w]
+
+    for w in lengths:
+        if len(value) < w:
+            continue
+        exact = mixed(hashed(value, w) * _STEP + np.uint64(1)).view(np.int64)
+        yield w, np.arange(len(exact)), exact, value.view(np.int64), np.zeros(len(slot), np.int8)
+        for reading, new in ((slot, slot != LITERAL), (other, other != slot)):
+            # Without a slot of its own, a reading has no window that another one has not.
+            at = np.flatnonzero((held(reading == LITERAL, w) >= min(LITERALS, (w + 1) // 2)) & (held(new, w) > 0))
+            if len(at):
+                yield w, at, mixed(hashed(_frame(value, reading), w)[at]).view(np.int64), value.view(np.int64), reading
 
 
 _HITS = "id long, window long, place long, slots array<long>"
@@ -140,7 +171,7 @@ def _emit(lengths, wanted):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py()
                 own = sizes if lengths else [min(WINDOW, max(1, len(template(text)[0])))]
-                for w, h, value, slot in windows(text, own):
+                for w, place, h, value, slot in windows(text, own):
                     if known is None:
                         at = np.arange(len(h))
                     elif len(known):
@@ -150,8 +181,8 @@ def _emit(lengths, wanted):
                         at = np.zeros(0, np.int64)
                     out[0].extend([doc] * len(at))
                     out[1].extend(h[at].tolist())
-                    out[2].extend(at.tolist())
-                    out[3].extend(value[k : k + w][slot[k : k + w] != LITERAL].tolist() for k in at)
+                    out[2].extend(place[at].tolist())
+                    out[3].extend(value[k : k + w][slot[k : k + w] != LITERAL].tolist() for k in place[at])
                     held += len(at)
                 if held > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _HIT_SCHEMA)], schema=_HIT_SCHEMA)

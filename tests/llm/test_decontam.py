@@ -68,3 +68,12 @@ def test_equals_brute_force_on_verbatim_windows(table, items):
 
 def test_empty(table, items):
     assert found(table([]), items([(1, ITEM, "", 1)])) == [] and found(table([(1, ITEM)]), items([])) == []
+
+
+def test_names_at_sentence_starts_and_copies_in_other_case(table, items):
+    tom = "Tom has 5 red apples. Tom buys 3 more apples. Tom gives 2 to Ann. How many apples does Tom have now?"
+    bob = tom.replace("Tom", "Bob").replace("Ann", "Eve").replace("5", "7")
+    mixed = tom.replace("Tom buys", "Bob buys")
+    docs = table([(1, bob), (2, ITEM.lower()), (3, ITEM.upper()), (4, tom.lower()), (5, mixed), (6, tom)])
+    bench = items([(1, tom, "", 1), (2, ITEM, "", 1)])
+    assert found(docs, bench) == [(1, 1), (2, 2), (3, 2), (4, 1), (6, 1)]
