@@ -352,19 +352,19 @@ def _towards_two(rows: DataFrame, t: Fraction) -> DataFrame:
     return near.select(*_pair()).distinct()
 
 
-def _all_apart(rows: DataFrame, t: Fraction) -> DataFrame:
-    """All pairs of different components that can still be linked.  Of two linked classes, all
-    common n-grams up to the end of one prefix are in both prefixes, and beyond it that class
+def _all_apart(rows: DataFrame, t: Fraction, key: str = "component") -> DataFrame:
+    """All pairs of different components (or of another ``key``) that can still be linked.  Of two
+    linked classes, all common n-grams up to the end of one prefix are in both prefixes, and beyond it that class
     has only ceil(t n) - 1 more, which bounds the number of common ones from below."""
-    lists = rows.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    lists = rows.groupBy("gram").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     rows = rows.join(lists.where("lo <> hi").select("gram"), "gram")
     other = rows.select(
         "gram", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"),
-        F.col("component").alias("component2"),
+        F.col(key).alias("key2"),
     )
     bound = _pair_bound(F.col("n"), F.col("n2"), t)
     apart = rows.join(other, "gram").where(
-        (F.col("component") < F.col("component2")) & (F.least("n", "n2") >= bound)
+        (F.col(key) < F.col("key2")) & (F.least("n", "n2") >= bound)
     )
     needed = bound - F.greatest(_least_overlap(F.col("n"), t), _least_overlap(F.col("n2"), t)) + 1
     counted = apart.groupBy(*_pair()).agg(
@@ -377,12 +377,33 @@ def _all_apart(rows: DataFrame, t: Fraction) -> DataFrame:
 LINEAR_ROUNDS = 3
 
 
-def class_links(found: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
-    """Edges (a, b) between classes that span all components of the linked classes."""
+def _tables(found: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Written rows of the classes that may be linked, and their first n-grams."""
     entries = stored(survivors(found, t), "entries")
     rows = entries.groupBy("cls", "n").agg(F.collect_list("gram").alias("grams"))
     rows = stored(rows.mapInArrow(_row_blob, "cls long, n int, grams binary"), "rows")
-    first = stored(prefixes(entries, t), "prefixes")
+    return rows, stored(prefixes(entries, t), "prefixes")
+
+
+def links(
+    docs: DataFrame, n: int = N, t: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(all linked pairs (a, b) of different classes, rows (doc_id, class_id, n_links)).  n_links
+    counts the other classes that a class is linked with, null without a class; no component
+    spares a pair, so the work grows with the pairs of a group."""
+    found = incidence(docs, gram_rows(n), id_col, text_col)
+    rows, first = _tables(found, t)
+    pairs = stored(verified(stored(_all_apart(first, t, "cls"), "pairs"), rows, t), "links")
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+    counted = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
+    members = found.where("gram IS NULL").select("doc_id", "cls").join(counted, "cls", "left")
+    n_links = F.when(F.col("cls").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    return pairs, members.select("doc_id", F.col("cls").alias("class_id"), n_links.alias("n_links"))
+
+
+def class_links(found: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
+    """Edges (a, b) between classes that span all components of the linked classes."""
+    rows, first = _tables(found, t)
     links, tried = None, None
     for k in range(LINEAR_ROUNDS + 1):
         labelled = _labelled(first, links)

@@ -75,3 +75,22 @@ def test_odd_rows(table):
     rows = J.linked_documents(table([(7, same), (7, same), (9, same), (None, same), (None, None), (3, None)])).collect()
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows)
     assert got == [("3", 0, "3"), ("7", 6, "7"), ("7", 6, "7"), ("9", 6, "7"), ("None", 0, "None"), ("None", 6, "7")]
+
+
+def test_links_lose_no_pair_of_different_texts(table):
+    texts = dict(enumerate(make_texts()[:120]))
+    pairs, members = J.links(table(list(texts.items())))
+    rows = members.collect()
+    docs_of = {}
+    for r in rows:
+        docs_of.setdefault(r["class_id"], []).append(r["doc_id"])
+    sets = {i: grams(t) for i, t in texts.items()}
+    got = {(x, y) for r in pairs.collect() for x in docs_of[r["a"]] for y in docs_of[r["b"]]}
+    want = {
+        (a, b) for a in texts for b in texts
+        if sets[a] != sets[b] and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    }
+    assert want and {frozenset(p) for p in got} == {frozenset(p) for p in want}
+    for r in rows:
+        near = {frozenset(sets[b]) for a, b in want if a == r["doc_id"]}
+        assert r["n_links"] == (len(near) if sets[r["doc_id"]] else None)
