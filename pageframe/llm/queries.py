@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import decontam, frames, mixing_lm, ngram_join, packing, pii, pu_quality, quality_rules, suffix_dedup, toxicity
+from pageframe.llm import decontam, frames, mixing_lm, ngram_join, packing, pii, pu_quality, quality_rules, source_mix, spelling, suffix_dedup, toxicity, whitening
 from pageframe.llm.common import id_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,24 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_lm.scored(documents(spark, sf_dir), id_fold(F.col("doc_id"), 10) == 0)
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(spelling.vocabulary(documents(spark, sf_dir)))
+
+
+ORACLES["op12_spelling_variants"] = spelling.duckdb_sql()
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mixed(documents(spark, sf_dir))
+
+
+ORACLES["op13_source_mix"] = source_mix.duckdb_sql()
