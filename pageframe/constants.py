@@ -2,7 +2,7 @@
 
 Everything here must keep its value for results to be right: selector lists,
 tag lists, patterns and limits.  Patterns use only syntax that Java regex and
-RE2 share (no look-around, no back-references, no possessive quantifiers).
+RE2 share (no look-around, no back-references) unless they say otherwise.
 """
 
 # --- URL policy (fixed values) ---------------------------------------------
@@ -49,16 +49,35 @@ WS = r"[ \t\r\n\f]"
 STYLE_BLOCK = r"(?i)<style[\s\S]*?</style>"
 STYLESHEET_LINK = r"""(?i)<link[^>]*rel=["']?stylesheet["']?[^>]*>"""
 INLINE_STYLE = r"""(?i)[ \t\r\n\f]style=(?:"[^"]*"|'[^']*')"""
-COMMENT = r"<!--[\s\S]*?-->"
-SCRIPT_BLOCK = r"(?i)<script[\s\S]*?</script>"
-# everything that is not page content, in one left-to-right pass
-NOT_CONTENT = (
-    r"(?i)<!--[\s\S]*?-->|<script[\s\S]*?</script>|<style[\s\S]*?</style>"
-)
-# a tag ends at the first ">" outside a quoted value; possessive, so it never recurses
-TOKEN = r"""<[a-zA-Z/!?](?:=[ \t\r\n\f]*+(?:"[^"]*+"|'[^']*+')|[^>])*+>|<[a-zA-Z/!?][^>]*+>|[^<]++|<"""
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9:-]*)"
 
+# elements whose content is text up to their own end tag
+RAW_TEXT_TAGS = ["script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"]
+# tag classes of the HTML standard's tree construction
+HEAD_TAGS = ["base", "basefont", "bgsound", "head", "link", "meta", "noscript", "script", "style", "template", "title"]
+FORMATTING_TAGS = ["a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"]
+SCOPE_TAGS = [
+    "applet", "caption", "html", "marquee", "math", "object", "svg", "table", "td", "template", "th",
+]
+BUTTON_SCOPE = SCOPE_TAGS + ["button"]
+MARKER_TAGS = ["applet", "caption", "marquee", "object", "td", "template", "th"]
+TABLE_PART_TAGS = ["caption", "col", "colgroup", "tbody", "td", "tfoot", "th", "thead", "tr"]
+CLOSES_P_TAGS = [
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
+    "hr", "li", "listing", "main", "menu", "nav", "ol", "p", "plaintext", "pre", "search", "section", "summary",
+    "table", "ul", "xmp",
+]
+SPECIAL_TAGS = [
+    "address", "applet", "area", "article", "aside", "base", "basefont", "bgsound", "blockquote", "body", "br",
+    "button", "caption", "center", "col", "colgroup", "dd", "details", "dir", "div", "dl", "dt", "embed", "fieldset",
+    "figcaption", "figure", "footer", "form", "frame", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head",
+    "header", "hgroup", "hr", "html", "iframe", "img", "input", "keygen", "li", "link", "listing", "main", "marquee",
+    "menu", "meta", "nav", "noembed", "noframes", "noscript", "object", "ol", "p", "param", "plaintext", "pre",
+    "script", "search", "section", "select", "source", "style", "summary", "table", "tbody", "td", "template",
+    "textarea", "tfoot", "th", "thead", "title", "tr", "track", "ul", "wbr", "xmp",
+]
+
 FAST_MIN_CHARS = 2000
 HTML_TYPE = "text/html"
 PDF_TYPE = r"(?i)application/pdf"
@@ -100,8 +119,6 @@ STRUCTURE_TAGS = [
     "address", "center", "details",
 ]
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
-# an open tag of these that is never closed runs to the end of the page
-LONG_TAGS = STRUCTURE_TAGS + ["table", "ul", "ol", "dl", "blockquote", "pre"]
 
 NAMED_ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),

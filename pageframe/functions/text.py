@@ -58,11 +58,6 @@ def clean_html(html: Column) -> Column:
     return html
 
 
-def markup_only(html: Column) -> Column:
-    """HTML without comments, scripts and style blocks; ``constants.TOKEN`` cuts it."""
-    return F.regexp_replace(html, K.NOT_CONTENT, "")
-
-
 # characters escaped anywhere, and at the start of a text
 ESCAPED = r"([\\*`\[\]_])"
 ESCAPED_FIRST = r"^(-|\+ |=+|#{1,6} |~~~|>)"

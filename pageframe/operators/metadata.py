@@ -8,41 +8,41 @@ from pyspark.sql import functions as F
 from pageframe import constants as K
 from pageframe.functions import text as T
 from pageframe.functions import urls as U
+from pageframe.operators.tokens import with_lexemes
 
-META_TAG = r"(?i)<meta[ \t\r\n\f/][^>]*>"
-LINK_TAG = r"(?i)<link[ \t\r\n\f/][^>]*>"
-ANCHOR_TAG = r"(?i)<a[ \t\r\n\f/][^>]*>"
-HTML_TAG = r"(?i)<html[ \t\r\n\f/][^>]*>"
-TITLE_TEXT = r"(?i)<title[^>]*>([^<]*)"
 
+def tags(lex: Column, name: str) -> Column:
+    """Open tags of one name, as written, in page order."""
+    return U.let(lex, f"transform(filter(v, x -> x.n = '{name}' AND NOT x.c), x -> x.t)")
 
-def tags(markup: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
 
+def title_text(lex: Column) -> Column:
+    """Text of the first title, with its character references; '' where there is none."""
+    at = "CAST(array_position(transform(v, x -> x.n <=> 'title' AND NOT x.c), true) AS INT)"
+    return U.let(lex, U.bind(at, "at", "IF(at > 0 AND get(v, at).n IS NULL, coalesce(get(v, at).t, ''), '')"))
 
-def meta_entries(markup: Column) -> Column:
+
+def meta_entries(lex: Column) -> Column:
     """``array<struct<key,content>>`` of usable meta tags, in page order."""
 
     fields = ", ".join(f"'{a}', {T.attr_sql('tg', a)}" for a in ("name", "property", "itemprop", "content"))
     key = "CASE WHEN m.name <> '' THEN m.name WHEN m.property <> '' THEN m.property ELSE m.itemprop END"
     read = f"transform(v, tg -> named_struct({fields}))"
     keyed = f"transform({read}, m -> named_struct('key', lower({key}), 'content', m.content))"
-    return U.let(tags(markup, META_TAG), f"filter({keyed}, e -> e.key <> '' AND e.content <> '')")
+    return U.let(tags(lex, "meta"), f"filter({keyed}, e -> e.key <> '' AND e.content <> '')")
 
 
 def meta_map(entries: Column) -> Column:
-    """Entries as a map; the last tag of a key wins."""
-
-    def last_of_key(e: Column, i: Column) -> Column:
-        later = F.slice(entries, i + 2, F.size(entries))
-        return ~F.exists(later, lambda f: f["key"] == e["key"])
-
-    return F.map_from_entries(F.filter(entries, last_of_key))
+    """Entries as a map; the last tag of a key wins.  Sorted by key and place, the last of a key
+    stands before another key."""
+    ranked = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["content"].alias("content"))))
+    last = "filter(v, (e, i) -> i = size(v) - 1 OR get(v, i + 1).key <> e.key)"
+    return F.map_from_entries(U.let(ranked, f"transform({last}, e -> struct(e.key, e.content))"))
 
 
-def _link_entries(markup: Column) -> Column:
+def _link_entries(lex: Column) -> Column:
     entry = f"named_struct('rel', lower({T.attr_sql('tg', 'rel')}), 'href', {T.attr_sql('tg', 'href')})"
-    return U.let(tags(markup, LINK_TAG), f"transform(v, tg -> {entry})")
+    return U.let(tags(lex, "link"), f"transform(v, tg -> {entry})")
 
 
 def _first_link(links: Column, rels: list[str]) -> Column:
@@ -50,46 +50,39 @@ def _first_link(links: Column, rels: list[str]) -> Column:
     return F.when(href != "", href)
 
 
-def page_links(markup: Column, base: Column) -> Column:
+def page_links(lex: Column, base: Column) -> Column:
     """Absolute http(s) targets of a page, unique, in first-seen order."""
     raw = f"regexp_extract(tg, {U.lit(T.attr_pattern('href'))}, 1)"
     present = f"filter(transform(v.tags, tg -> {raw}), rw -> rw <> '')"
     target = U.bind(T.unquote_sql("rw"), "hv", U.resolve_sql("hv", "v.base"))
     resolved = f"transform({present}, rw -> {target})"
     kept = f"array_distinct(filter({resolved}, lk -> lk RLIKE '^https?:'))"
-    return U.let(F.struct(tags(markup, ANCHOR_TAG).alias("tags"), base.alias("base")), kept)
-
-
-def with_markup(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Stage the cleaned markup and the base of every page once."""
-    return pages.withColumns(
-        {"_markup": T.markup_only(F.col(html)), "_base": U.base_parts(F.col("url"))}
-    )
+    return U.let(F.struct(tags(lex, "a").alias("tags"), base.alias("base")), kept)
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """``(page_id, link_pos, link)``: one row per unique link of a page."""
-    staged = with_markup(pages)
+    staged = with_lexemes(pages)
     return staged.select(
         "page_id",
-        F.posexplode(page_links(F.col("_markup"), F.col("_base"))).alias("link_pos", "link"),
+        F.posexplode(page_links(F.col("_lex"), F.col("_base"))).alias("link_pos", "link"),
     )
 
 
 def with_metadata(staged: DataFrame) -> DataFrame:
-    """Add ``metadata`` to rows from :func:`with_markup`."""
-    markup, base = F.col("_markup"), F.col("_base")
+    """Add ``metadata`` to rows from :func:`with_lexemes`."""
+    lex, base = F.col("_lex"), F.col("_base")
     status = F.col("status_code") if "status_code" in staged.columns else F.lit(None).cast("int")
     read = staged.withColumns(
         {
-            "_entries": meta_entries(markup),
-            "_links": _link_entries(markup),
+            "_entries": meta_entries(lex),
+            "_links": _link_entries(lex),
             "_title": F.trim(
                 F.regexp_replace(
-                    T.decode_entities(F.regexp_extract(markup, TITLE_TEXT, 1)), r"[ \t\r\n\f]+", " "
+                    T.decode_entities(title_text(lex)), r"[ \t\r\n\f]+", " "
                 )
             ),
-            "_lang": T.attr_value(F.regexp_extract(markup, HTML_TAG, 0), "lang"),
+            "_lang": T.attr_value(F.coalesce(F.get(tags(lex, "html"), F.lit(0)), F.lit("")), "lang"),
         }
     ).withColumns(
         {"_meta": meta_map(F.col("_entries")), "_icon": _first_link(F.col("_links"), K.ICON_RELS)}
@@ -119,4 +112,4 @@ def with_metadata(staged: DataFrame) -> DataFrame:
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """``(page_id, metadata)`` per page."""
-    return with_metadata(with_markup(pages)).select("page_id", "metadata")
+    return with_metadata(with_lexemes(pages)).select("page_id", "metadata")

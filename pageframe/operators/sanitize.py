@@ -12,8 +12,6 @@ from pageframe.functions import text as T
 from pageframe.functions import urls as U
 from pageframe.operators.tokens import is_open_tag, pair_elements, running, same_level
 
-LINE_TAGS = K.MARKDOWN_BLOCK_TAGS + K.CELL_TAGS + K.STRUCTURE_TAGS
-
 
 def _value_has(name: str, parts: list[str]) -> Column:
     """Does the attribute value contain one of ``parts``?"""
@@ -42,42 +40,18 @@ def consent_match() -> Column:
 def _drop_subtrees(paired: DataFrame, match: Column) -> DataFrame:
     """Remove every token inside a matching element.
 
-    +1 at a matching open tag and -1 at its own close tag, summed along the
-    page.  An open tag without a close runs to the end of the page when it is a
-    container, otherwise to the next tag that starts a new line.
+    +1 at a matching open tag and -1 at its own close tag, summed along the page.
     """
-    along = running("page_id")
-    open_long = F.col("end_pos").isNull() & F.col("tag").isin(K.LONG_TAGS)
-    open_short = F.col("end_pos").isNull() & ~F.col("tag").isin(K.LONG_TAGS)
     marked = paired.withColumn("_hit", F.coalesce(match, F.lit(False)))
     marked = marked.withColumn(
         "_closes_hit",
         F.col("start_pos").isNotNull() & F.coalesce(F.lag("_hit").over(same_level()), F.lit(False)),
     )
-    has_extent = F.col("end_pos").isNotNull() & ~F.col("is_void")
-    delta = (
-        F.when(F.col("_hit") & (has_extent | open_long), 1)
-        .when(F.col("_closes_hit"), -1)
-        .otherwise(0)
-    )
-    line = (F.col("kind") == "tag") & F.col("tag").isin(LINE_TAGS)
-    inside = marked.withColumns(
-        {
-            "_depth": F.sum(delta).over(along),
-            "_last_open": F.max(F.when(F.col("_hit") & open_short, F.col("pos"))).over(along),
-            "_last_line": F.max(F.when(line, F.col("pos"))).over(along),
-        }
-    )
-    gone = (
-        (F.col("_depth") > 0)
-        | F.col("_closes_hit")
-        | (F.col("_hit") & F.col("is_void"))
-        | F.coalesce(
-            F.col("_last_open") >= F.coalesce("_last_line", F.lit(-1)), F.lit(False)
-        )
-    )
-    kept = F.col("kind").isin("page") | ((F.col("kind") != "decl") & ~gone)
-    return inside.where(kept).drop("_hit", "_closes_hit", "_depth", "_last_open", "_last_line")
+    delta = F.when(F.col("_hit") & ~F.col("is_void"), 1).when(F.col("_closes_hit"), -1).otherwise(0)
+    inside = marked.withColumn("_depth", F.sum(delta).over(running("page_id")))
+    gone = (F.col("_depth") > 0) | F.col("_closes_hit") | (F.col("_hit") & F.col("is_void"))
+    kept = (F.col("kind") == "page") | ((F.col("kind") != "decl") & ~gone)
+    return inside.where(kept).drop("_hit", "_closes_hit", "_depth")
 
 
 def drop_boilerplate(paired: DataFrame, consent: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageframe import constants as K
 from pageframe.functions import text as T
+from pageframe.functions import tree as R
 from pageframe.functions import urls as U
 
 
@@ -42,67 +43,55 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def token_array(markup: Column) -> Column:
-    return F.regexp_extract_all(markup, F.lit(K.TOKEN), F.lit(0))
+def by_page(pages: DataFrame) -> DataFrame:
+    """The one exchange of a page job: whole pages, dealt by ``page_id``."""
+    return pages.repartition(shuffle_partitions(pages), "page_id")
+
+
+def with_lexemes(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add the lexemes and the base of every page, once for all that reads them."""
+    return pages.withColumns({"_lex": R.lexemes(F.col(html)), "_base": U.base_parts(F.col("url"))})
 
 
 def page_tokens(
     pages: DataFrame, html: str = "html", carry: Column | None = None
 ) -> DataFrame:
-    """``(page_id, pos, kind, tag, is_close, is_void, base, tok)``.
+    """``(page_id, pos, kind, tag, is_close, is_void, base, tok)`` of the repaired page: every
+    element that is no void one has its close tag, and elements nest.
 
     ``carry`` is a per-page value that rides on one extra row of kind ``page``
     (``pos`` -1), so page-level columns need no join back at the end.
     """
-    staged = pages.withColumns(
-        {"_markup": T.markup_only(F.col(html)), "_base": U.base_parts(F.col("url"))}
-    )
-    return cut_tokens(staged, carry)
+    return cut_tokens(with_lexemes(by_page(pages), html), carry)
 
 
 def cut_tokens(staged: DataFrame, carry: Column | None = None) -> DataFrame:
-    """Tokens of rows that already hold ``_markup`` and ``_base``."""
-    source = staged.select(
-        "page_id",
-        "_base",
-        "_markup",
-        *([carry.alias("page")] if carry is not None else []),
-    ).repartition(shuffle_partitions(staged), "page_id")
-    tokens = token_array(F.col("_markup"))
-    kept = ["page_id", "_base"]
+    """Tokens of rows from :func:`with_lexemes` that are dealt by ``page_id``."""
+    tokens, kept = R.repaired(F.col("_lex")), ["page_id", "_base"]
     if carry is not None:
-        tokens = F.concat(F.array(F.lit("")), tokens)
+        page = F.expr(f"CAST(struct('', NULL, false, 0) AS {R.LEXEME_TYPE})")
+        tokens = F.concat(F.array(page), tokens)
+        staged = staged.withColumn("page", carry)
         kept.append("page")
-    cut = source.select(*kept, F.posexplode(tokens).alias("_at", "tok"))
-    tok = F.col("tok")
+    cut = staged.select(*kept, F.posexplode(tokens).alias("_at", "x"))
+    tok, tag, is_close = F.col("x.t"), F.col("x.n"), F.col("x.c")
     pos = F.col("_at") - 1 if carry is not None else F.col("_at")
-    named = cut.withColumns(
-        {
-            "pos": pos,
-            "kind": F.when(tok == "", "page")
-            .when(tok.rlike("^</?[a-zA-Z]"), "tag")
-            .when(tok.rlike("^<[!?/]"), "decl")
-            .otherwise("text"),
-        }
-    ).withColumn(
-        "tag",
-        F.when(F.col("kind") == "tag", F.lower(F.regexp_extract(tok, K.TAG_NAME, 1))),
-    )
-    return named.select(
+    named = cut.select(
         "page_id",
-        "pos",
-        "kind",
-        "tag",
-        ((F.col("kind") == "tag") & tok.startswith("</")).alias("is_close"),
-        F.coalesce(F.col("tag").isin(K.VOID_TAGS), F.lit(False)).alias("is_void"),
-        F.when((F.col("tag") == "a") & ~tok.startswith("</"), F.col("_base")).alias("base"),
-        "tok",
-        *(
-            [F.when(F.col("kind") == "page", F.col("page")).alias("page")]
-            if carry is not None
-            else []
-        ),
+        pos.alias("pos"),
+        F.when(tag.isNotNull(), "tag")
+        .when(tok == "", "page")
+        .when(tok.rlike("^<[!?/]"), "decl")
+        .otherwise("text")
+        .alias("kind"),
+        tag.alias("tag"),
+        is_close.alias("is_close"),
+        F.coalesce(tag.isin(K.VOID_TAGS), F.lit(False)).alias("is_void"),
+        F.when((tag == "a") & ~is_close, F.col("_base")).alias("base"),
+        tok.alias("tok"),
+        *([F.when(tok == "", F.col("page")).alias("page")] if carry is not None else []),
     )
+    return named
 
 
 def is_open_tag() -> Column:
@@ -113,7 +102,7 @@ def pair_elements(tokens: DataFrame) -> DataFrame:
     """Add ``lvl``, ``end_pos`` (open tag) and ``start_pos`` (close tag).
 
     Nesting level per tag is a running sum; the partner is the neighbour at the
-    same level.  Void tags end where they start.  No partner leaves null.
+    same level.  Void tags end where they start.
     """
     step = F.when(
         (F.col("kind") != "tag") | F.col("is_void"), F.lit(0)

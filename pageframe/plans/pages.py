@@ -33,12 +33,12 @@ def extract_pages(
     source = pages
     if "content_type" in pages.columns:
         source = source.where(~TK.is_unsupported_type(F.col("content_type")))
-    staged = D.with_metadata(D.with_markup(source))
+    staged = D.with_metadata(TK.with_lexemes(TK.by_page(source)))
     carried = [F.col("url"), F.col("metadata")]
     if "rawHtml" in formats:
         carried.append(F.col("html").alias("rawHtml"))
     if "links" in formats:
-        carried.append(D.page_links(F.col("_markup"), F.col("_base")).alias("links"))
+        carried.append(D.page_links(F.col("_lex"), F.col("_base")).alias("links"))
     tokens = TK.cut_tokens(staged, F.struct(*carried))
     clean = S.sanitized_tokens(tokens, consent)
     runs = M.text_runs(M.annotate(clean, with_html="html" in formats))
