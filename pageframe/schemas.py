@@ -53,3 +53,7 @@ PAGE = T.StructType(
         T.StructField("html", T.StringType()),
     ]
 )
+#: What a page answer may also have; null where a file lacks it.
+ANSWERED_PAGE = T.StructType(
+    [*PAGE.fields, T.StructField("status_code", T.IntegerType()), T.StructField("content_type", T.StringType())]
+)

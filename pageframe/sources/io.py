@@ -13,11 +13,11 @@ def read_pages(spark: SparkSession, path: str, stream: bool = False,
                file_glob: str | None = None) -> DataFrame:
     """Stored pages; a missing status reads as 200 later on.
 
-    A stream needs the schema up front, so it reads the three base columns.
+    A stream needs the schema up front: the base columns, status and content type.
     """
     if not stream:
         return spark.read.parquet(path)
-    reader = spark.readStream.schema(S.PAGE)
+    reader = spark.readStream.schema(S.ANSWERED_PAGE)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     return reader.parquet(path)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pageframe.functions import policy as R
 from pageframe.operators import metadata as D
-from pageframe.operators import metrics as X
 from pageframe.operators import tokens as TK
 from pageframe.operators import ttl as L
 from pageframe.sources import shared
@@ -17,16 +16,21 @@ def stream_pages(pages: DataFrame) -> DataFrame:
     """In-row extraction of arriving pages: policy, route, metadata, links.
 
     Needs no state and no shuffle, so it runs in append mode on any trigger.
-    Full Markdown runs as a batch over the landed files (``extract_batch``).
+    Full Markdown comes from the landed files, each once (``ledger.extract_arrivals``).
     """
     allowed = R.url_policy(pages).where(F.col("ok"))
-    staged = D.with_metadata(D.with_markup(allowed))
+    if "content_type" in pages.columns:  # pages stored without one were HTML answers
+        allowed = allowed.where(~TK.is_unsupported_type(F.col("content_type")))
+        kind = F.coalesce("content_type", F.lit("text/html"))
+    else:
+        kind = F.lit("text/html")
+    staged = D.with_metadata(TK.with_lexemes(allowed))
     return staged.select(
         "page_id",
         "url",
-        TK.extract_route(F.lit("text/html"), F.col("html")).alias("route"),
+        TK.extract_route(kind, F.col("html")).alias("route"),
         "metadata",
-        D.page_links(F.col("_markup"), F.col("_base")).alias("links"),
+        D.page_links(F.col("_lex"), F.col("_base")).alias("links"),
     )
 
 
@@ -48,13 +52,6 @@ def stream_arrival_dedup(requests: DataFrame, key: str, ts: str, width: str, del
     return timed.drop(ts).dropDuplicates([key, "window"])  # the window carries the event time on
 
 
-def stream_histogram(log: DataFrame, ts: str = "ts", width: str = "1 hour",
-                     delay: str = "1 hour") -> DataFrame:
-    """Duration histogram per tumbling window; later rows than ``delay`` drop."""
-    windowed = log.withWatermark(ts, delay)
-    return X.duration_histogram(windowed, F.window(ts, width).alias("window"))
-
-
 def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run over what has arrived, into Parquet on shared storage."""
     spark = stream.sparkSession
