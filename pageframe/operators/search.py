@@ -16,6 +16,8 @@ from pageframe.functions import policy as R
 from pageframe.functions import urls as U
 from pageframe.operators.joins import left_join_spread
 from pageframe.plans import pages as P
+from pageframe.operators.corpus_index import CorpusIndex, build_index, search
+from pageframe.sources import shared
 
 HIT_COLUMNS = (
     "query_id", "src_pos", "title", "url", "snippet", "engines", "score",
@@ -227,13 +229,14 @@ def search_and_extract(
     """
     if not formats:
         return web
-    # one page per URL, chosen on the narrow columns
-    chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).withColumnRenamed("url", "_asked")
     judged = R.url_policy(web, "url", dns)
     asked = judged.withColumn("_asked", F.when(F.col("ok") & (F.col("url") != ""), F.col("url")))
-    located = left_join_spread(asked, chosen, "_asked").select(*web.columns, "page_id")
-    needed = located.where(F.col("page_id").isNotNull()).select("page_id").distinct()
-    extracted = P.extract_pages(pages.join(needed, "page_id", "left_semi"), formats, only_main)
+    asked = shared.cut_lineage(asked.select(*web.columns, "_asked"))
+    # pages that nobody asked for go in the scan; then one page per URL, chosen on the narrow columns
+    known = shared.only_keys(pages.select("url", "page_id"), asked, "url", "_asked")
+    chosen = shared.cut_lineage(known.groupBy("url").agg(F.min("page_id").alias("page_id")))
+    located = left_join_spread(asked, chosen.withColumnRenamed("url", "_asked"), "_asked").select(*web.columns, "page_id")
+    extracted = P.extract_pages(shared.only_keys(pages, chosen, "page_id"), formats, only_main)
 
     def filled(column: str) -> Column:
         value = F.col(column)
@@ -246,28 +249,16 @@ def search_and_extract(
     )
 
 
-def terms_of(text: Column) -> Column:
-    """Lower-cased words: runs of letters or digits, of any length."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(words, lambda w: w != "")
-
-
-def corpus_hits(docs: DataFrame, queries: DataFrame, k: int = 10, snippet_chars: int = 160) -> DataFrame:
+def corpus_hits(
+    docs: DataFrame, queries: DataFrame, k: int = 10, snippet_chars: int = 160, index: CorpusIndex | None = None
+) -> DataFrame:
     """The ``k`` best documents per query, by the number of matching words (ties by id).
 
-    ``docs``: doc_id, text; ``queries``: query_id, query.  Words of documents that no query
-    has go first.  All rows of a document lie together, so counts per (query, document) need no
-    further exchange, and only each task's best ``k`` per query leave it; a word that every
-    document has is spread over all of them.  Texts are read again for the survivors only.
+    ``docs``: doc_id, text; ``queries``: query_id, query.  Without an ``index`` of the documents one
+    is built first.  Texts are read again for the survivors only.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term"))
-    words = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
-    relevant = words.join(asked.select("term").distinct(), "term", "left_semi").repartition("doc_id")
-    postings = relevant.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    scored = postings.join(asked, "term").groupBy("doc_id", "query_id").agg(F.sum("n").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    top = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).drop("_rank")
-    texts = docs.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    top = shared.cut_lineage(search(index or build_index(docs), queries, k))
+    texts = shared.only_keys(docs, top, "doc_id")
     return top.join(
         texts.select("doc_id", F.substring("text", 1, snippet_chars).alias("snippet")), "doc_id"
     ).select("query_id", "doc_id", "score", "snippet")

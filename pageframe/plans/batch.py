@@ -10,6 +10,7 @@ from pageframe.functions import urls as U
 from pageframe.operators import store as ST
 from pageframe.operators.joins import left_join_spread
 from pageframe.plans import pages as P
+from pageframe.sources import shared
 
 
 def scrape_outcome(requests: DataFrame, failures: DataFrame | None = None,
@@ -63,6 +64,7 @@ def extract_batch(
         "cache_key",
         F.when(F.col("ok"), U.extraction_key(F.col("url"), names, F.lit(only_main))),
     )
+    judged = shared.cut_lineage(judged.select(*requests.columns, "ok", "reason", "cache_key"))
     fresh = ST.latest_per_key(
         ST.fresh_entries(store, now, ttl_ms), "cache_key", F.col("ts").desc()
     ).select("cache_key", F.col("value").alias("_stored"))
@@ -72,9 +74,10 @@ def extract_batch(
         .distinct()
         .join(fresh.select("cache_key"), "cache_key", "left_anti")
     )
-    chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    needed = misses.join(chosen, "url").select("page_id")
-    extracted = P.extract_pages(pages.join(needed, "page_id", "left_semi"), formats, only_main)
+    # pages that no miss names go in the scan; then one page per URL
+    known = shared.only_keys(pages.select("url", "page_id"), misses, "url")
+    chosen = known.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    extracted = P.extract_pages(shared.only_keys(pages, chosen, "page_id"), formats, only_main)
     new_rows = ST.store_rows(extracted, list(formats), only_main, now)
     made = new_rows.select("cache_key", F.col("value").alias("_made"))
     answers = (
