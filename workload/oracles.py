@@ -12,7 +12,6 @@ from pageframe import constants as K
 from pageframe.functions import policy as R
 from pageframe.functions import text as T
 from pageframe.functions import urls as U
-from pageframe.operators import metadata as D
 from workload import inputs as I
 
 ORACLES: dict[str, str] = {}
@@ -372,23 +371,168 @@ def unquote(raw: str) -> str:
     return decode(rep(raw, r"""^["']|["']$"""))
 
 
-def markup_ctes(src: str = "src") -> list[str]:
-    return [f"mk AS (SELECT *, {rep('html', K.NOT_CONTENT)} AS markup FROM {src})"]
+# --- the tree, lexeme by lexeme ----------------------------------------------
+
+# the longest of: comment, raw text element, tag (quoted values whole), text
+_ATTRS = r"""(?:[ \t\r\n\f/](?:=[ \t\r\n\f]*(?:"[^"]*"|'[^']*')|[^>])*)?"""
+_RAW_NAMES = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")
+LEX = (
+    r"(?i)<!--(?:>|->|[\s\S]*?(?:-->|--!>|\z))|"
+    + "|".join(rf"<{n}{_ATTRS}>[\s\S]*?(?:</{n}>|</{n}[ \t\r\n\f/][^>]*>|\z)" for n in _RAW_NAMES)
+    + r"""|<[a-z/!?](?:=[ \t\r\n\f]*(?:"[^"]*"|'[^']*')|[^>])*>|<[a-z/!?][^>]*(?:>|\z)|[^<]+|<"""
+)
+_LX = "STRUCT(t VARCHAR, n VARCHAR, c BOOLEAN)"
+_EL = "STRUCT(n VARCHAR, m INT, k VARCHAR)"
+# the classes of a tag as bits, so that the steps compare numbers
+_CLASS = {
+    name: (1 << k, tags)
+    for k, (name, tags) in enumerate(
+        {
+            "special": K.SPECIAL_TAGS, "scope": K.SCOPE_TAGS, "button": ["button"], "list": ["ul", "ol"],
+            "formatting": K.FORMATTING_TAGS, "marker": K.MARKER_TAGS, "void": K.VOID_TAGS, "part": K.TABLE_PART_TAGS,
+            "heading": K.HEADING_TAGS, "closes_p": K.CLOSES_P_TAGS, "head": K.HEAD_TAGS, "loose": ["address", "div", "p"],
+            "rows": ["tbody", "thead", "tfoot"], "table": ["table"], "template": ["template"], "tr": ["tr"],
+            "term": ["dd", "dt"], "foreign": ["svg", "math"], "cell": ["td", "th"], "colgroup": ["colgroup"],
+        }.items()
+    )
+}
+
+
+def _of(m: str, *classes: str) -> str:
+    return f"({m} & {sum(_CLASS[c][0] for c in classes)}) <> 0"
+
+
+def _place(test: str) -> str:
+    """Place of the innermost open element that the test holds for, or 0."""
+    return f"coalesce(list_position(list_transform(st, lambda e: coalesce({test}, false)), true), 0)"
+
+
+def _search(test: str, *barrier: str) -> str:
+    """The same, 0 if a barrier is nearer."""
+    own, any_ = _place(test), _place(f"{test} OR {_of('e.m', *barrier)}")
+    return f"(CASE WHEN {own} = {any_} THEN {own} ELSE 0 END)"
+
 
+def _inside(*context: str) -> str:
+    return f"greatest({_place(_of('e.m', *context))} - 1, 0)"
 
-# a tag, with quoted values taken whole; then one whose quotes never end
-CUT = r"""<[a-zA-Z/!?](?:=[ \t\r\n\f]*(?:"[^"]*"|'[^']*')|[^>])*>|[^<]+|<"""
+
+def lexeme_ctes(src: str = "src") -> list[str]:
+    """``lx``: page_id, i from 1, t, n, c."""
+    raw = ext("l", r"(?i)^<(" + "|".join(_RAW_NAMES) + r")[ \t\r\n\f/>]", 1)
+    opened = ext("l", r"""^<[a-zA-Z](?:=[ \t\r\n\f]*(?:"[^"]*"|'[^']*')|[^>])*>""")
+    inner = rep(f"substr(l, length({opened}) + 1)", r"(?i)</(?:" + "|".join(_RAW_NAMES) + r")(?:[ \t\r\n\f/][^>]*)?>\z")
+    return [
+        f"lx0 AS (SELECT page_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS a FROM"
+        f" (SELECT page_id, regexp_extract_all(html, {q(LEX)}) AS ls FROM {src}) u)",
+        f"lx1 AS (SELECT *, lower({raw}) AS raw FROM lx0 WHERE l <> '')",
+        f"lx2 AS (SELECT page_id, a, 0 AS b, l AS t, CASE WHEN {has('l', '^</?[a-zA-Z]')} THEN"
+        f" lower({ext('l', K.TAG_NAME, 1)}) END AS n, starts_with(l, '</') AS c FROM lx1 WHERE raw = '' AND NOT"
+        f" (starts_with(l, '<!--') OR ({has('l', '^<[a-zA-Z/!?]')} AND NOT ends_with(l, '>')))"
+        f" UNION ALL SELECT page_id, a, 1, {opened}, raw, false FROM lx1 WHERE raw NOT IN ('', 'script', 'style')"
+        f" UNION ALL SELECT page_id, a, 2, replace(CASE WHEN raw IN ('title', 'textarea') THEN {inner} ELSE"
+        f" replace({inner}, '&', '&amp;') END, '<', '&lt;'), NULL, false FROM lx1 WHERE raw NOT IN ('', 'script', 'style')"
+        f" UNION ALL SELECT page_id, a, 3, '</' || raw || '>', raw, true FROM lx1 WHERE raw NOT IN ('', 'script', 'style'))",
+        "lx AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY a, b) AS i, t, n, c FROM lx2 WHERE t <> '')",
+    ]
+
+
+def tree_ctes(src: str = "src") -> list[str]:
+    """``tree``: the repaired tokens, built one lexeme of each page at a time."""
+    same, void = "e.n = n", _of("m", "void")
+    p_open = _search("e.n = 'p'", "scope", "button")
+    part, heading, formatting = _of("m", "part"), _of("m", "heading"), _of("m", "formatting")
+
+    def item(test: str) -> str:
+        barred = f"{_of('e.m', 'special')} AND NOT {_of('e.m', 'loose')}"
+        return f"(CASE WHEN {_place(test)} = {_place(f'{test} OR ({barred})')} THEN {_place(test)} ELSE 0 END)"
+
+    li, term = item("e.n = 'li'"), item(_of("e.m", "term"))
+    pops = (
+        "CASE WHEN n IS NULL THEN CASE WHEN st[1].n = 'head' AND solid THEN 1 ELSE 0 END"
+        f" WHEN c AND ({void} OR n IN ('html', 'body')) THEN 0"
+        f" WHEN c AND n = 'p' THEN {_search(same, 'scope', 'button')}"
+        f" WHEN c AND n = 'li' THEN {_search(same, 'scope', 'list')}"
+        f" WHEN c AND {heading} THEN {_search(_of('e.m', 'heading'), 'scope')}"
+        f" WHEN c AND {part} THEN {_search(same, 'table')}"
+        f" WHEN c AND n IN ('table', 'head') THEN {_search(same, 'template')}"
+        f" WHEN c AND {_of('m', 'special', 'formatting')} THEN {_search(same, 'scope')}"
+        f" WHEN c THEN {_search(same, 'special')} WHEN unwanted THEN 0"
+        f" WHEN st[1].n = 'head' AND NOT {_of('m', 'head')} THEN 1"
+        f" WHEN n = 'tr' THEN {_inside('rows', 'table')} WHEN {_of('m', 'cell')} THEN {_inside('tr', 'rows', 'table')}"
+        f" WHEN n = 'col' THEN {_inside('colgroup', 'table')} WHEN {part} THEN {_inside('table')}"
+        f" WHEN n = 'li' THEN CASE WHEN {li} > 0 THEN {li} ELSE {p_open} END"
+        f" WHEN {_of('m', 'term')} THEN CASE WHEN {term} > 0 THEN {term} ELSE {p_open} END"
+        f" WHEN {heading} THEN CASE WHEN {p_open} > 0 THEN {p_open} WHEN {_of('st[1].m', 'heading')} THEN 1 ELSE 0 END"
+        f" WHEN {_of('m', 'closes_p')} THEN {p_open}"
+        " WHEN n IN ('option', 'optgroup') THEN CASE WHEN st[1].n = 'option' THEN 1 ELSE 0 END"
+        f" WHEN n = 'a' THEN {_search(lit_eq('a'), 'special')}"
+        f" WHEN n = 'button' THEN {_search(lit_eq('button'), 'scope')} ELSE 0 END"
+    )
+    block_inside = f"len(list_filter(st[1:k0 - 1], lambda e: {_of('e.m', 'special')})) > 0"
+    marker = _of("e.m", "marker")
+    closed = "{'t': '</' || e.n || '>', 'n': e.n, 'c': true}"
+    foreign = f"({_of('m', 'foreign')} OR len(list_filter(st, lambda e: {_of('e.m', 'foreign')})) > 0)"
+    steps = [
+        # the lexeme meets the state
+        "SELECT f.page_id, x.i, f.st, f.pd, x.t, x.n, x.c, x.m, x.n IS NULL AND "
+        + has("x.t", "[^ \\t\\r\\n\\f]") + " AND NOT " + has("x.t", "^<[!?/]") + " AS solid,"
+        f" coalesce(NOT x.c AND ((x.n IN ('html', 'head', 'body') AND list_contains(list_transform(f.st, lambda e: e.n), x.n))"
+        f" OR ({_of('x.m', 'part')} AND NOT list_contains(list_transform(f.st, lambda e: e.n), 'table'))), false) AS unwanted"
+        " FROM fold f JOIN lxm x ON x.page_id = f.page_id AND x.i = f.i + 1",
+        f"SELECT *, {pops} AS k0 FROM ($) s1",
+        f"SELECT *, coalesce(c AND {formatting} AND k0 > 0 AND {block_inside}, false) AS later,"
+        f" coalesce(NOT c AND NOT unwanted AND n IS NOT NULL AND NOT ({void}) AND NOT (ends_with(t, '/>') AND {foreign}), false) AS push,"
+        f" coalesce(NOT c AND NOT unwanted AND ends_with(t, '/>') AND NOT ({void}) AND {foreign}, false) AS alone FROM ($) s2",
+        "SELECT *, CASE WHEN later THEN 0 ELSE k0 END AS k FROM ($) s3",
+        "SELECT *, st[1:k] AS pop, st[k + 1:] AS below, coalesce((c AND k > 0) OR (push AND n = 'a'), false) AS own FROM ($) s4",
+        "SELECT *, CASE WHEN k = 0 THEN 0 ELSE coalesce(list_position(list_transform(below, lambda e: e.k <> '#'), true), 0) END AS fresh FROM ($) s5",
+        "SELECT *, CASE WHEN k = 0 THEN 0 WHEN fresh = 0 THEN len(below) ELSE fresh - 1 END AS done,"
+        f" len(list_filter(pop, lambda e: {marker})) > 0 OR (push AND {_of('m', 'marker')}) AS forget FROM ($) s6",
+        "SELECT *, below[done + 1:] AS rest, CASE WHEN forget THEN [] ELSE list_concat(pd, list_reverse(list_filter(pop,"
+        " lambda e, j: e.k <> '' AND e.k <> '#' AND NOT (own AND j = k)))) END AS pd1 FROM ($) s7",
+        # each waiting element once, where it stood first
+        "SELECT *, list_filter(pd1, lambda e, j: list_position(pd1, e) = j AND NOT (coalesce((c AND k = 0 AND NOT later"
+        f" AND {formatting}) OR (NOT c AND n = 'a'), false) AND e.n = n)) AS pd2 FROM ($) s8",
+        f"SELECT page_id, i, CASE WHEN solid THEN list_concat(list_reverse(pd2), rest)"
+        f" WHEN push THEN list_concat([{{'n': n, 'm': m, 'k': CASE WHEN {formatting} THEN t ELSE '' END}}], rest)"
+        " WHEN later THEN list_transform(rest, lambda e, j: {'n': e.n, 'm': e.m, 'k': CASE WHEN j = k0 THEN '#' ELSE e.k END})"
+        f" ELSE rest END::{_EL}[] AS st, CASE WHEN solid THEN [] ELSE pd2 END::{_EL}[] AS pd,"
+        f" list_concat(list_transform(list_concat(pop, below[1:done]), lambda e: {closed}),"
+        " CASE WHEN solid THEN list_concat(list_transform(pd2, lambda e: {'t': e.k, 'n': e.n, 'c': false}), [{'t': t, 'n': n, 'c': c}])"
+        " WHEN n IS NULL THEN [{'t': t, 'n': n, 'c': c}] WHEN c AND n = 'br' THEN [{'t': '<br>', 'n': 'br', 'c': false}]"
+        " WHEN c AND n = 'p' AND k0 = 0 THEN [{'t': '<p>', 'n': 'p', 'c': false}, {'t': '</p>', 'n': 'p', 'c': true}]"
+        " WHEN alone THEN [{'t': t, 'n': n, 'c': c}, {'t': '</' || n || '>', 'n': n, 'c': true}]"
+        f" WHEN c OR unwanted THEN [] ELSE [{{'t': t, 'n': n, 'c': c}}] END)::{_LX}[] AS o FROM ($) s9",
+    ]
+    step = steps[0]
+    for outer in steps[1:]:
+        step = outer.replace("$", step)
+    bits = " + ".join(f"CASE WHEN n IN {names(tags)} THEN {bit} ELSE 0 END" for bit, tags in _CLASS.values())
+    return [
+        *lexeme_ctes(src),
+        f"lxm AS MATERIALIZED (SELECT *, ({bits})::INT AS m FROM lx)",
+        f"fold AS (SELECT page_id, CAST(0 AS BIGINT) AS i, []::{_EL}[] AS st, []::{_EL}[] AS pd, []::{_LX}[] AS o FROM {src}"
+        f" UNION ALL {step})",
+        f"ends AS (SELECT page_id, i + 1 AS i, list_transform(st, lambda e: {closed})::{_LX}[] AS o FROM fold"
+        " QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i DESC) = 1)",
+        "tree0 AS (SELECT page_id, i, unnest(o) AS e, generate_subscripts(o, 1) AS j FROM"
+        " (SELECT page_id, i, o FROM fold UNION ALL SELECT page_id, i, o FROM ends) u)",
+        "tree AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS pos, e.t AS tok, e.n AS tag,"
+        " coalesce(e.c, false) AS cl FROM tree0)",
+    ]
+
+
+def lit_eq(name: str) -> str:
+    return f"e.n = {q(name)}"
 
 
 def token_ctes(src: str = "src") -> list[str]:
     return [
-        *markup_ctes(src),
-        f"cut AS (SELECT page_id, url, regexp_extract_all(markup, {q(CUT)}) AS toks FROM mk)",
-        "tok0 AS (SELECT page_id, url, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM cut)",
-        f"tok1 AS (SELECT *, CASE WHEN {has('tok', '^</?[a-zA-Z]')} THEN 'tag' WHEN {has('tok', '^<[!?/]')} THEN 'decl'"
-        " ELSE 'text' END AS kind FROM tok0)",
-        f"tok AS (SELECT *, CASE WHEN kind = 'tag' THEN lower({ext('tok', K.TAG_NAME, 1)}) END AS tag,"
-        " kind = 'tag' AND starts_with(tok, '</') AS cl FROM tok1)",
+        *tree_ctes(src),
+        "tok AS (SELECT r.page_id, s.url, r.pos, r.tok, r.tag, r.cl AND r.tag IS NOT NULL AS cl, CASE WHEN r.tag IS NOT NULL"
+        f" THEN 'tag' WHEN {has('r.tok', '^<[!?/]')} THEN 'decl' ELSE 'text' END AS kind FROM tree r JOIN {src} s"
+        " ON r.page_id = s.page_id)",
     ]
 
 
@@ -406,9 +550,6 @@ def pair_ctes(src: str = "tok") -> list[str]:
     ]
 
 
-LINE_TAGS = K.MARKDOWN_BLOCK_TAGS + K.CELL_TAGS + K.STRUCTURE_TAGS
-
-
 def value_has(name: str, parts: list[str]) -> str:
     return has(attr_raw("tok", name), "|".join(p.replace("-", "[-]") for p in parts))
 
@@ -425,18 +566,14 @@ CONSENT = (
 
 
 def drop_ctes(match: str, out: str = "dropped") -> list[str]:
-    long = f"tag IN {names(K.LONG_TAGS)}"
     run = "OVER (PARTITION BY page_id ORDER BY pos)"
     return [
         f"dr0 AS (SELECT *, {match} AS hit FROM pair)",
         "dr1 AS (SELECT *, start_pos IS NOT NULL AND coalesce(lag(hit) OVER "
         "(PARTITION BY page_id, tag, lvl ORDER BY pos), false) AS chit FROM dr0)",
-        f"dr2 AS (SELECT *, sum(CASE WHEN hit AND ((end_pos IS NOT NULL AND NOT void) OR (end_pos IS NULL AND {long}))"
-        f" THEN 1 WHEN chit THEN -1 ELSE 0 END) {run} AS depth,"
-        f" max(CASE WHEN hit AND end_pos IS NULL AND NOT {long} THEN pos END) {run} AS lopen,"
-        f" max(CASE WHEN kind = 'tag' AND tag IN {names(LINE_TAGS)} THEN pos END) {run} AS lline FROM dr1)",
-        f"{out} AS (SELECT * EXCLUDE (hit, chit, depth, lopen, lline, run) FROM dr2 WHERE kind <> 'decl' AND NOT"
-        " (depth > 0 OR chit OR (hit AND void) OR coalesce(lopen >= coalesce(lline, -1), false)))",
+        f"dr2 AS (SELECT *, sum(CASE WHEN hit AND NOT void THEN 1 WHEN chit THEN -1 ELSE 0 END) {run} AS depth FROM dr1)",
+        f"{out} AS (SELECT * EXCLUDE (hit, chit, depth, run) FROM dr2 WHERE kind <> 'decl' AND NOT"
+        " (depth > 0 OR chit OR (hit AND void)))",
     ]
 
 
@@ -747,25 +884,18 @@ ORACLES["page_markdown"] = chain(
     RICH, *_PAGE_MD,
     final=f"SELECT page_id, coalesce({normalized('md')}, '') AS markdown FROM src LEFT JOIN joined USING (page_id)",
 )
-ORACLES["extract_full_pages"] = chain(
-    RICH, *_TO_RUNS, *block_ctes("runs"),
-    final=f"SELECT page_id, {truncated('m', 400)} AS markdown FROM (SELECT page_id, coalesce({normalized('md')}, '') AS m"
-          " FROM src LEFT JOIN joined USING (page_id))",
-)
+ORACLES["extract_full_pages"] = ORACLES["full_page_markdown"]
 
 # --- metadata ----------------------------------------------------------------
 
 
-def tag_ctes(pattern: str, out: str) -> list[str]:
-    return [
-        f"{out}0 AS (SELECT page_id, url, regexp_extract_all(markup, {q(pattern)}) AS ts FROM mk)",
-        f"{out} AS (SELECT page_id, url, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM {out}0)",
-    ]
+def tag_ctes(name: str, out: str) -> list[str]:
+    return [f"{out} AS (SELECT x.page_id, s.url, x.t, x.i FROM lx x JOIN src s ON s.page_id = x.page_id WHERE x.n = {q(name)} AND NOT x.c)"]
 
 
 def link_ctes() -> list[str]:
     return [
-        *tag_ctes(D.ANCHOR_TAG, "anc"),
+        *tag_ctes("a", "anc"),
         f"lk0 AS (SELECT page_id, url, i, {unquote(attr_raw('t', 'href'))} AS hv FROM anc WHERE {attr_raw('t', 'href')} <> '')",
         *resolve_ctes("lk0", "hv", "url", "lk1"),
         "lk2 AS (SELECT page_id, resolved AS link, min(i) AS i FROM lk1 WHERE regexp_matches(resolved, '^https?:')"
@@ -784,21 +914,24 @@ def meta_ctes() -> list[str]:
         {**K.OPTIONAL_META, "_ogt": "og:title", "_ogd": "og:description", "_dsc": "description", "_ogl": "og:locale"}.items()
     )
     return [
-        *tag_ctes(D.META_TAG, "mt"),
+        *tag_ctes("meta", "mt"),
         f"me0 AS (SELECT page_id, i, {attr('name')} AS a, {attr('property')} AS b, {attr('itemprop')} AS c,"
         f" {attr('content')} AS content FROM mt)",
         "me1 AS (SELECT page_id, i, lower(CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END) AS key, content FROM me0)",
         "meta AS (SELECT page_id, key, max_by(content, i) AS content FROM me1 WHERE key <> '' AND content <> ''"
         " GROUP BY page_id, key)",
         f"wide AS (SELECT page_id, {optional} FROM meta GROUP BY page_id)",
-        *tag_ctes(D.LINK_TAG, "lt"),
+        *tag_ctes("link", "lt"),
         f"le0 AS (SELECT page_id, url, i, lower({attr('rel')}) AS rel, {attr('href')} AS hv FROM lt)",
         "canon AS (SELECT page_id, nullif(min_by(hv, i), '') AS can FROM le0 WHERE rel = 'canonical' GROUP BY page_id)",
         f"ic0 AS (SELECT page_id, url, min_by(hv, i) AS hv FROM le0 WHERE rel IN {names(K.ICON_RELS)} GROUP BY page_id, url)",
         *resolve_ctes("ic0", "hv", "url", "ic1"),
         "icon AS (SELECT page_id, CASE WHEN hv <> '' THEN coalesce(resolved, hv) END AS ico FROM ic1)",
-        f"hd AS (SELECT *, trim({collapse(decode(ext('markup', D.TITLE_TEXT, 1)))}, ' ') AS ttl,"
-        f" {unquote(attr_raw(ext('markup', D.HTML_TAG), 'lang'))} AS lang FROM mk)",
+        "first_title AS (SELECT page_id, min(i) AS i FROM lx WHERE n = 'title' AND NOT c GROUP BY page_id)",
+        "title AS (SELECT f.page_id, x.t FROM first_title f JOIN lx x ON x.page_id = f.page_id AND x.i = f.i + 1 AND x.n IS NULL)",
+        "root AS (SELECT page_id, min_by(t, i) AS root FROM lx WHERE n = 'html' AND NOT c GROUP BY page_id)",
+        f"hd AS (SELECT src.*, trim({collapse(decode("coalesce(title.t, '')"))}, ' ') AS ttl,"
+        f" {unquote(attr_raw("coalesce(root, '')", 'lang'))} AS lang FROM src LEFT JOIN title USING (page_id) LEFT JOIN root USING (page_id))",
         "allmeta AS (SELECT * FROM hd LEFT JOIN wide USING (page_id) LEFT JOIN canon USING (page_id)"
         " LEFT JOIN icon USING (page_id))",
     ]
@@ -811,15 +944,15 @@ _META_COLUMNS = (
     + ", ".join(f'"{n}"' for n in K.OPTIONAL_META)
     + ', can AS "canonicalURL", ico AS favicon'
 )
-ORACLES["page_links"] = chain(PLAIN, *markup_ctes(), *link_ctes(), final="SELECT page_id, link_pos, link FROM edges")
-ORACLES["rich_page_links"] = chain(RICH, *markup_ctes(), *link_ctes(), final="SELECT page_id, link_pos, link FROM edges")
-ORACLES["meta_map"] = chain(RICH, *markup_ctes(), *meta_ctes(), final="SELECT page_id, key, content FROM meta")
+ORACLES["page_links"] = chain(PLAIN, *lexeme_ctes(), *link_ctes(), final="SELECT page_id, link_pos, link FROM edges")
+ORACLES["rich_page_links"] = chain(RICH, *lexeme_ctes(), *link_ctes(), final="SELECT page_id, link_pos, link FROM edges")
+ORACLES["meta_map"] = chain(RICH, *lexeme_ctes(), *meta_ctes(), final="SELECT page_id, key, content FROM meta")
 ORACLES["page_metadata"] = chain(
-    FETCHED, *markup_ctes(), *meta_ctes(),
+    FETCHED, *lexeme_ctes(), *meta_ctes(),
     final=f"SELECT page_id, {_META_COLUMNS.format(excerpt='')} FROM allmeta",
 )
 ORACLES["canonical_favicon"] = chain(
-    RICH, *markup_ctes(), *meta_ctes(), final='SELECT page_id, can AS "canonicalURL", ico AS favicon FROM allmeta'
+    RICH, *lexeme_ctes(), *meta_ctes(), final='SELECT page_id, can AS "canonicalURL", ico AS favicon FROM allmeta'
 )
 _PLAIN_P = rep(
     rep(
@@ -857,20 +990,26 @@ def json_text(expr: str) -> str:
     return f"to_json({expr})::VARCHAR"
 
 
+def _json_fields() -> str:
+    """The metadata as JSON members in order, null ones left out."""
+    columns = ["title", "description", "language", "sourceURL", "statusCode", *K.OPTIONAL_META, "canonicalURL", "favicon"]
+    members = ", ".join(
+        f"CASE WHEN \"{c}\" IS NOT NULL THEN '\"{c}\":' || " + json_text(f'"{c}"') + " END" for c in columns
+    )
+    return f"array_to_string(list_filter([{members}], lambda m: m IS NOT NULL), ',')"
+
+
 ORACLES["response_json"] = chain(
-    RICH, *markup_ctes(), *meta_ctes(),
-    final="SELECT page_id, '{\"success\":true,\"data\":{\"title\":' || "
-          + json_text("coalesce(_ogt, nullif(ttl, ''), '')")
-          + " || CASE WHEN author IS NULL THEN '' ELSE ',\"author\":' || " + json_text("author")
-          + " END || CASE WHEN can IS NULL THEN '' ELSE ',\"canonicalURL\":' || " + json_text("can")
-          + " END || '}}' AS response FROM allmeta",
+    RICH, *lexeme_ctes(), *meta_ctes(),
+    final=f"SELECT page_id, '{{\"success\":true,\"data\":{{' || {_json_fields()} || '}}}}' AS response FROM"
+          f" (SELECT page_id, {_META_COLUMNS.format(excerpt='').replace('nullif(status_code, 0)', 'NULL::INT')} FROM allmeta) m",
 )
 
 # --- search ------------------------------------------------------------------
 
 QUERIES = f"queries AS ({I.duck(I.QUERIES)})"
 _RESPONSE_HITS = [
-    PLAIN, *markup_ctes(), *link_ctes(),
+    PLAIN, *lexeme_ctes(), *link_ctes(),
     "rh AS (SELECT page_id AS query_id, link_pos AS src_pos, CASE WHEN link_pos % 3 > 0 THEN 'link ' || link_pos END AS title,"
     " link AS url, 'google' AS engine, CASE WHEN link_pos % 2 = 0 THEN 'brave|arxiv' END AS engines,"
     " CASE WHEN link_pos <> 1 THEN link_pos / 2.0::DOUBLE END AS score FROM edges WHERE page_id % 5 <> 0)",
@@ -1054,6 +1193,11 @@ ORACLES["store_upsert"] = chain(
     STORED,
     final="SELECT cache_key, url, CASE WHEN page_id % 2 = 0 THEN value ELSE 'new' || page_id END AS value FROM st",
 )
+ORACLES["store_versions"] = chain(
+    STORED,
+    final="SELECT 1 AS version, cache_key, url, value FROM st UNION ALL SELECT 2, cache_key, url, "
+          "CASE WHEN page_id % 2 = 0 THEN value ELSE 'new' || page_id END FROM st",
+)
 ORACLES["store_fresh"] = chain(STORED, final="SELECT cache_key, value FROM st WHERE age_minutes <= 60")
 ORACLES["store_retain"] = chain(
     STORED, final="SELECT cache_key, value FROM st ORDER BY age_minutes, cache_key LIMIT 100"
@@ -1100,11 +1244,17 @@ ORACLES["health_rollup"] = chain(
 ORACLES["round_robin"] = (
     "SELECT event_id + 1 AS item, (['alpha', 'beta', 'gamma', 'delta', 'epsilon'])[(event_id + 1) % 5 + 1] AS target FROM events"
 )
+_NO_STATUS = _META_COLUMNS.replace("nullif(status_code, 0)", "NULL::INT")
 ORACLES["stream_extract"] = chain(
-    PLAIN, *markup_ctes(), *link_ctes(), *meta_ctes(),
+    PLAIN, *lexeme_ctes(), *link_ctes(), *meta_ctes(),
     final="SELECT page_id, url, CASE WHEN length(html) >= 2000 THEN 'fast' ELSE 'render' END AS route, "
-          "coalesce(links, '') AS links, coalesce(_ogt, nullif(ttl, ''), '') AS title, "
-          "coalesce(nullif(lang, ''), _ogl, '') AS language FROM allmeta LEFT JOIN linked USING (page_id)",
+          f"coalesce(links, '') AS links, {_NO_STATUS.format(excerpt='')} FROM allmeta LEFT JOIN linked USING (page_id)",
+)
+ORACLES["stream_markdown"] = chain(
+    PLAIN, *_PAGE_MD, *meta_ctes(), *link_ctes(), _EXCERPT,
+    final=f"SELECT page_id, url, coalesce({normalized('md')}, '') AS markdown, coalesce(links, '') AS links,"
+          f" {_NO_STATUS.format(excerpt='ex, ')} FROM allmeta LEFT JOIN joined USING (page_id)"
+          " LEFT JOIN linked USING (page_id) LEFT JOIN exc USING (page_id)",
 )
 _ENGINE_LIST = "[" + ", ".join(q(n) for n, _, _ in K.ENGINE_SETTINGS) + "]"
 ORACLES["stream_policy"] = chain(
@@ -1112,13 +1262,10 @@ ORACLES["stream_policy"] = chain(
     f"r AS (SELECT page_id, ({_ENGINE_LIST})[page_id % {len(K.ENGINE_SETTINGS)} + 1] AS engine, {REASON} AS reason FROM w)",
     final=f"SELECT page_id, engine, reason IS NULL AS ok, reason FROM r WHERE engine IN {names(_ENABLED)}",
 )
-# windows that the watermark has closed: the last event minus one hour decides
 ORACLES["stream_histogram"] = chain(
     LOG,
-    final="SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, method, route, code, "
-          "count(CASE WHEN duration_s <= 1 THEN 1 END) AS le_1, count(CASE WHEN duration_s <= 10 THEN 1 END) AS le_10, "
-          "count(duration_s) AS duration_count FROM lg GROUP BY ALL HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY "
-          "<= (SELECT max(ts) - INTERVAL 1 HOUR FROM lg)",
+    final=f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, method, route, code, {_BUCKETS}, "
+          "round(sum(duration_s), 4) AS duration_sum, count(duration_s) AS duration_count FROM lg GROUP BY ALL",
 )
 ORACLES["stream_arrival_dedup"] = (
     "SELECT DISTINCT user_id AS cache_key, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day FROM events"

@@ -20,9 +20,12 @@ from pageframe.operators import search as Q
 from pageframe.operators import store as ST
 from pageframe.operators import tokens as TK
 from pageframe.operators import ttl as L
+from pageframe.operators import versioned_store as VS
 from pageframe.plans import batch as B
 from pageframe.plans import pages as P
-from pageframe.sources import io
+from pageframe.sources import io, shared
+from pageframe.streaming import histogram as WH
+from pageframe.streaming import ledger as LG
 from pageframe.streaming import streams as SS
 from workload import inputs as I
 
@@ -334,7 +337,7 @@ def page_markdown(spark, sf):
 
 @query
 def meta_map(spark, sf):
-    staged = D.with_markup(_rich(spark, sf)).withColumn("e", D.meta_entries(F.col("_markup")))
+    staged = TK.with_lexemes(_rich(spark, sf)).withColumn("e", D.meta_entries(F.col("_lex")))
     return staged.select("page_id", F.explode(D.meta_map(F.col("e"))).alias("key", "content"))
 
 
@@ -367,7 +370,7 @@ def extract_pages(spark, sf):
 
 @query
 def extract_full_pages(spark, sf):
-    out = P.extract_pages(_rich(spark, sf), ("markdown",), only_main=False, max_length=400)
+    out = P.extract_pages(_rich(spark, sf), ("markdown",), only_main=False)
     return out.select("page_id", "markdown")
 
 
@@ -388,16 +391,15 @@ def select_formats(spark, sf):
 @query
 def response_json(spark, sf):
     out = D.page_metadata(_rich(spark, sf))
-    slim = F.struct("metadata.title", "metadata.author", "metadata.canonicalURL")
-    return out.select("page_id", io.to_response(slim).alias("response"))
+    return out.select("page_id", io.to_response(F.col("metadata")).alias("response"))
 
 
 # --- search ------------------------------------------------------------------
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
     """One search answer per page: its links are the results."""
-    edges = D.with_markup(_pages(spark, sf)).withColumn(
-        "links", D.page_links(F.col("_markup"), F.col("_base"))
+    edges = TK.with_lexemes(_pages(spark, sf)).withColumn(
+        "links", D.page_links(F.col("_lex"), F.col("_base"))
     )
     hit = F.transform(
         F.col("links"),
@@ -646,18 +648,33 @@ def store_retain_half(spark, sf):
     return ST.retain(store, half).select("cache_key")
 
 
-@query
-def store_upsert(spark, sf):
-    store = _store(spark, sf)
-    # every page is set again, even ones earlier and odd ones later
+def _set_again(store: DataFrame) -> DataFrame:
+    """Every page is set again, even ones earlier and odd ones later."""
     shift = F.when(F.col("page_id") % 2 == 0, -30).otherwise(30)
-    again = store.withColumns(
+    return store.withColumns(
         {
             "value": F.concat(F.lit("new"), F.col("page_id")),
             "ts": F.col("ts") + F.make_dt_interval(mins=shift),
         }
     )
-    return ST.upsert_store(store, again).select("cache_key", "url", "value")
+
+
+@query
+def store_upsert(spark, sf):
+    store = _store(spark, sf)
+    return ST.upsert_store(store, _set_again(store)).select("cache_key", "url", "value")
+
+
+@query
+def store_versions(spark, sf):
+    """The same by versions: the last one, and what a reader of the first still sees."""
+    stored = _store(spark, sf)
+    store = VS.VersionedStore(spark, shared.fresh_path(spark, "store"), "cache_key string, url string, value string, ts timestamp")
+    store.upsert(stored)
+    store.upsert(_set_again(stored))
+    return store.read(1).select(F.lit(1).alias("version"), "cache_key", "url", "value").unionByName(
+        store.read().select(F.lit(2).alias("version"), "cache_key", "url", "value")
+    )
 
 
 @query
@@ -704,13 +721,24 @@ def round_robin(spark, sf):
 
 # --- streaming ---------------------------------------------------------------
 
+def _metadata() -> list[Column]:
+    return [F.col(f"metadata.{f}").alias(f) for f in METADATA_FIELDS]
+
+
 @query
 def stream_extract(spark, sf):
     pages = io.read_pages(spark, sf, stream=True, file_glob="pages.parquet")
     out = SS.run_to_files(SS.stream_pages(pages), "extract")
-    return out.select(
-        "page_id", "url", "route", _joined("links"), "metadata.title", "metadata.language"
-    )
+    return out.select("page_id", "url", "route", _joined("links"), *_metadata())
+
+
+@query
+def stream_markdown(spark, sf):
+    """Full extraction of landed files by the ledger; the second run finds nothing new."""
+    root = shared.fresh_path(spark, "ledger")
+    for _ in range(2):
+        out = LG.extract_arrivals(spark, f"{sf}/pages.parquet", root, formats=("markdown", "links"))
+    return out.select("page_id", "url", "markdown", _joined("links"), *_metadata())
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -736,11 +764,12 @@ def stream_arrival_dedup(spark, sf):
 
 @query
 def stream_histogram(spark, sf):
-    windows = SS.stream_histogram(_event_stream(spark, sf), width="1 day")
-    out = SS.run_to_files(windows, "histogram")
-    return out.select(
+    table = WH.WindowTable(spark, shared.fresh_path(spark, "histogram"), width="1 day")
+    table.run(_event_stream(spark, sf))
+    counts = [X.bucket_label(b) for b in K.DURATION_BUCKETS]
+    return table.read().select(
         F.date_format("window.start", "yyyy-MM-dd").alias("day"),
-        "method", "route", "code", "le_1", "le_10", "duration_count",
+        "method", "route", "code", *counts, F.round("duration_sum", 4).alias("duration_sum"), "duration_count",
     )
 
 
