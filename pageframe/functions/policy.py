@@ -113,14 +113,20 @@ def _first_reason() -> Column:
     )
 
 
-def resolves_private(hosts: DataFrame, dns: DataFrame) -> DataFrame:
+def resolves_private(hosts: DataFrame, dns: DataFrame, networks: DataFrame | None = None) -> DataFrame:
     """``host -> private`` for every distinct host; a host without an address
-    counts as private.
+    counts as private, and so does one with an address in ``networks`` (from ``network_index``).
 
     Hosts are made distinct and addresses are reduced to one flag per host
     before the join, so a host that owns a third of all rows is one row here.
     """
-    flags = dns.groupBy("host").agg(F.bool_or(is_private_ip(F.col("address"))).alias("private"))
+    private = is_private_ip(F.col("address"))
+    if networks is not None:
+        from pageframe.operators.networks import listed_addresses
+
+        dns = dns.join(listed_addresses(dns, networks), "address", "left")
+        private = private | F.coalesce("listed", F.lit(False))
+    flags = dns.groupBy("host").agg(F.bool_or(private).alias("private"))
     return (
         hosts.select("host")
         .where(F.col("host").isNotNull())

@@ -66,7 +66,7 @@ def miss_times(
     if hot.isEmpty():
         out = _fold(stamps, seeds, ttl_ms)
     else:
-        # each hot key owns more than max_group rows, so the list is short
+        # each hot key owns more than max_group rows: one key in so many rows at most
         cold = stamps.join(F.broadcast(hot), "k", "left_anti")
         big = stamps.join(F.broadcast(hot), "k", "left_semi")
         out = _fold(cold, seeds, ttl_ms).unionByName(_chunked(big, seeds, ttl_ms, max_group))

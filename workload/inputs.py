@@ -107,6 +107,18 @@ SELECT page_id, url, html,
             WHEN 5 THEN NULL ELSE 'text/html; charset=utf-8' END AS content_type
 FROM ({RICH_PAGES}) r
 """
+# networks of several lengths by customer, and addresses by event, near to them and far from them
+NETWORKS = """
+SELECT concat_ws('.', CAST(20 + c_custkey % 60 AS VARCHAR(9)), CAST(c_custkey % 251 AS VARCHAR(9)),
+                 CAST(c_custkey * 7 % 256 AS VARCHAR(9)), CAST(c_custkey * 13 % 256 AS VARCHAR(9)))
+       || '/' || CAST(16 + c_custkey % 15 AS VARCHAR(9)) AS network
+FROM {customer}
+"""
+ADDRESSES = """
+SELECT event_id, concat_ws('.', CAST(20 + event_id % 60 AS VARCHAR(9)), CAST(event_id % 251 AS VARCHAR(9)),
+                 CAST(event_id * 7 % 256 AS VARCHAR(9)), CAST(event_id * 17 % 256 AS VARCHAR(9))) AS address
+FROM {events}
+"""
 DNS = """
 SELECT host, CASE n % 5 WHEN 1 THEN '10.0.0.1' WHEN 2 THEN '8.8.4.4' ELSE '8.8.8.8' END AS address
 FROM {page_hosts} WHERE n % 5 <> 0

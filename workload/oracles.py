@@ -307,6 +307,20 @@ ORACLES["url_policy_dns"] = chain(
     final="SELECT page_id, reason IS NULL AS ok, reason FROM v",
 )
 
+def _number(parts: str) -> str:
+    return " + ".join(f"CAST({parts}[{k + 1}] AS BIGINT) * {256 ** (3 - k)}" for k in range(4))
+
+
+ORACLES["network_lists"] = chain(
+    f"nets AS ({I.duck(I.NETWORKS)})",
+    "nr AS (SELECT DISTINCT CAST(split_part(network, '/', 2) AS INT) AS len, "
+    f"{_number("string_split(split_part(network, '/', 1), '.')")} AS num FROM nets)",
+    "bounds AS (SELECT DISTINCT num // (1::BIGINT << (32 - len)) * (1::BIGINT << (32 - len)) AS lo, "
+    "num // (1::BIGINT << (32 - len)) * (1::BIGINT << (32 - len)) + (1::BIGINT << (32 - len)) - 1 AS hi FROM nr)",
+    f"addr AS (SELECT DISTINCT address, {_number("string_split(address, '.')")} AS num FROM ({I.duck(I.ADDRESSES)}) a)",
+    final="SELECT address, EXISTS (SELECT 1 FROM bounds WHERE num BETWEEN lo AND hi) AS listed FROM addr",
+)
+
 # --- pages: tokens and sanitising -------------------------------------------
 
 RICH = f"src AS ({I.duck(I.RICH_PAGES)})"

@@ -15,6 +15,7 @@ from pageframe.operators import main_content as C
 from pageframe.operators import markdown as M
 from pageframe.operators import metadata as D
 from pageframe.operators import metrics as X
+from pageframe.operators import networks as N
 from pageframe.operators import sanitize as S
 from pageframe.operators import search as Q
 from pageframe.operators import store as ST
@@ -188,6 +189,13 @@ def dns_fail_closed(spark, sf):
     return R.resolves_private(hosts, I.derived(spark, sf, I.DNS))
 
 
+@query
+def network_lists(spark, sf):
+    """Which addresses lie in a list of networks of many lengths."""
+    index = N.network_index(I.derived(spark, sf, I.NETWORKS))
+    return N.listed_addresses(I.derived(spark, sf, I.ADDRESSES), index)
+
+
 @query
 def url_policy_dns(spark, sf):
     return R.url_policy(_pages(spark, sf), "url", I.derived(spark, sf, I.DNS)).select(
