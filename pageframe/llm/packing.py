@@ -25,6 +25,8 @@ from pageframe.llm.common import stored
 from pageframe.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, OPEN_BINS, END_ID = 2048, 256, 0
+#: Documents that are encoded and sorted by length at once.
+ROWS = 2000
 #: Tasks whose last bins are packed together, and bins open then.
 TASKS_PER_GROUP, LAST_OPEN = 64, 4096
 
@@ -94,10 +96,10 @@ def _pack_task(path: str, capacity: int, most_open: int, end_id: int, with_ids:
             order = [f.split(" ")[0] for f in _PIECE.split(", ")] + ["ids"] * with_ids
             return pa.RecordBatch.from_arrays([arrays[n] for n in order], names=order)
 
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids = b.column(0).to_pylist()
             coded = enc.encode([t or "" for t in b.column(1).to_pylist()])
-            # Longest first within a batch: small pieces then fill what is left.
+            # Longest first within these: small pieces then fill what is left.
             for k in sorted(range(len(ids)), key=lambda k: -len(coded[k])):
                 blob = coded[k] + end
                 for i, (start, length) in enumerate(pieces_of(len(blob) // 4, capacity)):

@@ -15,9 +15,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
 
-ODD = re.compile(r"^\s|\s$|\s\s|<\||[\x1c-\x1f\x85]")
+#: Marks of special tokens, and white space that the library's splitter does not take for such.
+ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 CHUNK = re.compile(r"\s?[^\W_]+|\s?\S+")
-MOST_CHUNKS = 400_000
+#: Bytes of remembered chunks and their ids; characters of a chunk that is remembered; chunks or
+#: texts given to the library at once (each makes a large object until its ids are read).
+MOST_BYTES, LONG_CHUNK, AT_ONCE = 120_000_000, 200, 2048
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,27 +32,52 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = MOST_CHUNKS):
+    def __init__(self, path: str, most: int = MOST_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.before: set[str] = set()
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
+        out = []
+        for k in range(0, len(texts), AT_ONCE):
+            done = self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in done]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A batch of texts, each encoded whole."""
-        if len(self.known) > self.most:
-            self.known = {}
         known = self.known
-        chunks = [None if ODD.search(t) else CHUNK.findall(t) for t in texts]
-        new = list(set().union(*filter(None, chunks)) - known.keys())
-        known.update(zip(new, self.whole(new)))
+        chunks = [chunks_of(t) for t in texts]
+        asked = set().union(*filter(None, chunks))
+        new = list(asked - known.keys())
+        ids = self.whole(new)
+        known.update(zip(new, ids))
+        self.held += sum(map(len, ids)) + sum(map(len, new)) + 180 * len(new)
         odd = iter(self.whole([t for t, c in zip(texts, chunks) if c is None]))
-        return [next(odd) if c is None else b"".join(map(known.__getitem__, c)) for c in chunks]
+        out = [next(odd) if c is None else b"".join(map(known.__getitem__, c)) for c in chunks]
+        if self.held > self.most:  # keep what this batch and the one before have in common
+            self.known = {c: known[c] for c in asked & self.before if len(c) <= LONG_CHUNK}
+            self.held = sum(len(c) + len(b) + 180 for c, b in self.known.items())
+            if 2 * self.held > self.most:
+                self.forget()
+        self.before = asked
+        return out
+
+
+def chunks_of(text: str) -> list[str] | None:
+    """The chunks of a text, None if it has to be encoded whole: white space that follows white
+    space or ends the text is in no chunk."""
+    if text[:1].isspace() or any(x in text for x in ODD):
+        return None
+    chunks = CHUNK.findall(text)
+    return chunks if sum(map(len, chunks)) == len(text) else None
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -9,6 +9,15 @@ def test_chunks_give_the_same_ids():
              " ", "日本", "<|endoftext|>", "\x1c", "-\x1f", "'s", " ", "😀", "'", "9th", "\x85"]
     texts = ["", " "] + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]
     texts += [" ".join(rng.choices(parts, k=9)) for _ in range(2000)]
-    enc = T.Encoder(T.tokenizer_path(), most=500)
+    enc = T.Encoder(T.tokenizer_path(), most=20_000)
     got = [b for k in range(0, len(texts), 100) for b in enc.encode(texts[k : k + 100])]
     assert got == enc.whole(texts)
+
+
+def test_memory_is_bounded_by_bytes():
+    enc = T.Encoder(T.tokenizer_path(), most=200_000)
+    for k in range(30):
+        texts = [" ".join(f"w{k}x{i}" for i in range(200)) + " common words stay", "z" * 50_000]
+        assert enc.encode(texts) == enc.whole(texts)
+        assert enc.held <= 2 * enc.most
+    assert " common" in enc.known and not any(len(c) > 60_000 for c in enc.known)
