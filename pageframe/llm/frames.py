@@ -35,12 +35,21 @@ from pageframe.sources.shared import fresh_path
 # Fixed values of the public seekable format and of skippable frames.
 SKIPPABLE, INDEX_FRAME, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 END_ID, LEVEL = 2, 3
+#: Documents that are encoded at once.
+ROWS = 2000
 _FOOTER = struct.Struct("<IBI")
 _HEAD = struct.Struct("<II")
 _ENTRY = struct.Struct("<III")
 _DOC = struct.Struct("<?q")
 
 
+def checksum(content: bytes) -> int:
+    """The format's: the low 32 bits of XXH64."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(content) & 0xFFFFFFFF
+
+
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     """The store of a path and the path in it; any store that pyarrow knows."""
     return pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
@@ -62,7 +71,7 @@ class FrameWriter:
     def add(self, doc_id: int | None, ids: bytes) -> None:
         frame = self.zstd.compress(ids)
         self.out.write(frame)
-        self.entries.append(_ENTRY.pack(len(frame), len(ids), zlib.crc32(ids)))
+        self.entries.append(_ENTRY.pack(len(frame), len(ids), checksum(ids)))
         self.docs.append(_DOC.pack(doc_id is not None, doc_id or 0))
 
     def close(self) -> None:
@@ -95,9 +104,9 @@ class FrameReader:
             self.starts.append(self.starts[-1] + packed)
 
     def frame(self, k: int) -> bytes:
-        packed, size, checksum = self.entries[k]
+        packed, size, expected = self.entries[k]
         ids = self.zstd.decompress(self.file.read_at(packed, self.starts[k]), max_output_size=size)
-        if len(ids) != size or zlib.crc32(ids) != checksum:
+        if len(ids) != size or checksum(ids) != expected:
             raise ValueError(f"frame {k} is damaged")
         return ids
 
@@ -114,7 +123,7 @@ def _write_task(folder: str, path: str, end_id: int, level: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, n, n_ids = TaskContext.get(), None, 0, 0
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             coded = encoder(path).encode([t or "" for t in b.column(1).to_pylist()])
             for doc_id, ids in zip(b.column(0).to_pylist(), coded):
                 if out is None:

@@ -54,3 +54,31 @@ def test_damage_is_seen(tmp_path):
 
 def test_empty_table(table):
     assert Z.read(Z.write(table([]))).count() == 0
+
+
+def test_a_reader_of_the_public_format_accepts_the_files(tmp_path):
+    """The seek table by its published layout, read without this library: the skippable frame's head,
+    an entry (compressed size, size, low half of XXH64) for each frame, number, flags and magic."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    path, contents = str(tmp_path / "p.zst"), [b"abcd" * 90, bytes(range(200)), b"wxyz"]
+    w = Z.FrameWriter(path)
+    for k, content in enumerate(contents):
+        w.add(k, content)
+    w.close()
+    data = open(path, "rb").read()
+    number, flags, magic = struct.unpack("<IBI", data[-9:])
+    assert (number, flags & 0x80, magic) == (3, 0x80, 0x8F92EAB1)
+    table = data[-9 - 12 * number : -9]
+    head = data[-9 - 12 * number - 8 : -9 - 12 * number]
+    assert struct.unpack("<II", head) == (0x184D2A5E, len(table) + 9)
+    at = 0
+    for content, (packed, size, check) in zip(contents, struct.iter_unpack("<III", table)):
+        assert zstandard.ZstdDecompressor().decompress(data[at : at + packed]) == content and size == len(content)
+        assert check == xxhash.xxh64(content).intdigest() & 0xFFFFFFFF
+        at += packed
+    # what follows are skippable frames, so a plain reader gives the whole content
+    assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() == b"".join(contents)
