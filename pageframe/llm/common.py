@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Memo(dict):
+    """Values by text, made when first asked for.  ``trim`` forgets them once they hold more than
+    ``most`` bytes; a task that ends forgets all (``freed``), as its worker goes on to other stages."""
+
+    ROW = 150  # bytes of an entry besides its key
+
+    def __init__(self, make: Callable, most: int = 60_000_000):
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, key):
+        self.held += sys.getsizeof(key) + self.ROW
+        out = self[key] = self.make(key)
+        return out
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.clear()
+
+
+def freed(run: Callable[[Iterator], Iterator], forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """The task function ``run``, with ``forget`` called at its end.  ``forget`` is a function of a
+    module, so that it reaches what the worker's module remembers."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return task
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """Connected components of (a, b) pairs of ids: rows (id, component), component the
     smallest id reachable.  Every round each node takes the smallest label around it and

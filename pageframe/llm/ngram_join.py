@@ -12,11 +12,12 @@ that reach a bound, and most cells are never computed:
    class with fewer shared n-grams than that goes.
 3. ``entries``: with rarest first, linked classes meet in one of the first s - ceil(0.8 s) + 1
    n-grams.  Only those are joined, and only if the rest can still reach the bound
-   ceil(t (s1 + s2) / (1 + t)).
+   ceil(t (s1 + s2) / (1 + t)) and the classes' parity bits differ in no more places than
+   n-grams of linked classes may.
 4. Candidate pairs are row products, computed on blocks of pairs.  First each class only
    meets two others of its n-gram's list, from other components than its own, which in a few
    rounds ties large groups of near copies together without their pairs; then come all pairs
-   between different components that have enough common n-grams in their first ones.
+   between different components.
 
 Hashes have 56 bits.  Nothing of the corpus reaches the driver but counts.  No list of an
 n-gram is ever gathered in one task: lists are joined, and large ones may be split.
@@ -39,30 +40,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageframe.llm.common import components, mixed, stored, width, without
+from pageframe.llm.common import Memo, components, freed, mixed, stored, width, without
 
 N, THRESHOLD = 5, Fraction(80, 100)
 HASH_BITS = 56
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-MOST_WORDS = 400_000
 
 
-class _Words(dict):
-    """Word to 64-bit hash, remembered."""
+#: Word to 64-bit hash, remembered.
+_WORDS = Memo(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
 
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h
-        return h
 
-
-_WORDS = _Words()
+def forget() -> None:
+    _WORDS.clear()
 
 
 def shingle_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word n-grams."""
-    if len(_WORDS) > MOST_WORDS:
-        _WORDS.clear()
+    _WORDS.trim()
     out = []
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -190,9 +185,10 @@ def _measure(rows_of, buckets: int):
             docs, texts = b.column(0).to_pylist(), b.column(1)
             for k in range(0, len(docs), 500):
                 keys, grams = rows_of(texts[k : k + 500].to_pylist())
+                # documents only pass through the blocks: dealt by turns, so copies of one text spread
                 yield _batch(
                     _PART,
-                    bucket=[(c or d or 0) % buckets for c, d in zip(keys, docs[k : k + 500])],
+                    bucket=(np.arange(len(keys)) + k) % buckets,
                     doc_id=docs[k : k + 500],
                     cls=keys,
                     n=[len(g) for g in grams],
@@ -208,7 +204,7 @@ def _measure(rows_of, buckets: int):
                 seen, classes, sets, held = set(), [], [], 0
         yield from flush(classes, sets)
 
-    return run
+    return freed(run, forget)
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -272,13 +268,31 @@ def prefixes(entries: DataFrame, t: Fraction) -> DataFrame:
     """The first n-grams of each class, rarest first, with their place and what follows."""
     often = entries.groupBy("gram").agg(F.count("*").alias("df"))
     rows = entries.join(often, "gram")
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "gram"))
+    whole = Window.partitionBy("cls")
+    rank = F.row_number().over(whole.orderBy("df", "gram"))
     rows = rows.withColumn("pos", F.col("n") - F.col("c") + rank.cast("int") - 1)
+    bit, word = F.expr("shiftleft(1L, CAST(gram & 63 AS INT))"), F.expr(f"(gram >> 6) % {PARITY_WORDS}")
+    parity = [F.coalesce(F.bit_xor(F.when(word == k, bit)).over(whole), F.lit(0)) for k in range(PARITY_WORDS)]
+    own = (F.col("n") - F.col("c")).cast("int").alias("own")
+    rows = rows.withColumn("parity", F.struct(own, *[x.alias(f"w{k}") for k, x in enumerate(parity)]))
     return rows.where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - _least_overlap(F.col("n"), t))).select(
-        "gram", "cls", "n", "pos"
+        "gram", "cls", "n", "pos", "parity"
     )
 
 
+#: Numbers of 64 parity bits by class: a bit tells whether an odd number of its shared n-grams hash to it.
+PARITY_WORDS = 4
+
+
+def _few_differences(a: str, b: str, t: Fraction) -> Column:
+    """Of linked sets, at most (1 - t) / (1 + t) of all n-grams are in one of the two only.  All that no
+    other class has (``own``) are such, and every parity bit that differs needs one more."""
+    differ = sum(F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(PARITY_WORDS))
+    differ = differ + F.col(f"{a}.own") + F.col(f"{b}.own")
+    total = F.col("n") + F.col("n2")
+    return differ * (t.denominator + t.numerator) <= total * (t.denominator - t.numerator)
+
+
 def _reach(t: Fraction) -> Column:
     """The rest after this common n-gram can reach the pair's bound, and the sizes fit."""
     bound = _pair_bound(F.col("n"), F.col("n2"), t)
@@ -336,41 +350,41 @@ def _pair() -> list[Column]:
     return [order("cls", "cls2").alias(name) for order, name in zip(_PAIR, "ab")]
 
 
+#: Others that a class is compared with in a linear round.
+PARTNERS = 4
+
+
 def _towards_two(rows: DataFrame, t: Fraction) -> DataFrame:
-    """Each class with two others of its n-gram's list, of the list's first and last component,
-    among sizes that can fit together: as many pairs as entries, not their square."""
+    """Each class with a few others of its n-grams' lists, of a list's first and last component,
+    among sizes that can fit together: as many pairs as classes, not the square of a list."""
     scale = F.floor(F.log("n") / F.log(F.lit(1 / float(t)))).cast("int")
     keyed = rows.withColumn("scale", scale)
-    one = F.struct("component", F.xxhash64("cls", "gram").alias("h"), "cls", "n", "pos")
+    one = F.struct("component", F.xxhash64("cls", "gram").alias("h"), "cls", "n", "pos", "parity")
     ends = keyed.groupBy("gram", "scale").agg(F.min(one).alias("low"), F.max(one).alias("high"))
     ends = ends.where("low.component <> high.component").withColumn("end", F.explode(F.array("low", "high")))
     ends = ends.select(
         "gram", "scale", F.col("end.cls").alias("cls2"), F.col("end.n").alias("n2"), F.col("end.pos").alias("pos2"),
-        F.col("end.component").alias("component2"),
+        F.col("end.component").alias("component2"), F.col("end.parity").alias("parity2"),
     )
-    near = keyed.join(ends, ["gram", "scale"]).where((F.col("component") != F.col("component2")) & _reach(t))
-    return near.select(*_pair()).distinct()
+    apart = (F.col("component") != F.col("component2")) & _reach(t) & _few_differences("parity", "parity2", t)
+    near = keyed.join(ends, ["gram", "scale"]).where(apart)
+    # of all those met, a few that hashes choose: enough to tie a group, and as many rows as classes
+    met = [F.struct(F.xxhash64(F.lit(k), "cls2").alias("h"), "cls2") for k in range(PARTNERS // 2)]
+    chosen = near.groupBy("cls").agg(F.array(*[f(x) for x in met for f in (F.min, F.max)]).alias("met"))
+    return chosen.select("cls", F.explode("met.cls2").alias("cls2")).select(*_pair()).distinct()
 
 
 def _all_apart(rows: DataFrame, t: Fraction, key: str = "component") -> DataFrame:
-    """All pairs of different components (or of another ``key``) that can still be linked.  Of two
-    linked classes, all common n-grams up to the end of one prefix are in both prefixes, and beyond it that class
-    has only ceil(t n) - 1 more, which bounds the number of common ones from below."""
+    """All pairs of different components (or of another ``key``) that can still be linked: the rest
+    after a common n-gram reaches the bound and few parity bits differ."""
     lists = rows.groupBy("gram").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     rows = rows.join(lists.where("lo <> hi").select("gram"), "gram")
     other = rows.select(
         "gram", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"),
-        F.col(key).alias("key2"),
+        F.col("parity").alias("parity2"), F.col(key).alias("key2"),
     )
-    bound = _pair_bound(F.col("n"), F.col("n2"), t)
-    apart = rows.join(other, "gram").where(
-        (F.col(key) < F.col("key2")) & (F.least("n", "n2") >= bound)
-    )
-    needed = bound - F.greatest(_least_overlap(F.col("n"), t), _least_overlap(F.col("n2"), t)) + 1
-    counted = apart.groupBy(*_pair()).agg(
-        F.count("*").alias("common"), F.max(needed).alias("needed"), F.bool_or(_reach(t)).alias("reach")
-    )
-    return counted.where("reach AND common >= needed").select("a", "b")
+    apart = (F.col(key) < F.col("key2")) & _reach(t) & _few_differences("parity", "parity2", t)
+    return rows.join(other, "gram").where(apart).select(*_pair()).distinct()
 
 
 #: Rounds towards two others before all open pairs are looked at.
