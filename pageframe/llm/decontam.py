@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.llm.common import mixed, stored, without
+from pageframe.llm.common import Memo, freed, mixed, stored, without
 
 WINDOW, LITERALS, LEAST_COVERED = 10, 5, 0.5
 MOST_HASHES = 2_000_000
@@ -62,31 +62,32 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _TYPED = np.array([0, 11, 12, 13, 0, 0, 0], np.uint64)
 
 
-class _Tokens(dict):
+def _token(word: str) -> int:
     """Word to one number: 60 bits of value hash, 3 of kind, 1 if it ends a sentence."""
+    core = _EDGE.sub("", word)
+    ends = word.rstrip("\"')]»”")[-1:] in ".!?:;"
+    if word == "\0":
+        kind = BREAK
+    elif not core:
+        kind = NOTHING
+    elif _NUMBER.match(core):
+        kind = NUMBER
+    elif core.lower() in UNITS:
+        kind = UNIT
+    elif _NAME.match(core) and core[0].isupper() and not core.isupper():
+        kind = STARTER if core.lower() in FUNCTION_WORDS else NAME
+    else:
+        kind = LITERAL
+    digest = hashlib.blake2b(core.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    value = int.from_bytes(digest, "little") >> 4 << 4
+    return value | kind << 1 | int(ends or kind == BREAK)
 
-    def __missing__(self, word: str) -> int:
-        core = _EDGE.sub("", word)
-        ends = word.rstrip("\"')]»”")[-1:] in ".!?:;"
-        if word == "\0":
-            kind = BREAK
-        elif not core:
-            kind = NOTHING
-        elif _NUMBER.match(core):
-            kind = NUMBER
-        elif core.lower() in UNITS:
-            kind = UNIT
-        elif _NAME.match(core) and core[0].isupper() and not core.isupper():
-            kind = STARTER if core.lower() in FUNCTION_WORDS else NAME
-        else:
-            kind = LITERAL
-        digest = hashlib.blake2b(core.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        value = int.from_bytes(digest, "little") >> 4 << 4
-        self[word] = out = value | kind << 1 | int(ends or kind == BREAK)
-        return out
-
-
-_TOKENS = _Tokens()
+
+_TOKENS = Memo(_token)
+
+
+def forget() -> None:
+    _TOKENS.clear()
 
 
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +102,7 @@ def _frame(value: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 def _slots(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(value hashes, slot kinds, slot kinds with names at the start of sentences)."""
-    if len(_TOKENS) > 300_000:
-        _TOKENS.clear()
+    _TOKENS.trim()
     words = (text or "").replace("\0", " ").replace("\n", " \0 ").split()
     if not words:
         none = np.zeros(0, np.uint64)
@@ -190,7 +190,7 @@ def _emit(lengths, wanted):
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _HIT_SCHEMA)], schema=_HIT_SCHEMA)
 
-    return run
+    return freed(run, forget)
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
