@@ -82,10 +82,12 @@ def build_index(docs: DataFrame, path: str | None = None, block_postings: int =
     dealt = postings.join(large, ["term", "level"], "left").withColumn(
         "slice", F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", F.lit(1)))
     )
-    blocks = dealt.groupBy("term", "level", "slice").agg(F.collect_list(F.struct("doc_id", "n")).alias("postings"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # sorted, so a reader's terms select row groups
-    blocks = blocks.repartitionByRange(width, "term", "level", "slice").sortWithinPartitions("term", "level")
+    # dealt by range before they are grouped, so that happens once and in place; sorted, so a reader's
+    # terms select row groups
+    dealt = dealt.select("doc_id", "n", "term", "level", "slice").repartitionByRange(width, "term", "level", "slice")
+    blocks = dealt.groupBy("term", "level", "slice").agg(F.collect_list(F.struct("doc_id", "n")).alias("postings"))
+    blocks = blocks.sortWithinPartitions("term", "level")
     return CorpusIndex(_table(terms, f"{path}/terms"), levels, _table(blocks, f"{path}/blocks"), forward)
 
 
@@ -93,18 +95,21 @@ def open_index(spark, path: str) -> CorpusIndex:
     return CorpusIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("terms", "levels", "blocks", "forward")))
 
 
-def _scored(index: CorpusIndex, wanted: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of wanted pairs; ``asked`` has each query's words as an array."""
+def _scored(index: CorpusIndex, wanted: DataFrame, words: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of the wanted documents and every query that asks for a word of theirs;
+    ``words`` has (query_id, term).  A document's counts meet the words by equality, so a row is a hit, and
+    no document is searched for the words of each query."""
     docs = shared.only_keys(index.forward, wanted.select("doc_id"), "doc_id")
-    hit = "aggregate(filter(counts, c -> array_contains(words, c.term)), 0L, (s, c) -> s + c.n)"
-    return wanted.join(docs, "doc_id").join(asked, "query_id").select("query_id", "doc_id", F.expr(hit).alias("score"))
+    docs = docs.withColumn("row", F.monotonically_increasing_id())  # an id that repeats is scored row by row
+    counts = docs.select("doc_id", "row", F.explode("counts").alias("c")).select("doc_id", "row", "c.term", "c.n")
+    hits = counts.join(words.where("query_id IS NOT NULL").select("query_id", "term"), "term")
+    return hits.groupBy("query_id", "doc_id", "row").agg(F.sum("n").alias("score")).drop("row")
 
 
 def candidates(index: CorpusIndex, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(written pairs (query_id, doc_id) that may be among the best ``k``, words of each query)."""
+    """(written pairs (query_id, doc_id) that may be among the best ``k``, (query_id, term, ..) of the words)."""
     words = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term"))
     words = shared.cut_lineage(words.distinct().join(index.terms, "term"))
-    asked = words.groupBy("query_id").agg(F.collect_list("term").alias("words"))
     # the highest levels of a word that hold k documents together: at most a row per level of a word
     wanted_levels = index.levels.join(words.select("term").distinct(), "term", "left_semi")
     higher = Window.partitionBy("term").orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -116,7 +121,7 @@ def candidates(index: CorpusIndex, queries: DataFrame, k: int) -> tuple[DataFram
     first = first.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     seeds = shared.cut_lineage(words.join(first, "term").select("query_id", F.col("p.doc_id").alias("doc_id")).distinct())
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    reached = _scored(index, seeds, asked).withColumn("place", F.row_number().over(order))
+    reached = _scored(index, seeds, words).withColumn("place", F.row_number().over(order))
     floor = reached.where(F.col("place") == k).select("query_id", F.col("score").alias("floor"))
     shares = words.withColumn("share", F.col("most") / F.sum("most").over(Window.partitionBy("query_id")))
     bounds = shares.join(floor, "query_id", "left").select(
@@ -125,12 +130,12 @@ def candidates(index: CorpusIndex, queries: DataFrame, k: int) -> tuple[DataFram
     open_levels = bounds.join(wanted_levels.select("term", "level", "most"), "term").where(F.col("most") >= F.col("least"))
     found = index.blocks.join(open_levels, ["term", "level"]).select("query_id", "least", F.explode("postings").alias("p"))
     pairs = found.where(F.col("p.n") >= F.col("least")).select("query_id", F.col("p.doc_id").alias("doc_id"))
-    return shared.cut_lineage(pairs.distinct()), asked
+    return shared.cut_lineage(pairs.distinct()), words
 
 
 def search(index: CorpusIndex, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score): the ``k`` best documents per query (ties by id)."""
-    pairs, asked = candidates(index, queries, k)
+    pairs, words = candidates(index, queries, k)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    ranked = _scored(index, pairs, asked).withColumn("_rank", F.row_number().over(best))
+    ranked = _scored(index, pairs, words).withColumn("_rank", F.row_number().over(best))
     return ranked.where(F.col("_rank") <= k).drop("_rank")

@@ -73,3 +73,12 @@ def test_an_index_is_opened_again(spark, tmp_path):
 def test_empty(spark):
     d, q = frames(spark, [], [])
     assert X.search(X.build_index(d), q).count() == 0
+
+
+def test_scores_meet_words_by_equality(spark):
+    """No document's counts are searched for each query's words, and an id that repeats is scored row by row."""
+    docs = [(1, "a b b"), (1, "a"), (2, "b " * 50), (3, "c"), (None, "a b")]
+    d, q = frames(spark, docs, [(10, "a b"), (11, "c z"), (None, "a")])
+    found = X.search(X.build_index(d), q, 10)
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(10, 1, 1), (10, 1, 3), (10, 2, 50), (11, 3, 1)]
