@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.functions import urls as U
+from pageframe.sources import shared
 
 
 def address_bits(address: Column) -> Column:
@@ -50,23 +51,25 @@ def network_index(networks: DataFrame, network: str = "network") -> DataFrame:
     # the length of an IPv4 network written as IPv6 counts the 96 bits before it
     own = F.when((F.col("a.family") == 4) & (own > 32), own - 96).otherwise(own)
     rows = read.select("a.family", "a.bits", own.alias("own")).where(F.col("own").between(0, most))
-    rows = rows.select("family", "own", F.expr("substr(bits, 1, own)").alias("bits")).distinct()
+    # networks are read once; what follows meets them four times
+    rows = shared.cut_lineage(rows.select("family", "own", F.expr("substr(bits, 1, own)").alias("bits")).distinct())
     lengths = rows.groupBy("family").agg(F.collect_set("own").alias("lengths"))  # 162 numbers at most
     shorter = _under_each_length(rows, lengths, shorter=True)
     outer = rows.select("family", F.col("own").alias("length"), F.col("bits").alias("prefix"))
     inside = shorter.join(outer, ["family", "length", "prefix"], "left_semi").select("family", "own", "bits").distinct()
     kept = rows.join(inside, ["family", "own", "bits"], "left_anti")
-    return kept.select("family", F.col("own").alias("length"), F.col("bits").alias("prefix"))
+    return shared.cut_lineage(kept.select("family", F.col("own").alias("length"), F.col("bits").alias("prefix")))
 
 
 def listed_addresses(addresses: DataFrame, index: DataFrame, address: str = "address") -> DataFrame:
     """(address, listed) of every distinct address; what is no address is not listed."""
     rows = addresses.select(F.col(address).alias("address")).distinct()
-    read = rows.withColumn("a", address_bits(F.col("address"))).select("address", "a.family", "a.bits")
+    # the bits of an address are found once, not for its prefixes and again for its row
+    read = shared.cut_lineage(rows.withColumn("a", address_bits(F.col("address"))).select("address", "a.family", "a.bits"))
     lengths = index.groupBy("family").agg(F.collect_set("length").alias("lengths"))
     each = _under_each_length(read.where("bits IS NOT NULL"), lengths)
     found = each.join(index, ["family", "length", "prefix"], "left_semi")
     found = found.select(F.col("address").alias("_found")).distinct()
-    return rows.join(found, F.col("address") == F.col("_found"), "left").select(
+    return read.join(found, F.col("address") == F.col("_found"), "left").select(
         "address", F.col("_found").isNotNull().alias("listed")
     )

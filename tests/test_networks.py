@@ -53,3 +53,12 @@ def test_hosts_that_resolve_into_a_list(spark):
     own = spark.createDataFrame([("8.8.0.0/16",)], "network string")
     more = {r["host"]: r["private"] for r in R.resolves_private(hosts, dns, N.network_index(own)).collect()}
     assert more == {"a": True, "b": True, "c": True}
+
+
+def test_networks_and_addresses_are_read_once(spark):
+    """What follows meets stored bits: no later join parses an address again."""
+    index = N.network_index(spark.createDataFrame([("10.0.0.0/8",), ("10.1.0.0/16",), (None,)], "network string"))
+    asked = spark.createDataFrame([("10.1.2.3",), ("11.0.0.1",), ("10.1.2.3",), (None,)], "address string")
+    found = N.listed_addresses(asked, index)
+    assert "lpad(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["address"]: r["listed"] for r in found.collect()} == {"10.1.2.3": True, "11.0.0.1": False, None: False}
