@@ -25,8 +25,9 @@ from pageframe.llm.common import stored
 from pageframe.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, OPEN_BINS, END_ID = 2048, 256, 0
-#: Documents that are encoded and sorted by length at once.
-ROWS = 2000
+#: Documents that are sorted by length at once, and those of them that are encoded at once: their
+#: chunks are Python objects, far larger than the texts.
+ROWS, ENCODED = 2000, 250
 #: Tasks whose last bins are packed together, and bins open then.
 TASKS_PER_GROUP, LAST_OPEN = 64, 4096
 
@@ -98,7 +99,12 @@ def _pack_task(path: str, capacity: int, most_open: int, end_id: int, with_ids:
 
         for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids = b.column(0).to_pylist()
-            coded = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            texts = b.column(1)
+            coded = [
+                blob
+                for at in range(0, len(ids), ENCODED)
+                for blob in enc.encode([t or "" for t in texts.slice(at, ENCODED).to_pylist()])
+            ]
             # Longest first within these: small pieces then fill what is left.
             for k in sorted(range(len(ids)), key=lambda k: -len(coded[k])):
                 blob = coded[k] + end

@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from pageframe.llm import ngram_join as J
+from pageframe.llm import tokens as T
 from pageframe.llm.queries import op1_ngram_jaccard_join
 
 
@@ -94,3 +98,29 @@ def test_links_lose_no_pair_of_different_texts(table):
     for r in rows:
         near = {frozenset(sets[b]) for a, b in want if a == r["doc_id"]}
         assert r["n_links"] == (len(near) if sets[r["doc_id"]] else None)
+
+
+def test_a_task_ends_what_another_kind_of_task_remembers():
+    T.encoder(T.tokenizer_path()).encode(["some words to remember"])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, None], "text": ["a b c d e f", None, ""]})
+    assert list(J._measure(J.gram_rows(5), 4)(iter([batch])))
+    assert not T._ENCODERS
+
+
+def test_every_block_gets_its_own_n_grams():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 60))) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    every = set(np.concatenate(J.shingle_sets(texts)).tolist())
+    for buckets in (1, 3, 7, 64, 211):
+        for most in (None, 2000):
+            found = set()
+            for out in J._measure(J.gram_rows(5), buckets, most)(iter([batch])):
+                for row in out.to_pylist():
+                    if row["grams"] is not None:
+                        grams = np.cumsum(J._unpacked(row["grams"], np.uint64))
+                        assert {(int(g) >> 40) * buckets >> 16 for g in grams} == {row["bucket"]}
+                        found.update(grams.tolist())
+                    elif row["gram"] is not None:
+                        assert (row["gram"] >> 40) * buckets >> 16 == row["bucket"] and row["gram"] in every
+            assert found == every

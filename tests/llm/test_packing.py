@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from pageframe.llm import packing as P
 from pageframe.llm import tokens as T
@@ -76,3 +77,24 @@ def test_fullest_bin_closes_first():
     assert [fit.put(n) for n in (6, 7, 9)] == [(0, 0), (1, 0), (2, 0)]
     assert fit.still_open() == {0: 4, 2: 1}  # bin 1 had less room than bin 0
     assert fit.put(4) == (0, 6) and fit.put(2) == (3, 0)
+
+
+def test_few_texts_are_encoded_at_once(monkeypatch):
+    sizes = []
+
+    class Spy:
+        def encode(self, texts):
+            sizes.append(len(texts))
+            return [bytes(4 * len(t)) for t in texts]
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 0)
+
+    monkeypatch.setattr(P, "encoder", lambda path: Spy())
+    monkeypatch.setattr(P, "TaskContext", Task)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4100)), "text": ["x" * (k % 50) for k in range(4100)]})
+    out = list(P._pack_task("", 64, 8, 0, False)(iter([batch])))
+    rows = sorted((r["doc_id"], r["length"]) for b in out for r in b.to_pylist())
+    assert rows == [(k, k % 50 + 1) for k in range(4100)]
+    assert sum(sizes) == 4100 and max(sizes) <= 250
