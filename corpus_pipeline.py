@@ -38,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of a fixed length."""
-    return packing.packed(docs, with_ids=True)
+    return packing.packed(docs, with_ids=True, at_once=250)
 
 
 STAGES: list[tuple[str, Stage]] = [

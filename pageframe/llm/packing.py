@@ -25,9 +25,8 @@ from pageframe.llm.common import stored
 from pageframe.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, OPEN_BINS, END_ID = 2048, 256, 0
-#: Documents that are sorted by length at once, and those of them that are encoded at once: their
-#: chunks are Python objects, far larger than the texts.
-ROWS, ENCODED = 2000, 250
+#: Documents that are sorted by length at once.
+ROWS = 2000
 #: Tasks whose last bins are packed together, and bins open then.
 TASKS_PER_GROUP, LAST_OPEN = 64, 4096
 
@@ -80,7 +79,7 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, bin long, offset long, free int"
 
 
-def _pack_task(path: str, capacity: int, most_open: int, end_id: int, with_ids: bool):
+def _pack_task(path: str, capacity: int, most_open: int, end_id: int, with_ids: bool, at_once: int = ROWS):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +101,8 @@ def _pack_task(path: str, capacity: int, most_open: int, end_id: int, with_ids:
             texts = b.column(1)
             coded = [
                 blob
-                for at in range(0, len(ids), ENCODED)
-                for blob in enc.encode([t or "" for t in texts.slice(at, ENCODED).to_pylist()])
+                for at in range(0, len(ids), at_once)
+                for blob in enc.encode([t or "" for t in texts.slice(at, at_once).to_pylist()])
             ]
             # Longest first within these: small pieces then fill what is left.
             for k in sorted(range(len(ids)), key=lambda k: -len(coded[k])):
@@ -145,13 +144,15 @@ def packed(
     with_ids: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    at_once: int = ROWS,
 ) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids]); ``ids`` are
-    the piece's ids as little-endian unsigned 32-bit bytes."""
+    the piece's ids as little-endian unsigned 32-bit bytes.  ``at_once`` texts are encoded
+    together: their chunks are Python objects, far larger than the texts, and fewer take less memory."""
     path = path or tokenizer_path()
     schema = _PIECE + ", ids binary" * with_ids
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    pieces = stored(source.mapInArrow(_pack_task(path, capacity, most_open, end_id, with_ids), schema), "pieces")
+    pieces = stored(source.mapInArrow(_pack_task(path, capacity, most_open, end_id, with_ids, at_once), schema), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     # Full bins: task and bin are the sequence's number.  Even numbers here, odd ones below.
     number = lambda high, low: F.shiftleft(high.cast("long"), 32) + low * 2

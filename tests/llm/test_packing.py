@@ -94,7 +94,7 @@ def test_few_texts_are_encoded_at_once(monkeypatch):
     monkeypatch.setattr(P, "encoder", lambda path: Spy())
     monkeypatch.setattr(P, "TaskContext", Task)
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4100)), "text": ["x" * (k % 50) for k in range(4100)]})
-    out = list(P._pack_task("", 64, 8, 0, False)(iter([batch])))
+    out = list(P._pack_task("", 64, 8, 0, False, 250)(iter([batch])))
     rows = sorted((r["doc_id"], r["length"]) for b in out for r in b.to_pylist())
     assert rows == [(k, k % 50 + 1) for k in range(4100)]
     assert sum(sizes) == 4100 and max(sizes) <= 250
