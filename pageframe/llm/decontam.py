@@ -64,21 +64,26 @@ _TYPED = np.array([0, 11, 12, 13, 0, 0, 0], np.uint64)
 
 def _token(word: str) -> int:
     """Word to one number: 60 bits of value hash, 3 of kind, 1 if it ends a sentence."""
-    core = _EDGE.sub("", word)
-    ends = word.rstrip("\"')]»”")[-1:] in ".!?:;"
+    if word.isalpha():  # most words need no pattern
+        core, ends, letters = word, False, True
+    elif word[:-1].isalpha() and word[-1] in ",.!?:;":
+        core, ends, letters = word[:-1], word[-1] != ",", True
+    else:
+        core, ends, letters = _EDGE.sub("", word), word.rstrip("\"')]»”")[-1:] in ".!?:;", False
+    low = core.lower()
     if word == "\0":
         kind = BREAK
     elif not core:
         kind = NOTHING
-    elif _NUMBER.match(core):
+    elif not letters and _NUMBER.match(core):
         kind = NUMBER
-    elif core.lower() in UNITS:
+    elif low in UNITS:
         kind = UNIT
-    elif _NAME.match(core) and core[0].isupper() and not core.isupper():
-        kind = STARTER if core.lower() in FUNCTION_WORDS else NAME
+    elif core[0].isupper() and (letters or _NAME.match(core)) and not core.isupper():
+        kind = STARTER if low in FUNCTION_WORDS else NAME
     else:
         kind = LITERAL
-    digest = hashlib.blake2b(core.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    digest = hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest()
     value = int.from_bytes(digest, "little") >> 4 << 4
     return value | kind << 1 | int(ends or kind == BREAK)
 
@@ -114,14 +119,14 @@ def _slots(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(real)
     ended = np.add.accumulate(ends.astype(np.int64))
     value, kind = value[at], kind[at]
-    before = np.r_[0, ended[at[1:] - 1]] if len(at) else np.zeros(0, np.int64)
-    earlier = np.r_[0, ended[at[:-1]] - ends[at[:-1]]] if len(at) else before
-    starts = np.r_[True, (before > earlier)[1:]] if len(at) else np.zeros(0, bool)
+    starts = np.ones(len(at), bool)
+    starts[1:] = ended[at[1:] - 1] > ended[at[:-1]] - ends[at[:-1]]
     # Inside a sentence a capitalised word is a name, whatever word it is.
     slot = np.where(kind == STARTER, NAME, kind)
     begins = (slot == NAME) & starts
     slot[begins] = LITERAL
-    after_number = np.r_[False, slot[:-1] == NUMBER] if len(at) else np.zeros(0, bool)
+    after_number = np.zeros(len(at), bool)
+    after_number[1:] = slot[:-1] == NUMBER
     slot[(kind == UNIT) & ~after_number] = LITERAL
     return value, slot, np.where(begins & (kind == NAME), NAME, slot)
 
@@ -139,7 +144,8 @@ def windows(text: str | None, lengths: list[int]) -> Iterator[tuple[int, np.ndar
         return h
 
     def held(marks: np.ndarray, w: int) -> np.ndarray:
-        sums = np.r_[0, np.cumsum(marks)]
+        sums = np.zeros(len(marks) + 1, np.int64)
+        np.cumsum(marks, out=sums[1:])
         return sums[w:] - sums[:-w]
 
     for w in lengths:
@@ -165,6 +171,11 @@ def _emit(lengths, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if wanted is None else wanted.value
+        # Most windows are not wanted: their low bits tell, without a search.
+        low = np.int64((1 << max(10, 4 + len(known).bit_length())) - 1) if known is not None else None
+        if known is not None:
+            maybe = np.zeros(int(low) + 1, bool)
+            maybe[known & low] = True
         sizes = lengths or [WINDOW]
         for b in batches:
             out, held = ([], [], [], []), 0
@@ -175,8 +186,9 @@ def _emit(lengths, wanted):
                     if known is None:
                         at = np.arange(len(h))
                     elif len(known):
-                        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        at = np.flatnonzero(known[i] == h)
+                        at = np.flatnonzero(maybe[h & low])
+                        i = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+                        at = at[known[i] == h[at]]
                     else:
                         at = np.zeros(0, np.int64)
                     out[0].extend([doc] * len(at))

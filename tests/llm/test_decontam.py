@@ -77,3 +77,35 @@ def test_names_at_sentence_starts_and_copies_in_other_case(table, items):
     docs = table([(1, bob), (2, ITEM.lower()), (3, ITEM.upper()), (4, tom.lower()), (5, mixed), (6, tom)])
     bench = items([(1, tom, "", 1), (2, ITEM, "", 1)])
     assert found(docs, bench) == [(1, 1), (2, 2), (3, 2), (4, 1), (6, 1)]
+
+
+def _plain_token(word):
+    """The rules read one after another, by the patterns."""
+    core = D._EDGE.sub("", word)
+    ends = word.rstrip("\"')]»”")[-1:] in ".!?:;"
+    if word == "\0":
+        return D.BREAK, True
+    if not core:
+        return D.NOTHING, ends
+    if D._NUMBER.match(core):
+        return D.NUMBER, ends
+    if core.lower() in D.UNITS:
+        return D.UNIT, ends
+    if D._NAME.match(core) and core[0].isupper() and not core.isupper():
+        return (D.STARTER if core.lower() in D.FUNCTION_WORDS else D.NAME), ends
+    return D.LITERAL, ends
+
+
+def test_words_of_letters_need_no_pattern(monkeypatch):
+    rng = random.Random(4)
+    parts = ["a", "The", "Zoë", "KM", "km", "3", "5.5", "$", "%", ".", ",", ":", "?", "_", "'", '"', ")", "ª", "²", "ß", "ǅ", "日", "x"]
+    words = ["\0", ".", ",", "!", "Is.", "km,", "Rome;"] + ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(4000)]
+    for word in words:
+        kind, ends = _plain_token(word)
+        packed = D._token(word)
+        assert (packed >> 1 & 7, packed & 1) == (kind, int(ends)), word
+        if core := D._EDGE.sub("", word):
+            assert packed >> 4 == D._token(core) >> 4
+    before = [D._token(w) for w in ("Paris", "paris,", "ended.")]
+    monkeypatch.setattr(D, "_EDGE", None)
+    assert [D._token(w) for w in ("Paris", "paris,", "ended.")] == before
