@@ -140,7 +140,8 @@ def windows(text: str | None, lengths: list[int]) -> Iterator[tuple[int, np.ndar
         n = len(row) - w + 1
         h = np.full(n, w, np.uint64)
         for k in range(w):
-            h = h * _STEP + row[k : k + n]
+            h *= _STEP
+            h += row[k : k + n]
         return h
 
     def held(marks: np.ndarray, w: int) -> np.ndarray:
